@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import table
+from fathom.llm import mixture
+from fathom.llm.common import shared_folder, table
 from fathom.llm.split_pieces import split_oversized
+from fathom.llm.tokenize import count_tokens, encode
 from fathom.llm.top_groups import top_per_group
 
 
@@ -29,11 +31,44 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("query_id", "chunk_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(table(spark, d, "documents"), keep=("doc_id", "source"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.source_budget(_sizes(spark, d), table(spark, d, "source_targets")).where("short").select("source")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    # the sizes are used three times: written once, where the executors share them
+    folder = shared_folder(spark, "sizes")
+    _sizes(spark, d).write.parquet(folder)
+    sizes = spark.read.parquet(folder)
+    budget = mixture.source_budget(sizes, table(spark, d, "source_targets"))
+    return mixture.systematic_copies(sizes, budget), budget
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.reached_shares(*_mixture(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_top": p2_top,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 
 _P2 = """
