@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm import mixture
 from fathom.llm.common import shared_folder, table
+from fathom.llm.credentials import find_credentials
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
 from fathom.llm.top_groups import top_per_group
@@ -31,6 +32,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("query_id", "chunk_id")
 
 
+def _code_texts(spark: SparkSession, d: str) -> DataFrame:
+    def of(name: str, key: str, body: str) -> DataFrame:
+        return table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.col("file_path").alias("owner"), F.col(body).alias("body"))
+
+    return of("code_chunks", "id", "source_code").unionAll(of("llm_chunk_contexts", "context_id", "code_snippet")).unionAll(of("llm_investigation_chunk_contexts", "context_id", "code_snippet"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_credentials(_code_texts(spark, d))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return find_credentials(_code_texts(spark, d), redact=True)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
@@ -65,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_top": p2_top,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
