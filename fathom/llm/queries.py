@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom.llm import mixture
 from fathom.llm.common import shared_folder, table
 from fathom.llm.credentials import find_credentials
+from fathom.llm.parse_files import rates, verdicts
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
 from fathom.llm.top_groups import top_per_group
@@ -32,6 +33,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("query_id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return verdicts(table(spark, d, "source_files")).where("not accepted").select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(verdicts(table(spark, d, "source_files")))
+
+
+def p3_faults(spark: SparkSession, d: str) -> DataFrame:
+    rows = verdicts(table(spark, d, "source_files"), keep=("file_id", "file_path")).where("not accepted").dropDuplicates(["file_id"])
+    return rows.select("file_id", "file_path", "language", "first_line", "first_fault", F.array_join("faults", "; ").alias("faults"))
+
+
 def _code_texts(spark: SparkSession, d: str) -> DataFrame:
     def of(name: str, key: str, body: str) -> DataFrame:
         return table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.col("file_path").alias("owner"), F.col(body).alias("body"))
@@ -81,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_top": p2_top,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
+    "p3_faults": p3_faults,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p7_ids": p7_ids,
