@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fathom.llm import mixture
 from fathom.llm.common import shared_folder, table
 from fathom.llm.credentials import find_credentials
+from fathom.llm.handwritten import code_files, not_handwritten
 from fathom.llm.parse_files import rates, verdicts
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
@@ -46,6 +47,15 @@ def p3_faults(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "file_path", "language", "first_line", "first_fault", F.array_join("faults", "; ").alias("faults"))
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    files = code_files(table(spark, d, "code_chunks"), table(spark, d, "source_files"))
+    return not_handwritten(files, table(spark, d, "upstream_sources"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_files(spark, d).where("reason is not null").select(F.col("path").alias("file_path"))
+
+
 def _code_texts(spark: SparkSession, d: str) -> DataFrame:
     def of(name: str, key: str, body: str) -> DataFrame:
         return table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.col("file_path").alias("owner"), F.col(body).alias("body"))
@@ -98,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p3_faults": p3_faults,
+    "p4_found": p4_found,
+    "p4_files": p4_files,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p7_ids": p7_ids,
