@@ -33,6 +33,7 @@ NOTICE = re.compile(r"@generated\b|\bauto-?generated\b|\bautomatically generated
 BUNDLED = re.compile(r"^\W*(?:bundled|vendored|copied|taken) from \w[\w.-]* v?\d+\.\d+", re.I)
 VENDOR_PATH = r"(^|/)(_?vendor|third[_-]party|3rdparty|extern|external|node_modules|bower_components|site-packages)/[^/]+/"
 MINIFIED_PATH = r"[.-]min\.js$"
+GENERATED_PATH = r"(_pb2(_grpc)?|[._](g|gen|pb|autogen|generated))\.(py|js)$"
 
 
 class Ids(dict):
@@ -227,6 +228,6 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     vendored = (share("in_upstream") >= SHARED_UPSTREAM) & (F.col("n_rules") >= 4) | (share("in_repos") >= SHARED_REPOS) & (F.col("n_rules") >= 20) | path.rlike(VENDOR_PATH)
     minified = (F.col("tokens_a_line") >= DENSE) & (F.col("longest_line") >= 300) & (F.col("hard_literals") < BLOB) | path.rlike(MINIFIED_PATH)
     data = ((F.col("hard_literals") >= BLOB) | (F.col("literals") >= VALUES)) & (F.col("n_tokens") > 0)
-    generated = F.col("notice") | (F.col("left_over") <= REUSED) & (F.col("n_tokens") >= MIN_TOKENS)
+    generated = F.col("notice") | path.rlike(GENERATED_PATH) | (F.col("left_over") <= REUSED) & (F.col("n_tokens") >= MIN_TOKENS)
     reason = F.when(vendored, "vendored").when(data, "data").when(minified, "minified").when(generated, "generated")
     return rows.select("path", "repo", "n_tokens", F.round("left_over", 4).alias("left_over"), F.round("hard_literals", 4).alias("hard_literals"), F.round("literals", 4).alias("literals"), "longest_line", F.round("tokens_a_line", 2).alias("tokens_a_line"), "notice", F.round(share("in_upstream"), 4).alias("in_upstream"), F.round(share("in_repos"), 4).alias("in_repos"), reason.alias("reason"))
