@@ -11,6 +11,7 @@ from fathom.llm import mixture
 from fathom.llm.common import shared_folder, table
 from fathom.llm.credentials import find_credentials
 from fathom.llm.handwritten import code_files, not_handwritten
+from fathom.llm.languages import mislabelled, passages
 from fathom.llm.parse_files import rates, verdicts
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
@@ -100,6 +101,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.reached_shares(*_mixture(spark, d))
 
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return passages(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mislabelled(p9_passages(spark, d)).select("doc_id", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -116,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
 }
 
 _P2 = """
