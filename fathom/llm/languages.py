@@ -25,7 +25,7 @@ CODES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "ja", "zh")
 SAMPLE, BUCKETS, SMOOTH = 20_000, 1 << 16, 0.05
 TEMPER, LABEL_TRUST, HOST_WEIGHT, SOURCE_WEIGHT = 0.35, 0.7, 20.0, 50.0
 SALTS = 32
-MIN_WORDS, MIN_SIGNS = re.compile(r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+MIN_WORDS, MIN_SIGNS = 4, 6
 
 FENCE = re.compile(r"^\s*(?:```|~~~)(.*)$")
 NOT_PROSE = re.compile(
@@ -36,7 +36,7 @@ NOT_PROSE = re.compile(
 QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』|https?://\S+")
 ENDS = re.compile(r"(?<=[.!?…])[\"'’”»)\]]*(?=\s|$)|(?<=[。！？])")
 FINAL = re.compile(r"[.!?…。！？][\"'’”»)\]]*\W*$")
-SIGNS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々ー]")
+SIGNS = re.compile(r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 IDENTIFIER = re.compile(r"\S*[\w)][_/=<>(){}\[\]|\\]\S*|\S*\w\.\w\S*|\S*\d\S*|\b[a-z]+[A-Z]\w*")
 INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060, 0xAD])
