@@ -38,7 +38,8 @@ ENDS = re.compile(r"(?<=[.!?…])[\"'’”»)\]]*(?=\s|$)|(?<=[。！？])")
 FINAL = re.compile(r"[.!?…。！？][\"'’”»)\]]*\W*$")
 SIGNS = re.compile(r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-IDENTIFIER = re.compile(r"\S*[\w)][_/=<>(){}\[\]|\\]\S*|\S*\w\.\w\S*|\S*\d\S*|\b[a-z]+[A-Z]\w*")
+ODD = re.compile(r"[_/=<>(){}\[\]|\\\d]|\w\.\w|[a-z][A-Z]")
+ASCII_RUN = re.compile(r"[!-~]+")
 INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060, 0xAD])
 
 
@@ -62,7 +63,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         for m in [*ENDS.finditer(line), None]:
             end = m.end() if m else len(line)
             piece = line[begin:end]
-            clean = IDENTIFIER.sub(" ", QUOTED.sub(" ", unicodedata.normalize("NFKC", piece.translate(INVISIBLE))))
+            clean = without_names(QUOTED.sub(" ", unicodedata.normalize("NFKC", piece.translate(INVISIBLE))))
             words, signs = WORDS.findall(clean), len(SIGNS.findall(clean))
             if (len(words) >= MIN_WORDS or signs >= MIN_SIGNS) and (FINAL.search(piece) or len(words) >= 8):
                 out.append((start + begin, start + end, clean))
@@ -70,6 +71,18 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def without_names(piece: str) -> str:
+    """The words of a sentence without identifiers, paths and numbers; in scripts without spaces without all of ASCII."""
+    out = []
+    for t in piece.split():
+        if ODD.search(t.strip("()[]{}<>.,;:!?'\"")):
+            if not SIGNS.search(t):
+                continue
+            t = ASCII_RUN.sub(" ", t)
+        out.append(t)
+    return " ".join(out)
+
+
 def units(clean: str) -> list[str]:
     """Words in lower case; runs without spaces in their own script give single signs and pairs."""
     out = []
@@ -134,8 +147,7 @@ def _model(counts: np.ndarray, name: str) -> Model:
 def declared(label: Column) -> Column:
     """The two-letter code a label starts with; null for anything else."""
     two = F.lower(F.substring(F.trim(label), 1, 2))
-    rest = F.substring(F.trim(label), 3, 1)
-    return F.when(two.isin(*CODES) & ~rest.rlike("[A-Za-z]"), two)
+    return F.when(two.isin(*CODES), two)
 
 
 def _counts(sample: DataFrame, counts: np.ndarray | None) -> np.ndarray:
@@ -210,7 +222,7 @@ def passages(documents: DataFrame, key: str = "doc_id", text: str = "text", labe
     rows.mapInArrow(run, f"k {kind}, label string, source string, repo string, no int, start int, end int, ll array<float>").write.parquet(folder)
     scored = spark.read.parquet(folder)
     fused = _with_priors(scored)
-    posterior = F.transform(F.zip_with("ll", "prior", lambda a, p: a + F.log(p)), lambda x: x)
+    posterior = F.zip_with("ll", "prior", lambda a, p: a + F.log(p))
     codes = F.array(*[F.lit(c) for c in CODES])
     report = F.when(F.col("label").isNull(), F.transform(codes, lambda _: F.lit(0.0))).otherwise(F.transform(codes, lambda c: F.when(c == F.col("label"), F.lit(float(np.log(LABEL_TRUST)))).otherwise(F.lit(float(np.log((1 - LABEL_TRUST) / (len(CODES) - 1)))))))
     scores = F.zip_with(posterior, report, lambda a, b: a + b)
