@@ -12,6 +12,7 @@ from fathom.llm.common import shared_folder, table
 from fathom.llm.credentials import find_credentials
 from fathom.llm.handwritten import code_files, not_handwritten
 from fathom.llm.languages import mislabelled, passages
+from fathom.llm.neighbours import most_similar, similar_pairs
 from fathom.llm.parse_files import rates, verdicts
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
@@ -72,6 +73,14 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return find_credentials(_code_texts(spark, d), redact=True)
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return most_similar(table(spark, d, "chunk_vectors"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(p6_neighbours(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
@@ -121,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_files": p4_files,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
