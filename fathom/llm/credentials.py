@@ -29,7 +29,7 @@ AFTER_NAME = re.compile(r"[\"'`\]]{0,2}[ \t]{0,3}(?P<op>:=|[:=,](?![=>]))[ \t]*"
 HARMLESS = re.compile(r"(?:public|primary|foreign|cache|sort|group|partition|row|hash|dict|unique|natural|reset|idempotency)[_-]?$", re.I)
 SHAPES = re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{10,}|github_pat_\w{10,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|(?:AKIA|ASIA)[0-9A-Z]{12,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_-]{20,}|glpat-[\w-]{12,}|AIza[\w-]{20,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|pypi-[\w-]{20,}|dop_v1_[a-f0-9]{20,}|SG\.[\w-]{10,}\.[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{6,}(?:\.[\w-]*)?)")
 SHAPE_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxe-", "xoxo-", "xoxp-", "xoxr-", "xoxs-", "akia", "asia", "k_live_", "k_test_", "sk-", "glpat-", "aiza", "npm_", "hf_", "pypi-", "dop_v1_", "sg.", "eyj")
-OTHER_HINTS = {"://": "url", "?": "field", "bearer ": "header", "basic ": "header", "token ": "header", "private key-": "pem"}
+OTHER_HINTS = {"getenv(": "env", "environ.get(": "env", "://": "url", "?": "field", "bearer ": "header", "basic ": "header", "token ": "header", "private key-": "pem"}
 URL_LOGIN = re.compile(r"://[^\s:/@\"'`{}$<>]*:(?P<v>[^\s@/\"'`{}$<>]{3,})@")
 URL_FIELD = re.compile(r"[?&](?:access_token|auth_token|token|api[_-]?key|apikey|key|secret|client_secret|password|sig|signature)=(?P<v>[^\s&\"'`{}$<>#]{8,})", re.I)
 HOOK = re.compile(r"https?://(?:hooks\.[^/\s\"'`]+|[^/\s\"'`]+/api/webhooks)/(?:[\w-]+/)*(?P<v>[A-Za-z0-9_-]{16,})")
@@ -42,6 +42,8 @@ VALUE = re.compile(
     + r"|process\.env(?:\.\w+|\[[^\]\n]*\])\s*(?:\|\||\?\?)\s*%s" % LITERAL.replace("%d", "3")
     + r"|(?:\w+(?:\.\w+)*\(\s*|\(\s*)?%s)" % LITERAL.replace("%d", "4")
 )
+ENVIRONMENT = re.compile(r"(?:getenv|environ\.get)\(\s*[\"'](?P<name>\w+)[\"']\s*(?:,\s*%s)?\s*\)(?:\s*or\s*%s)?" % (LITERAL.replace("%d", "1"), LITERAL.replace("%d", "2")))
+SECRET_NAME = re.compile(r"(?:" + "|".join(STEMS) + r")$", re.I)
 CALL = re.compile(r"\w+(?:\.\w+)*\(")
 DECODERS = re.compile(r"(?:bytes\.fromhex|(?:base64\.)?b64decode|SecretStr|Secret|Buffer\.from|bytes|bytearray|str|quote|encode)\(")
 NEXT_LITERAL = re.compile(r"[ \t\r\n]+%s" % LITERAL.replace("%d", "1"))
@@ -135,6 +137,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
             if alone and mixed and (tight or op == ":") and "." not in body[:1] and not re.fullmatch(r"[a-z_][a-z0-9_]*(?:\.\w+)*|(?:int|str|float)\b.*|\d+\w?", body) and plausible(body, True):
                 out.append((a, a + len(body), "value"))
+    if "env" in rules:  # a default beside the name of an environment variable
+        for m in ENVIRONMENT.finditer(text):
+            for k in ("1", "2"):
+                if m["q" + k] and SECRET_NAME.search(m["name"]) and plausible(m["v" + k], not m["name"].lower().endswith("key")):
+                    out.append((*m.span("v" + k), "value"))
     if "url" in rules:
         for rule in (URL_LOGIN, HOOK):
             out += [(*m.span("v"), "value") for m in rule.finditer(text) if plausible(m["v"], True)]

@@ -31,10 +31,9 @@ def oversized(text: Column, max_chars: int = MAX_CHARS, max_lines: int = MAX_LIN
 def boundaries(cp: np.ndarray, offsets: np.ndarray, max_chars: int) -> dict[str, np.ndarray]:
     """Positions where the texts may be cut, with line number (global in the batch), level and end of the piece before."""
     newline = np.flatnonzero(cp == 10) + 1
-    line_at = np.unique(np.concatenate([offsets[:-1], newline]))
-    line_at = line_at[line_at <= offsets[-1]]
     # an empty last line after a final newline starts where the next text starts; it adds no boundary
-    line_at = line_at[line_at < offsets[-1]] if len(line_at) else line_at
+    line_at = np.unique(np.concatenate([offsets[:-1], newline]))
+    line_at = line_at[line_at < offsets[-1]]
     ends = np.append(line_at[1:], offsets[-1])
     blank_char = (cp == 32) | (cp == 9) | (cp == 13) | (cp == 10)
     solid = np.append(np.flatnonzero(~blank_char), len(cp))
@@ -107,7 +106,6 @@ def cut(texts: list[str], max_chars: int, max_lines: int, overlap: int) -> dict[
     far = np.minimum(far, np.searchsorted(end_count + line_shift, line + line_shift + max_lines - 1, side="right") - 1)
     far = np.minimum(far, closing[who])
     far = np.maximum(far, np.minimum(np.arange(n) + 1, closing[who]))
-    # a last, empty line alone would be no piece: where only it is left over, the piece before gives it up
     half = np.searchsorted(end + shift, (pos + end[far]) // 2 + shift, side="right")
     best = far.copy()
     open_ = far != closing[who]
@@ -138,7 +136,8 @@ def cut(texts: list[str], max_chars: int, max_lines: int, overlap: int) -> dict[
     reached &= ~is_close
     i = np.flatnonzero(reached)
     before = np.zeros(n, dtype=np.int64)
-    before[nxt[i]] = np.where(done[i], before[nxt[i]], shared[i])
+    go_on = i[~done[i]]
+    before[nxt[go_on]] = shared[go_on]
     last_line = np.minimum(end_line[best[i]], line[np.maximum(closing[who[i]] - 1, 0)])
     base_line = line[first_of][who[i]]
     return {"text": who[i], "start": pos[i] - offsets[who[i]], "end": end[best[i]] - offsets[who[i]], "line": line[i] - base_line, "last": last_line - base_line, "shared": before[i]}
