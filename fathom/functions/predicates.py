@@ -72,10 +72,13 @@ def filtering_logic(source: Column, tokens: Column) -> Column:
     return has_any(tokens, V.FILTERING_WORDS) & F.lower(no_null(source)).rlike(FILTERS)
 
 
+CRUD_NAME = rf"^(?:{'|'.join(V.CRUD_PREFIXES)})(?:_|$)"
+
+
 def data_access(path: Column, parent: Column, name: Column) -> Column:
     """A repository-like place and a name that begins with a create, read, update or delete word."""
     place = has_any(F.split(normalize_path(path), "/"), V.DATA_ACCESS_FOLDERS) | F.lower(no_null(parent)).rlike("|".join(V.DATA_ACCESS_PARENTS))
-    return place & bare_name(name).rlike(rf"^(?:{'|'.join(V.CRUD_PREFIXES)})(?:_|$)")
+    return place & bare_name(name).rlike(CRUD_NAME)
 
 
 def is_constructor(name: Column) -> Column:
@@ -116,6 +119,7 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
         df.withColumn("guard_name", has_validation_name(c("name")))
         .withColumn("calls_guard", calls_validation_helper(c("source_code"), c("dependencies")))
         .withColumn("called_names", F.array_distinct(F.concat(F.transform("dependencies", last_part), F.regexp_extract_all("source_code", F.lit(CALL), 1))))
+        .withColumn("guard_call_terms", F.array_distinct(F.flatten(F.transform(F.filter("called_names", has_validation_name), identifier_tokens))))
         .withColumn("called_pairs", called_pair_terms(c("source_code"), c("dependencies")))
         .withColumn("defines_pair", defines_pair(c("name"), c("chunk_type")))
         .withColumn("has_raise", contains_raise(c("source_code")))
@@ -134,4 +138,4 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
 
 
 # columns of chunk_features that scores need besides the chunk itself
-FEATURES = ("path_key", "is_test", "signal_text", "tokens", "name_terms", "parent_terms", "role_terms", "guard_name", "calls_guard", "called_names", "called_pairs", "defines_pair", "has_raise", "state_logic", "filter_logic", "data_access", "constructor", "business_role", "validation_text", "exception_class", "is_function", "route_passthrough", "stem_terms")
+FEATURES = ("path_key", "is_test", "signal_text", "tokens", "name_terms", "parent_terms", "role_terms", "guard_name", "calls_guard", "guard_call_terms", "called_pairs", "defines_pair", "has_raise", "state_logic", "filter_logic", "data_access", "constructor", "business_role", "validation_text", "exception_class", "is_function", "route_passthrough", "stem_terms")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.text import pieces
+from fathom.sources.tables import shared_folder
 
 HASH_DIMENSIONS = 64
 
@@ -44,15 +52,78 @@ def batch_top_k(items: DataFrame, queries: DataFrame, item_key: str, query_key:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
 
 
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
+
+@F.pandas_udf("array<double>")
+def _hashed(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    known: dict[str, int] = {}
+    out = []
+    for text, size in zip(texts, sizes):
+        v = np.zeros(size)
+        for t in PIECE.findall(text or ""):
+            h = known.get(t)
+            if h is None:
+                h = known[t] = zlib.crc32(t.lower().encode())
+            v[(h >> 1) % size] += 1.0 if h & 1 else -1.0
+        n = np.linalg.norm(v)
+        out.append(v / n if n else v)
+    return pd.Series(out)
+
+
 def hashing_embedding(text: Column, dimensions: int = HASH_DIMENSIONS) -> Column:
     """A unit vector of hashed token counts with hashed signs: deterministic, needs no model. Null and empty texts give zeros."""
-    tokens = pieces(text)
-    slots = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int").alias("slot"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    counts = F.transform(zero, lambda z, i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), z, lambda acc, s: acc + s["sign"]))
-    return counts
+    return _hashed(text, F.lit(dimensions))
 
 
-def normalized(vector: Column) -> Column:
-    n = norm(vector)
-    return F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+def block_top_k(items: DataFrame, queries: DataFrame, k: int, item_key: str = "chunk_id", query_key: str = "query_id", vector: str = "embedding", same: str | None = None, block: int = 4096) -> DataFrame:
+    """The k items of highest cosine of each query, for many queries: (query_key, item_key, score, rank), ties by item_key.
+
+    Queries are written to the shared folder in blocks; every task compares its items with block after block by matrix
+    products, keeps k per query and lets a window choose among the tasks. With same, only rows equal in that column meet.
+    Null vectors and vectors of another length than the query's take no part; vectors without length have cosine 0.
+    """
+    spark = items.sparkSession
+    none = F.lit("")
+    q = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(F.col(same).cast("string"), none) if same else none).alias("s"))
+    folder = shared_folder(spark, "queries")
+    n = q.count()
+    parts = max(1, math.ceil(n / block))
+    q.repartition(parts).write.parquet(folder)
+    kind, qkind = items.schema[item_key].dataType.simpleString(), q.schema["q"].dataType.simpleString()
+    rows = items.where(F.col(vector).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("i"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(F.col(same).cast("string"), none) if same else none).alias("s"))
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
+
+        files, path = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        blocks = [f.to_table() for f in ds.dataset(path, filesystem=files, format="parquet").get_fragments()] if k > 0 and n else []
+        for b in batches:
+            for t in blocks if b.num_rows else ():
+                sizes = np.diff(b.column("v").offsets.to_numpy())
+                qv = t.column("v").combine_chunks()
+                for d in np.unique(np.diff(qv.offsets.to_numpy())):
+                    qi, ii = np.flatnonzero(np.diff(qv.offsets.to_numpy()) == d), np.flatnonzero(sizes == d)
+                    if not d or not len(qi) or not len(ii):
+                        continue
+                    qm = unit(np.array(qv.take(pa.array(qi)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d))
+                    im = unit(np.array(b.column("v").take(pa.array(ii)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d))
+                    sims = np.nan_to_num(qm @ im.T, nan=0.0)
+                    if same:
+                        sims[np.array(t.column("s").to_pylist(), object)[qi][:, None] != np.array(b.column("s").to_pylist(), object)[ii][None]] = -9
+                    ids = np.array(b.column("i").to_pylist(), object)[ii]
+                    order = np.argsort(ids, kind="stable")
+                    best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
+                    value = np.take_along_axis(sims, best, axis=1)
+                    r, c = np.nonzero(value > -2)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([t.column("q").combine_chunks().take(pa.array(qi[r])), b.column("i").take(pa.array(ii[best[r, c]])), pa.array(value[r, c])], names=["q", "i", "score"])
+
+    found = rows.mapInArrow(compare, f"q {qkind}, i {kind}, score double").select(F.col("q").alias(query_key), F.col("i").alias(item_key), "score")
+    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), item_key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import vocabulary as V
-from fathom.functions.predicates import ATTRIBUTE_CHANGED, COMPARES, bare_name, counterparts, has_validation_name, is_dunder
+from fathom.functions.predicates import ATTRIBUTE_CHANGED, COMPARES, bare_name, counterparts, is_dunder
 from fathom.functions.text import display_match, display_terms, has_any, identifier_tokens, literal_array, meaningful_terms, no_null
 
 W = V.FAILURE_WEIGHTS
@@ -68,8 +68,7 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
     df = df.withColumn("x_in_text", F.exists("expected", lambda e: F.contains(c("signal_text"), F.lower(e)))).withColumn("x_in_source", F.exists("expected", lambda e: F.contains(low, F.lower(e))))
     raises = lambda e: F.regexp_count("source_code", F.concat(F.lit(r"\braise\s+(?:[A-Za-z_]\w*\.)*\Q"), e, F.lit(r"\E\b"))) > 0
     df = df.withColumn("x_raises", F.exists("expected_short", raises)).withColumn("x_relevant", F.array_sort(F.array_intersect("exception_terms", "tokens")))
-    guard_call = lambda n: has_validation_name(n) & F.arrays_overlap(identifier_tokens(n), c("exception_terms"))
-    df = df.withColumn("x_guard_call", F.exists("called_names", guard_call))
+    df = df.withColumn("x_guard_call", F.arrays_overlap("guard_call_terms", "exception_terms"))
     return df.withColumn("x_evidence", c("x_defines") | c("x_raises") | c("x_in_source")).withColumn("x_strong", c("x_evidence") | c("x_guard_call") | (c("guard_name") & (F.size("x_relevant") > 0)))
 
 
