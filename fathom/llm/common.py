@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.sources.tables import shared_folder
+
+__all__ = ["batch_codepoints", "codepoints", "shared_folder", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,23 +23,3 @@ def batch_codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts one after another, and the n + 1 offsets of the texts."""
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     return codepoints("".join(texts)), np.concatenate([[0], np.cumsum(sizes)])
-
-
-def record_batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
-    arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in columns.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A folder for written intermediate tables, inside the cluster's spark.checkpoint.dir.
-
-    Where that setting is absent (tests on one machine) a fresh local folder is used.
-    """
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
