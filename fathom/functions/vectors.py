@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from fathom.sources.tables import shared_folder
 
@@ -55,7 +56,7 @@ def batch_top_k(items: DataFrame, queries: DataFrame, item_key: str, query_key:
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _hashed(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     known: dict[str, int] = {}
     out = []

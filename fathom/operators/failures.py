@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fathom.functions import vocabulary as V
 from fathom.functions.paths import is_test_path, normalize_path
@@ -187,7 +188,7 @@ def _said(traceback: str, error_type: str | None) -> str:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _error_message(traceback: pd.Series, error_type: pd.Series) -> pd.Series:
     return pd.Series([_said(t or "", e) for t, e in zip(traceback, error_type)])
 
