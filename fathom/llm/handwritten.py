@@ -27,7 +27,8 @@ SHARED_UPSTREAM, SHARED_REPOS, OTHER_REPOS = 0.5, 0.9, 4
 BLOB, VALUES, DENSE = 0.6, 0.75, 45
 CHARS_A_BATCH = 2_000_000
 
-TOKEN = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\b[bBrR]{0,2}\"(?:[^\"\\\n]|\\.)*\"|\b[bBrR]{0,2}'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|[^\W\d]\w*|\d[\w.]*|\n|[^\s\w]")
+TOKEN = re.compile(r"[^\W\d]\w*|[()\[\]{},.:;=+*<>%&|^~!@?-]|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\d[\w.]*|[^\s\w]")
+PREFIXES = frozenset(("b", "r", "rb", "br", "B", "R", "f"))
 # What generators put in the first lines, and folders that hold packages of others.
 NOTICE = re.compile(r"@generated\b|\bauto-?generated\b|\bautomatically generated\b|\b(?:written|generated|created|produced) automatically by\b|\bgenerated (?:by|from|with|using)\b.*\b(?:do not|don't) (?:edit|modify|change)\b|\bcode generated\b|\b(?:do not|don't) (?:edit|modify) (?:this file|by hand|manually)|\bedit the (?:template|source|schema), not this\b|\bregenerate instead of editing\b|\bchanges will be (?:lost|overwritten)\b", re.I)
 BUNDLED = re.compile(r"^\W*(?:bundled|vendored|copied|taken) from \w[\w.-]* v?\d+\.\d+", re.I)
@@ -121,7 +122,7 @@ def shared_rules(symbols: np.ndarray, files: np.ndarray, rounds: int = 4) -> tup
 def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     if len(IDS) > 300_000:
         IDS.clear()
-    tokens = [[t for t in TOKEN.findall(x) if t != "\n"] for x in texts]
+    tokens = [TOKEN.findall(x) for x in texts]
     sizes = [len(t) for t in tokens]
     symbols = np.fromiter((IDS[t] for ts in tokens for t in ts), dtype=np.uint64, count=sum(sizes))
     return symbols, np.repeat(np.arange(len(texts)), sizes), tokens
@@ -155,8 +156,8 @@ def notice(text: str) -> bool:
 def literal_share(text: str, tokens: list[str]) -> tuple[float, float]:
     """Share of the characters in literals that hardly compress, and of the tokens in literals at all."""
     hard = sum(len(t) for t in tokens if len(t) > 80 and t[0] in "\"'`" and not re.search(r"\s\S+\s\S+\s", t))
-    plain = [t for t in tokens if t[0] not in "#,:;()[]{}" and not t.startswith("//")]
-    values = sum(1 for t in plain if t[0].isdigit() or t[0] in "\"'`.-" or t[-1] in "\"'")
+    plain = [t for t in tokens if t[0] not in "#,:;()[]{}" and t not in PREFIXES and not t.startswith("//")]
+    values = sum(1 for t in plain if t[0].isdigit() or t[0] in "\"'`.-")
     if hard and len(z := "".join(t for t in tokens if len(t) > 80 and t[0] in "\"'`").encode()) and len(zlib.compress(z, 1)) < 0.4 * len(z):
         hard = 0
     return hard / max(1, len(text)), values / max(1, len(plain))
@@ -181,8 +182,9 @@ def describe(files: DataFrame, upstream: bool = False) -> DataFrame:
                 at, rule = shared_rules(symbols, of)
                 bounds = np.searchsorted(at, np.arange(n + 1)).astype(np.int32)
                 shares = [literal_share(t, ts) for t, ts in zip(texts, tokens)]
-                longest = [max(map(len, t.split("\n"))) for t in texts]
-                dense = [len(ts) / max(1, sum(1 for line in t.split("\n") if line.strip())) for t, ts in zip(texts, tokens)]
+                lines = [t.split("\n") for t in texts]
+                longest = [max(map(len, ls)) for ls in lines]
+                dense = [len(ts) / max(1, sum(not (not ls or ls.isspace()) for ls in rows)) for rows, ts in zip(lines, tokens)]
                 part = batch.slice(done, n)
                 f64, i64 = pa.float64(), pa.int64()
                 yield pa.RecordBatch.from_arrays(
