@@ -144,13 +144,14 @@ def parse_logs(logs: DataFrame) -> DataFrame:
     )
     entries = entries.join(spans, ["log_id", "outcome", "nodeid"])
     entries = entries.withColumn("start", F.when(c("at").isNull(), F.lit(-1)).otherwise(F.coalesce("head_at", "at")))
-    body = entries.join(logs, "log_id").where(logs["line_no"] >= c("start")).where(c("stop").isNull() | c("at").isNull() | (logs["line_no"] < c("stop")))
-    body = body.groupBy("log_id", "outcome", "nodeid").agg(F.array_sort(F.collect_list(F.struct(logs["line_no"].alias("n"), logs["line"].alias("t")))).alias("rows"))
+    rows = logs.select("log_id", c("line_no").alias("n"), c("line").alias("t"))
+    body = entries.join(rows, "log_id").where((c("n") >= c("start")) & (c("stop").isNull() | c("at").isNull() | (c("n") < c("stop"))))
+    body = body.groupBy("log_id", "outcome", "nodeid").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("rows"))
     body = body.withColumn("traceback", strip(F.array_join(F.transform("rows", lambda r: r["t"]), "\n"))).drop("rows")
     out = entries.join(body, ["log_id", "outcome", "nodeid"])
     extracted = error_message(c("traceback"), c("error_type"))
     message = F.when(c("error_type") == "AssertionError", F.when(extracted != "", extracted).otherwise(c("message"))).otherwise(F.when(c("message") == "", extracted).otherwise(c("message")))
-    return out.select("log_id", entries["line_no"].alias("line_no"), c("nodeid").alias("test_name"), "file_path", "line_number", "error_type", message.alias("message"), "traceback")
+    return out.select("log_id", "line_no", c("nodeid").alias("test_name"), "file_path", "line_number", "error_type", message.alias("message"), "traceback")
 
 
 WHERE = re.compile(r"\+\s*where\s+(.+?)\s*=\s*(.+)$")
