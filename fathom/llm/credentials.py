@@ -23,15 +23,18 @@ MAX_OWNERS, SHARD, MIN_LENGTH = 8, 50_000, 6
 MASK = "[REDACTED]"
 
 # Words that end the name of a secret, names that look alike but are none, and known token shapes.
-STEMS = ("password", "passwd", "passwrd", "passphrase", "pwd", "secret", "token", "key", "auth", "authorization", "credential", "credentials")
+STEMS = ("pass", "pw", "passcode", "password", "passwd", "passwrd", "passphrase", "pwd", "secret", "token", "key", "auth", "authorization", "credential", "credentials")
 STRONG_KEY = re.compile(r"(?:api|access|secret|private|signing|deploy|hmac|encryption|master|auth)[_-]?$")
 AFTER_NAME = re.compile(r"[\"'`\]]{0,2}[ \t]{0,3}(?P<op>:=|[:=,](?![=>]))[ \t]*")
-HARMLESS = re.compile(r"(?:public|primary|foreign|cache|sort|group|partition|row|hash|dict|unique|natural|reset|idempotency)[_-]?$", re.I)
+HARMLESS = re.compile(r"(?<![A-Za-z])(?:public|primary|foreign|cache|sort|group|partition|row|hash|dict|unique|natural|reset|idempotency)[_-]?$", re.I)
 SHAPES = re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{10,}|github_pat_\w{10,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|(?:AKIA|ASIA)[0-9A-Z]{12,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_-]{20,}|glpat-[\w-]{12,}|AIza[\w-]{20,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|pypi-[\w-]{20,}|dop_v1_[a-f0-9]{20,}|SG\.[\w-]{10,}\.[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{6,}(?:\.[\w-]*)?)")
 SHAPE_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxa-", "xoxb-", "xoxe-", "xoxo-", "xoxp-", "xoxr-", "xoxs-", "akia", "asia", "k_live_", "k_test_", "sk-", "glpat-", "aiza", "npm_", "hf_", "pypi-", "dop_v1_", "sg.", "eyj")
-OTHER_HINTS = {"getenv(": "env", "environ.get(": "env", "://": "url", "?": "field", "bearer ": "header", "basic ": "header", "token ": "header", "private key-": "pem"}
+WHOLE = frozenset(("pass", "pw", "passcode"))  # too short to be the end of a longer word
+OTHER_HINTS = {"-u ": "login", "--user ": "login", " / ": "note", "getenv(": "env", "environ.get(": "env", "://": "url", "?": "field", "bearer ": "header", "basic ": "header", "token ": "header", "private key-": "pem"}
 URL_LOGIN = re.compile(r"://[^\s:/@\"'`{}$<>]*:(?P<v>[^\s@/\"'`{}$<>]{3,})@")
 URL_FIELD = re.compile(r"[?&](?:access_token|auth_token|token|api[_-]?key|apikey|key|secret|client_secret|password|sig|signature)=(?P<v>[^\s&\"'`{}$<>#]{8,})", re.I)
+LOGIN = re.compile(r"(?:\s-u|--user)[ =]+[\"']?[\w.@-]+:(?P<v>[^\s\"'`{}$<>]{4,})")
+NOTE = re.compile(r"(?m)(?:^|\s)(?:#|//|\*|--)[ \t][^\n]*?[\w.@-]+ / (?P<v>[^\s/\"'`{}()<>]{8,})[ \t\r]*$")
 HOOK = re.compile(r"https?://(?:hooks\.[^/\s\"'`]+|[^/\s\"'`]+/api/webhooks)/(?:[\w-]+/)*(?P<v>[A-Za-z0-9_-]{16,})")
 HEADER = re.compile(r"\b(?:Bearer|Basic|Token)[ ]+(?P<v>[A-Za-z0-9+/._~-]{12,}={0,2})")
 NEXT_OF_NAME = {*"\"'`]:=, \t"}
@@ -65,8 +68,10 @@ def plausible(value: str, strong: bool) -> bool:
     if digit:
         # words with a number are names, unless they are long or mixed
         return not re.fullmatch(r"[a-z]+(?:[_-][a-z]+)*[_-]?\d{1,3}|[A-Z]+(?:_[A-Z]+)*_?\d{1,2}|[\d.:-]+", value)
-    if re.fullmatch(r"[a-z]+(?:[_./:-][a-z]+)*|[A-Z]+(?:[_./:-][A-Z]+)*|(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)*", value):
+    if re.fullmatch(r"[a-z]+(?:[_./:-][a-z]+)*|[A-Z]+(?:[_./:-][A-Z]+)*", value):
         return False
+    if re.fullmatch(r"(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)*", value):  # words in camel case, unless they are too short for words
+        return sum(len(x) < 3 for x in re.findall(r"[A-Z]?[a-z]+", value)) >= 2
     return lower or upper
 
 
@@ -104,6 +109,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             continue
         start, op, at = last + 1 - hint, m["op"], m.end()
         name = low[start : last + 1]
+        if name in WHOLE and start and text[start - 1].isalpha() and not (text[start].isupper() and text[start - 1].islower()):
+            continue
         strong = name != "key" or STRONG_KEY.search(low, max(0, start - 12), start) is not None
         if HARMLESS.search(text, max(0, start - 14), start):
             continue
@@ -134,7 +141,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             tight = op == "=" and text[at - 1] == "="
             line = text.rfind("\n", 0, start) + 1
             alone = re.fullmatch(r"[ \t]*(?:[#*>-]|//|export |ENV )?[ \t]*[\w.-]*", text[line:start]) is not None
-            mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
+            letters = {c.isupper() for c in body if c.isalpha()}
+            mixed = bool(letters) and (any(c.isdigit() for c in body) or (len(letters) == 2 and any(c in "~!^*%&+" for c in body)))
             if alone and mixed and (tight or op == ":") and "." not in body[:1] and not re.fullmatch(r"[a-z_][a-z0-9_]*(?:\.\w+)*|(?:int|str|float)\b.*|\d+\w?", body) and plausible(body, True):
                 out.append((a, a + len(body), "value"))
     if "env" in rules:  # a default beside the name of an environment variable
@@ -145,6 +153,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "url" in rules:
         for rule in (URL_LOGIN, HOOK):
             out += [(*m.span("v"), "value") for m in rule.finditer(text) if plausible(m["v"], True)]
+    if "login" in rules:
+        out += [(*m.span("v"), "value") for m in LOGIN.finditer(text) if plausible(m["v"], True)]
+    if "note" in rules:  # user / password at the end of a comment
+        out += [(*m.span("v"), "value") for m in NOTE.finditer(text) if plausible(m["v"], True) and re.search(r"[\d~!^*%&+]", m["v"]) and re.search("[A-Z]", m["v"]) and re.search("[a-z]", m["v"])]
     if "field" in rules:
         out += [(*m.span("v"), "value") for m in URL_FIELD.finditer(text) if plausible(m["v"], True)]
     if "header" in rules:
