@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from fathom.llm.common import shared_folder
 
 DIMENSIONS, K, MIN_COSINE = 64, 5, 0.85
-PROJECTED, CONFIDENCE, SEED = 8, 1.96, 7  # the test's confidence as a normal quantile: 1.96 is 97.5 %
-SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 30_000, 16, 4096, 60_000, 64
+PROJECTED, CONFIDENCE, SEED = 4, 1.2816, 7  # the confidence of the test as a normal quantile: 1.2816 is 90 % for a pair at the limit, from either side
+SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 30_000, 16, 4096, 60_000, 128
 
 
 def chi_square_quantile(m: int, z: float) -> float:
@@ -111,46 +111,56 @@ class Buckets:
         self.low = np.minimum.reduceat(self.p, self.starts[:-1], axis=0)
         self.high = np.maximum.reduceat(self.p, self.starts[:-1], axis=0)
 
-    def search(self, p: np.ndarray, u: np.ndarray, k: int, own: np.ndarray | None, bound: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar points (positions in the block, cosines) of a group of near-by queries.
+    def search(self, p: np.ndarray, u: np.ndarray, k: int, own: np.ndarray | None, bound: np.ndarray, quantile: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar points (positions in the block, cosines of at least least) of a group of near-by queries.
 
-        own has each query's position in this block, -1 if it is elsewhere; bound is the greatest squared distance that
+        own has each query's position in this block, None if they are elsewhere; bound is the greatest squared distance that
         still matters. A query goes on while the next bucket is nearer than its test's radius.
         """
         n = len(p)
         best, where = np.full((n, k), -2, np.float32), np.full((n, k), -1, np.int64)
         gap = np.maximum(0, np.maximum(self.low - p.max(axis=0), p.min(axis=0) - self.high))
-        near = (gap * gap).sum(axis=1)
+        near = np.einsum("bm,bm->b", gap, gap)
         turn = np.argsort(near, kind="stable")
         at, step = 0, 4
         active = np.arange(n)
         while at < len(turn) and len(active):
             radius = quantile * np.minimum(bound[active], np.maximum(0, 2 - 2 * best[active, k - 1]))
-            if near[turn[at]] > radius.max():
-                break
             take = turn[at : at + step]
             take = take[near[take] <= radius.max()]
-            # of those, the buckets that some query's own radius touches
+            if not len(take):
+                break
+            # of those, the buckets that some query's own radius touches, and the queries that touch any
             gap = np.maximum(0, np.maximum(self.low[take][None] - p[active][:, None], p[active][:, None] - self.high[take][None]))
-            touched = (np.einsum("qbm,qbm->qb", gap, gap) <= radius[:, None])
-            rows = touched.any(axis=1)
-            take = take[touched.any(axis=0)]
+            touched = np.einsum("qbm,qbm->qb", gap, gap) <= radius[:, None]
+            who, take = active[touched.any(axis=1)], np.sort(take[touched.any(axis=0)])
             if len(take):
-                who = active[rows]
-                cand = np.concatenate([np.arange(self.starts[b], self.starts[b + 1]) for b in take])
-                sims = u[who] @ self.u[cand].T
-                if own is not None:
-                    sims[own[who][:, None] == cand[None]] = -2
-                kk = min(k, len(cand))
-                top = np.argpartition(-sims, kk - 1, axis=1)[:, :kk] if kk < len(cand) else np.tile(np.arange(len(cand)), (len(who), 1))
-                s = np.concatenate([best[who], np.take_along_axis(sims, top, axis=1)], axis=1)
-                w = np.concatenate([where[who], cand[top]], axis=1)
-                o = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best[who], where[who] = np.take_along_axis(s, o, axis=1), np.take_along_axis(w, o, axis=1)
+                sizes = self.starts[take + 1] - self.starts[take]
+                sims = u[who] @ np.concatenate([self.u[self.starts[b] : self.starts[b + 1]] for b in take]).T
+                q, c = np.nonzero(sims > np.maximum(best[who, k - 1], np.float32(least))[:, None])
+                if len(q):
+                    ends = np.cumsum(sizes)
+                    b = np.searchsorted(ends, c, side="right")
+                    found, value = self.starts[take][b] + c - (ends - sizes)[b], sims[q, c]
+                    if own is not None:
+                        other = found != own[who][q]
+                        q, found, value = q[other], found[other], value[other]
+                    order = np.lexsort((found, -value, q))
+                    q, found, value = q[order], found[order], value[order]
+                    rows, first = np.unique(q, return_index=True)
+                    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+                    keep = place < k
+                    s, w = np.full((len(rows), 2 * k), -2, np.float32), np.full((len(rows), 2 * k), -1, np.int64)
+                    mine = who[rows]
+                    s[:, :k], w[:, :k] = best[mine], where[mine]
+                    r = np.searchsorted(rows, q[keep])
+                    s[r, k + place[keep]], w[r, k + place[keep]] = value[keep], found[keep]
+                    o = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    best[mine], where[mine] = np.take_along_axis(s, o, axis=1), np.take_along_axis(w, o, axis=1)
             at += step
             step = min(step * 2, 64)
-            radius = quantile * np.minimum(bound[active], np.maximum(0, 2 - 2 * best[active, k - 1]))
             if at < len(turn):
+                radius = quantile * np.minimum(bound[active], np.maximum(0, 2 - 2 * best[active, k - 1]))
                 active = active[near[turn[at]] <= radius]
         return where, best
 
@@ -226,7 +236,7 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
             ids = ids[tree.order]
             bound = np.empty(len(ids), np.float32)
             for a, e in zip(tree.starts, tree.starts[1:]):
-                where, best = tree.search(tree.p[a:e], tree.u[a:e], k, np.arange(a, e), np.full(e - a, widest, np.float32), quantile)
+                where, best = tree.search(tree.p[a:e], tree.u[a:e], k, np.arange(a, e), np.full(e - a, widest, np.float32), quantile, min_cosine - 1e-5)
                 bound[a:e] = np.minimum(widest, np.maximum(0, 2 - 2 * best[:, k - 1]))
                 q, c = np.nonzero((where >= 0) & (best >= min_cosine - 1e-5))
                 yield _travelling(pa.array(ids[a:e][q]), pa.array(ids[where[q, c]]), pa.array(best[q, c]), None)
@@ -294,7 +304,7 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                 visit = Buckets(p, u, BUCKET_ROWS)  # near-by visitors search together
                 me, bound = me[visit.order], bound[visit.order]
                 for x, y in zip(visit.starts, visit.starts[1:]):
-                    pos, best = tree.search(visit.p[x:y], visit.u[x:y], k, None, bound[x:y], quantile)
+                    pos, best = tree.search(visit.p[x:y], visit.u[x:y], k, None, bound[x:y], quantile, min_cosine - 1e-5)
                     yield _found(me[x:y], ids, pos, best, min_cosine)
 
     far = hosts.unionByName(visitors).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "visit").mapInArrow(away, FOUND)
