@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.sources.tables import settle
+
 REUSED = 0.5  # of a file's tokens, at most so many symbols and rules are left: generated
 MIN_TOKENS = 60
 SHARED_UPSTREAM, SHARED_REPOS, OTHER_REPOS = 0.5, 0.9, 4
@@ -218,7 +220,7 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     and empty bodies have no tokens and are hand-written unless their path says otherwise; a repeated path should be
     removed before; a null repo is one repository.
     """
-    own = describe(files.select("path", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("body", F.lit("")).alias("body")))
+    own = settle(describe(files.select("path", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("body", F.lit("")).alias("body"))), "files")
     theirs = describe(upstream.where(F.col("source_code").isNotNull()).select(F.lit("").alias("path"), F.lit("\0upstream").alias("repo"), F.col("source_code").alias("body")))
     rules = own.select("path", "repo", F.explode(F.array_distinct("rules")).alias("rule"))
     known = theirs.select("repo", F.explode(F.array_distinct("rules")).alias("rule")).distinct()
