@@ -43,7 +43,7 @@ def is_suffix_match(a: Column, b: Column) -> Column:
 def module_parts(path: Column) -> Column:
     """A file's dotted path as an array, without extension and trailing __init__."""
     parts = F.filter(F.split(F.regexp_replace(F.translate(display_path(path), ":", ""), r"\.[^./]*$", ""), "/"), lambda p: F.trim(p).isin("", ".") == F.lit(False))
-    return F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.try_element_at(parts, F.lit(-1)) == "__init__", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def module_suffixes(path: Column) -> Column:

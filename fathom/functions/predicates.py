@@ -38,7 +38,7 @@ def call_names(source: Column) -> Column:
 
 
 def last_part(dotted: Column) -> Column:
-    return F.element_at(F.split(dotted, r"\."), -1)
+    return F.try_element_at(F.split(dotted, r"\."), F.lit(-1))
 
 
 def calls_validation_helper(source: Column, dependencies: Column) -> Column:

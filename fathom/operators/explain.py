@@ -97,7 +97,7 @@ def summaries(failures: DataFrame, results: DataFrame) -> DataFrame:
     )
     df = failures.join(top, "failure_id", "left").join(named, "failure_id", "left")
     test = strip(c("test_name"))
-    short = F.when(test == "", F.lit("<unknown>")).otherwise(F.element_at(F.split(test, "::"), -1))
+    short = F.when(test == "", F.lit("<unknown>")).otherwise(F.try_element_at(F.split(test, "::"), F.lit(-1)))
     error, message = strip(no_null(c("error_type"))), truncate_after(one_line(c("message")), 140)
     signal = F.when((error != "") & (message != ""), F.concat(error, F.lit(", "), message)).when(error != "", error).when(message != "", message).otherwise(F.lit("<none>"))
     related = F.slice(dedupe_ignoring_case(F.transform(F.coalesce("related", F.array().cast("array<struct<rank:int,shown:string>>")), lambda r: r["shown"])), 1, 5)

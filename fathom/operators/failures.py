@@ -51,7 +51,7 @@ def hint_path(hint: Column) -> Column:
 def expected_exceptions(text: Column) -> Column:
     """Short and qualified names of exceptions that were expected and not raised."""
     found = F.transform(F.regexp_extract_all(no_null(text), F.lit(NOT_RAISED), 1), strip)
-    return dedupe_ignoring_case(F.flatten(F.transform(found, lambda q: F.array(F.element_at(F.split(q, r"\."), -1), q))))
+    return dedupe_ignoring_case(F.flatten(F.transform(found, lambda q: F.array(F.try_element_at(F.split(q, r"\."), F.lit(-1)), q))))
 
 
 def with_signals(failures: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def with_signals(failures: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", "test_name", no_null(c("error_type")), "message", "traceback")
     df = df.withColumn("f_text", text).withColumn("f_tokens", tokens_with_variants(c("f_text")))
     df = df.withColumn("did_not_raise", c("f_text").rlike(NOT_RAISED)).withColumn("expected", expected_exceptions(c("f_text")))
-    df = df.withColumn("expected_short", F.array_distinct(F.transform("expected", lambda e: F.element_at(F.split(e, r"\."), -1))))
+    df = df.withColumn("expected_short", F.array_distinct(F.transform("expected", lambda e: F.try_element_at(F.split(e, r"\."), F.lit(-1)))))
     df = df.withColumn("exception_symbols", F.array_distinct(F.flatten(F.transform("expected", tokens_with_variants))))
     df = df.withColumn("exception_terms", F.array_except(F.array_distinct(F.flatten(F.transform("expected_short", identifier_tokens))), literal_array(("error", "exception", "invalid"))))
     df = df.withColumn("behavioral", select_terms(c("f_tokens"), V.BEHAVIORAL_WORDS)).withColumn("operation", select_terms(c("f_tokens"), V.OPERATION_WORDS)).withColumn("domain", domain_words(c("f_tokens")))
@@ -119,7 +119,7 @@ def locations(logs: DataFrame) -> DataFrame:
     line = strip(F.col("line"))
     pattern = r"^(.*?):\s*(\d+)\s*:([^:]*)$"
     rest = strip(F.regexp_extract(line, pattern, 3))
-    return logs.where(line.rlike(pattern) & (rest != "")).select("log_id", F.col("line_no").alias("at"), normalize_path(strip(F.regexp_extract(line, pattern, 1))).alias("path"), F.regexp_extract(line, pattern, 2).cast("int").alias("line_number"), F.element_at(F.split(rest, r"\s+"), 1).alias("error_type")).where("path <> ''")
+    return logs.where(line.rlike(pattern) & (rest != "")).select("log_id", F.col("line_no").alias("at"), normalize_path(strip(F.regexp_extract(line, pattern, 1))).alias("path"), F.regexp_extract(line, pattern, 2).cast("int").alias("line_number"), F.try_element_at(F.split(rest, r"\s+"), F.lit(1)).alias("error_type")).where("path <> ''")
 
 
 def parse_logs(logs: DataFrame) -> DataFrame:
@@ -131,8 +131,8 @@ def parse_logs(logs: DataFrame) -> DataFrame:
     """
     c = F.col
     logs = logs.select("log_id", "line_no", no_null(c("line")).alias("line"))
-    entries = summary_entries(logs).withColumn("file_path", F.element_at(F.split("nodeid", "::"), 1)).withColumn("target", normalize_path(c("file_path")))
-    entries = entries.withColumn("shown", F.regexp_replace(F.element_at(F.split("nodeid", "::"), -1), r"\[.*$", ""))
+    entries = summary_entries(logs).withColumn("file_path", F.try_element_at(F.split("nodeid", "::"), F.lit(1))).withColumn("target", normalize_path(c("file_path")))
+    entries = entries.withColumn("shown", F.regexp_replace(F.try_element_at(F.split("nodeid", "::"), F.lit(-1)), r"\[.*$", ""))
     places = entries.join(locations(logs), "log_id").where((c("path") == c("target")) | F.endswith("path", F.concat(F.lit("/"), c("target"))))
     places = best_per_key(places, ("log_id", "outcome", "nodeid"), c("at")).select("log_id", "outcome", "nodeid", "at", "line_number", "error_type")
     entries = entries.join(places, ["log_id", "outcome", "nodeid"], "left")

@@ -35,7 +35,7 @@ def parse_imports(chunks: DataFrame) -> DataFrame:
     item = F.regexp_extract(F.trim(F.col("item")), r"^(\S+)(?:\s+as\s+(\S+))?$", 1)
     alias = F.regexp_extract(F.trim(F.col("item")), r"^(\S+)(?:\s+as\s+(\S+))?$", 2)
     plain = rows.where(line.rlike(r"^import\s+\S")).select("repo", "file", "line_no", F.posexplode(F.split(F.regexp_replace(line, r"^import\s+", ""), ",")).alias("n", "item"))
-    plain = plain.select("repo", "file", F.lit("module").alias("kind"), F.when(alias != "", alias).otherwise(F.element_at(F.split(item, r"\."), -1)).alias("local"), item.alias("target"), "line_no", "n")
+    plain = plain.select("repo", "file", F.lit("module").alias("kind"), F.when(alias != "", alias).otherwise(F.try_element_at(F.split(item, r"\."), F.lit(-1))).alias("local"), item.alias("target"), "line_no", "n")
     module = F.regexp_extract(line, r"^from\s+(\S+)\s+import\s", 1)
     named = rows.where(module != "").select("repo", "file", "line_no", module.alias("module"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace(line, r"^from\s+\S+\s+import\s+", ""), r"^\(|\)$", ""), ",")).alias("n", "item")).where(F.trim("item") != "")
     named = named.select("repo", "file", F.lit("symbol").alias("kind"), F.when(alias != "", alias).otherwise(item).alias("local"), F.concat(F.col("module"), F.when(F.endswith("module", F.lit(".")), F.lit("")).otherwise(F.lit(".")), item).alias("target"), "line_no", "n")
@@ -70,7 +70,7 @@ def dependencies(chunks: DataFrame) -> DataFrame:
     rows = chunks.select("repo", display_path(F.col("file_path")).alias("file"), F.col("id").alias("src"), "parent", F.posexplode("dependencies").alias("dep_ord", "dep"))
     parts = F.filter(F.split("dep", r"\."), lambda p: p != "")
     rows = rows.withColumn("dep", F.trim("dep")).where(F.col("dep").isNotNull() & (F.col("dep") != ""))
-    return rows.withColumn("head", F.element_at(parts, 1)).withColumn("tail", F.element_at(parts, -1)).withColumn("parts", F.size(parts))
+    return rows.withColumn("head", F.try_element_at(parts, F.lit(1))).withColumn("tail", F.try_element_at(parts, F.lit(-1))).withColumn("parts", F.size(parts))
 
 
 def edges(chunks: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def investigation_score(pairs: DataFrame, base: str = "base_score") -> DataFrame
     state = works & has_any(c("q_terms"), V.INVESTIGATION_STATE) & has_any(c("terms"), V.INVESTIGATION_STATE) & (changes | ((F.size("called_pairs") > 0) & calls))
     validation = ~c("is_test") & (c("guard_name") | c("calls_guard") | bare_name(c("name")).rlike(rf"^(?:{'|'.join(V.INVESTIGATION_VALIDATION_PREFIXES)})"))
     parts = lambda d: F.filter(F.split(d, r"\."), lambda p: p != "")
-    domain_call = F.exists("dependencies", lambda d: (F.size(parts(d)) > 0) & F.arrays_overlap(identifier_tokens(F.element_at(parts(d), -1)), c("called_pairs")) & ((F.size(parts(d)) == 1) | ~has_any(identifier_tokens(F.element_at(parts(d), 1)), V.IGNORED_CALL_HEADS)))
+    domain_call = F.exists("dependencies", lambda d: (F.size(parts(d)) > 0) & F.arrays_overlap(identifier_tokens(F.try_element_at(parts(d), F.lit(-1))), c("called_pairs")) & ((F.size(parts(d)) == 1) | ~has_any(identifier_tokens(F.try_element_at(parts(d), F.lit(1))), V.IGNORED_CALL_HEADS)))
     missing = (F.size("called_pairs") > 0) & (F.arrays_overlap("q_terms", F.concat(c("called_pairs"), counterparts(c("called_pairs")))) | (domain_call & calls))
     pair_state = c("defines_pair") & changes & F.arrays_overlap("q_terms", F.concat("name_terms", "terms"))
     paired = F.when(works & missing, F.lit("possible missing counterpart operation")).when(works & pair_state, F.lit("paired state operation"))
