@@ -231,8 +231,8 @@ def passages(documents: DataFrame, key: str = "doc_id", text: str = "text", labe
     # runs of one language within a document: a document's sentences are a handful of narrow rows
     runs = best.groupBy("k", "label").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "lang", F.log("odds").alias("doubt")))).alias("s"))
     step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["lang"] == x["lang"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), x["end"].alias("end"), x["lang"].alias("lang"), F.least(F.element_at(acc, -1)["doubt"], x["doubt"]).alias("doubt")))),
+        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["lang"] == x["lang"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), x["end"].alias("end"), x["lang"].alias("lang"), F.least(F.try_element_at(acc, F.lit(-1))["doubt"], x["doubt"]).alias("doubt")))),
     ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["lang"].alias("lang"), x["doubt"].alias("doubt")))))
     merged = F.aggregate("s", F.lit(None).cast("array<struct<start:int,end:int,lang:string,doubt:double>>"), lambda acc, x: step(F.coalesce(acc, F.array().cast("array<struct<start:int,end:int,lang:string,doubt:double>>")), x))
     return runs.select(F.col("k").alias(key), "label", F.posexplode(merged).alias("i", "p")).select(key, (F.col("i") + 1).alias("passage_no"), F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.lang").alias("lang"), F.round(F.exp(-F.col("p.doubt")), 6).alias("confidence"), "label")
