@@ -24,6 +24,7 @@ from fathom.llm.common import shared_folder
 
 DIMENSIONS, K, MIN_COSINE = 64, 5, 0.85
 PROJECTED, CONFIDENCE, SEED = 4, 1.2816, 7  # the confidence of the test as a normal quantile: 1.2816 is 90 % for a pair at the limit, from either side
+ALL_CONFIDENCE = 2.3263  # 99 %, where no least cosine is given
 SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 30_000, 16, 4096, 60_000, 128
 
 
@@ -118,6 +119,7 @@ class Buckets:
         still matters. A query goes on while the next bucket is nearer than its test's radius.
         """
         n = len(p)
+        floor = np.maximum(np.float32(least), 1 - bound / 2 - np.float32(1e-5))  # what is farther than bound has k nearer ones elsewhere
         best, where = np.full((n, k), -2, np.float32), np.full((n, k), -1, np.int64)
         gap = np.maximum(0, np.maximum(self.low - p.max(axis=0), p.min(axis=0) - self.high))
         near = np.einsum("bm,bm->b", gap, gap)
@@ -137,7 +139,7 @@ class Buckets:
             if len(take):
                 sizes = self.starts[take + 1] - self.starts[take]
                 sims = u[who] @ np.concatenate([self.u[self.starts[b] : self.starts[b + 1]] for b in take]).T
-                q, c = np.nonzero(sims > np.maximum(best[who, k - 1], np.float32(least))[:, None])
+                q, c = np.nonzero(sims > np.maximum(best[who, k - 1], floor[who])[:, None])
                 if len(q):
                     ends = np.cumsum(sizes)
                     b = np.searchsorted(ends, c, side="right")
@@ -195,8 +197,9 @@ def _found(me: np.ndarray, ids: np.ndarray, where: np.ndarray, best: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(me[q], pa.int64()), pa.array(ids[where[ok]], pa.int64()), pa.array(best[ok], pa.float32())], names=["me", "other", "cosine"])
 
 
-def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min_cosine: float, projected: int, confidence: float, seed: int) -> DataFrame:
-    """(me, other, cosine) of the k most similar points of every point(direction, unit), cosines of at least min_cosine."""
+def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min_cosine: float | None, projected: int, confidence: float, seed: int) -> DataFrame:
+    """(me, other, cosine) of the k most similar points of every point(direction, unit), of at least min_cosine if that is given."""
+    min_cosine = -1.0 if min_cosine is None else min_cosine
     spark = points.sparkSession
     axes = directions(dimensions, projected, seed)
     quantile = chi_square_quantile(projected, confidence)
@@ -227,8 +230,10 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
     placed = placed.drop("spot").withColumn("block", F.pmod(F.xxhash64("direction"), block_count).cast("int"))
     parts = int(max(placed.sparkSession.sparkContext.defaultParallelism * 2, blocks_of[box_cell].sum() if len(box_cell) else 1))
 
+    names = ["me", "other", "cosine", "places", "bound", "unit"]
+
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours inside the own block, and one row with the bound for the search elsewhere."""
+        """Neighbours inside the own block, and one row with the bound and the blocks for the search elsewhere."""
         for (cell, block), held in _groups(batches, ("cell", "block")):
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             ids = t.column("direction").to_numpy()
@@ -239,7 +244,7 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                 where, best = tree.search(tree.p[a:e], tree.u[a:e], k, np.arange(a, e), np.full(e - a, widest, np.float32), quantile, min_cosine - 1e-5)
                 bound[a:e] = np.minimum(widest, np.maximum(0, 2 - 2 * best[:, k - 1]))
                 q, c = np.nonzero((where >= 0) & (best >= min_cosine - 1e-5))
-                yield _travelling(pa.array(ids[a:e][q]), pa.array(ids[where[q, c]]), pa.array(best[q, c]), None)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:e][q]), pa.array(ids[where[q, c]]), pa.array(best[q, c]), pa.nulls(len(q), pa.list_(pa.int64())), pa.nulls(len(q), pa.float32()), pa.nulls(len(q), pa.binary())], names=names)
             for a in range(0, len(ids), 2048):
                 e = min(a + 2048, len(ids))
                 gap = np.maximum(0, np.maximum(low[None] - tree.p[a:e][:, None], tree.p[a:e][:, None] - high[None]))
@@ -251,24 +256,18 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                 number = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else q
                 away = ~((to == cell) & (number == block))
                 q, to, number = q[away], to[away], number[away]
-                yield _travelling(pa.array(ids[a:e][q]), None, None, (to, number, bound[a:e][q], tree.u[a:e], q))
-
-    def _travelling(me: pa.Array, other: pa.Array | None, cosine: pa.Array | None, to: tuple | None) -> pa.RecordBatch:
-        n = len(me)
-        if to is None:
-            cols = [me, other, cosine, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float32()), pa.nulls(n, pa.binary())]
-        else:
-            cell, number, bound, unit, q = to
-            raw = pa.array([r.tobytes() for r in unit], pa.binary())
-            cols = [me, pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), pa.array(cell, pa.int32()), pa.array(number, pa.int32()), pa.array(bound, pa.float32()), raw.take(pa.array(q))]
-        return pa.RecordBatch.from_arrays(cols, names=["me", "other", "cosine", "cell", "block", "bound", "unit"])
-
-    homes = placed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(home, FOUND + ", cell int, block int, bound float, unit binary")
+                who, starts = np.unique(q, return_index=True)
+                places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)), pa.int32()), pa.array(to << 32 | number, pa.int64()))
+                n = len(who)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:e][who]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), places, pa.array(bound[a:e][who]), pa.array([r.tobytes() for r in tree.u[a:e][who]], pa.binary())], names=names)
+
+    homes = placed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(home, FOUND + ", places array<bigint>, bound float, unit binary")
     kept = shared_folder(spark, "home")
     homes.write.parquet(kept)
     homes = spark.read.parquet(kept)
-    near = homes.where("cell is null").select("me", "other", "cosine")
-    visitors = homes.where("cell is not null").select("cell", "block", F.lit(1).alias("visit"), F.col("me").alias("direction"), "unit", "bound")
+    near = homes.where("places is null").select("me", "other", "cosine")
+    sent = homes.where("places is not null").select(F.explode("places").alias("place"), "me", "unit", "bound")
+    visitors = sent.select(F.shiftright("place", 32).cast("int").alias("cell"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("block"), F.lit(1).alias("visit"), F.col("me").alias("direction"), "unit", "bound")
     hosts = placed.select("cell", "block", F.lit(0).alias("visit"), "direction", "unit", F.lit(0.0).cast("float").alias("bound"))
 
     def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +311,19 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
     return near.unionByName(far).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def most_similar(df: DataFrame, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, k: int = K, min_cosine: float = MIN_COSINE, projected: int = PROJECTED, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
-    """The k most similar other vectors of every usable vector as (key, rank, other, cosine), cosines of at least min_cosine.
+def most_similar(df: DataFrame, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, k: int = K, min_cosine: float | None = None, projected: int = PROJECTED, confidence: float | None = None, seed: int = SEED) -> DataFrame:
+    """The k most similar other vectors of every usable vector as (key, rank, other, cosine).
+
+    With min_cosine only those of at least this cosine; the search then goes no farther. Without, the k-th best found so far
+    sets how far it goes, and the test is stricter (ALL_CONFIDENCE), as a neighbour may be seen from one side only.
 
     Unusable are a null key, and vectors that are null, of another length, all zero or with a null, NaN or infinite
     element; they take no part. A repeated key counts once. Equal similarity: the smaller key first. Vectors that are parallel to
     five digits count as equal. Recall is that of the stopping test: see the tests for its measure against brute force.
     """
     spark = SparkSession.active()
+    if confidence is None:
+        confidence = ALL_CONFIDENCE if min_cosine is None else CONFIDENCE
     usable = df.where(~F.exists(vector, lambda x: x.isNull()))
     folder = shared_folder(spark, "vectors")
     clean_units(usable, key, vector, dimensions).write.parquet(folder)
@@ -340,9 +344,10 @@ def most_similar(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     own = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("c"), i.alias("id")))
     lists = ids.join(others, ids["direction"] == others["me"], "left").select("direction", F.slice(F.array_sort(F.concat(own, F.coalesce(flat, F.array().cast("array<struct<c:double,id:bigint>>")))), 1, 2 * k + 2).alias("near"))
     each = units.select("id", "direction").join(lists, "direction").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
-    return each.select(F.col("id").alias(key), F.posexplode("near").alias("i", "x")).select(key, (F.col("i") + 1).alias("rank"), F.col("x.id").alias("other"), (-F.col("x.c")).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    out = each.select(F.col("id").alias(key), F.posexplode("near").alias("i", "x")).select(key, (F.col("i") + 1).alias("rank"), F.col("x.id").alias("other"), (-F.col("x.c")).alias("cosine"))
+    return out if min_cosine is None else out.where(F.col("cosine") >= min_cosine)
 
 
-def similar_pairs(found: DataFrame, key: str = "vec_id") -> DataFrame:
-    """The pairs (key_a < key_b) in which at least one is among the other's most similar."""
-    return found.select(F.least(key, "other").alias(f"{key}_a"), F.greatest(key, "other").alias(f"{key}_b")).distinct()
+def similar_pairs(found: DataFrame, key: str = "vec_id", min_cosine: float = MIN_COSINE) -> DataFrame:
+    """The pairs (key_a < key_b) of at least min_cosine in which at least one is among the other's most similar."""
+    return found.where(F.col("cosine") >= min_cosine).select(F.least(key, "other").alias(f"{key}_a"), F.greatest(key, "other").alias(f"{key}_b")).distinct()

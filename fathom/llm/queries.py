@@ -12,7 +12,7 @@ from fathom.llm.common import shared_folder, table
 from fathom.llm.credentials import find_credentials
 from fathom.llm.handwritten import code_files, not_handwritten
 from fathom.llm.languages import mislabelled, passages
-from fathom.llm.neighbours import most_similar, similar_pairs
+from fathom.llm.neighbours import MIN_COSINE, most_similar, similar_pairs
 from fathom.llm.parse_files import rates, verdicts
 from fathom.llm.split_pieces import split_oversized
 from fathom.llm.tokenize import count_tokens, encode
@@ -78,7 +78,7 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(p6_neighbours(spark, d))
+    return similar_pairs(most_similar(table(spark, d, "chunk_vectors"), min_cosine=MIN_COSINE))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -45,6 +45,24 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert found.groupBy("vec_id").count().where("count > 5").count() == 0
 
 
+def test_all_five_whatever_their_cosine(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(5)
+    vs = vectors(150, 6, rng) + rng.standard_normal((150, 64)).tolist()  # small groups and vectors without any near one
+    df = spark.createDataFrame(list(enumerate(vs)), "vec_id bigint, embedding array<float>").repartition(3)
+    m = np.array(vs)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    np.fill_diagonal(s, -2)
+    true = {(r, int(j)) for r, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    found = neighbours.most_similar(df)
+    got = {(r["vec_id"], r["other"]) for r in found.collect()}
+    assert found.count() == len(got) == 5 * len(vs)
+    assert len(got & true) / len(true) >= 0.98
+    floor = neighbours.most_similar(df, min_cosine=0.85).collect()
+    assert 0 < len(floor) < len(got) and min(r["cosine"] for r in floor) >= 0.85
+
+
 def test_no_usable_vector(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0] * 64)], "vec_id bigint, embedding array<float>")
     assert neighbours.most_similar(df).count() == 0
