@@ -4,7 +4,8 @@ Two grammars are inferred over the token sequences of all files of an Arrow batc
 round every pair that occurs at least twice in its file and is locally the most frequent becomes a rule; what remains when
 no pair repeats tells how much of a file its rules make up. The second takes pairs in an order that only their text
 decides, so that equal stretches become equal rules in every file; counted over the corpus, rules that an upstream package
-or several other repositories have mark vendored copies. Literals that no rule shortens mark blobs.
+or several other repositories have mark vendored copies. Over the characters
+inside long literals the first grammar tells blobs, which no rule shortens, from text that repeats.
 
 What a grammar can't see is taken from the file's opening comment (a generator's notice) and from its path (a package
 below a vendor folder); each is a kind of evidence of its own in the result.
@@ -27,9 +28,11 @@ REUSED = 0.5  # of a file's tokens, at most so many symbols and rules are left:
 MIN_TOKENS = 60
 SHARED_UPSTREAM, SHARED_REPOS, OTHER_REPOS = 0.5, 0.9, 4
 BLOB, VALUES, DENSE = 0.6, 0.75, 45
+DENSE_BITS, WRAPPED = 3.2, 32  # bits a character that data takes at least; width of a line of wrapped data
 CHARS_A_BATCH = 2_000_000
 
 TOKEN = re.compile(r"[^\W\d]\w*|[()\[\]{},.:;=+*<>%&|^~!@?-]|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\d[\w.]*|[^\s\w]")
+WORDS = re.compile(r"\s\S+\s\S+\s")
 PREFIXES = frozenset(("b", "r", "rb", "br", "B", "R", "f"))
 # What generators put in the first lines, and folders that hold packages of others.
 NOTICE = re.compile(r"@generated\b|\bauto-?generated\b|\bautomatically generated\b|\b(?:written|generated|created|produced) automatically by\b|\bgenerated (?:by|from|with|using)\b.*\b(?:do not|don't) (?:edit|modify|change)\b|\bcode generated\b|\b(?:do not|don't) (?:edit|modify) (?:this file|by hand|manually)|\bedit the (?:template|source|schema), not this\b|\bregenerate instead of editing\b|\bchanges will be (?:lost|overwritten)\b", re.I)
@@ -155,13 +158,44 @@ def notice(text: str) -> bool:
     return False
 
 
-def literal_share(text: str, tokens: list[str]) -> tuple[float, float]:
-    """Share of the characters in literals that hardly compress, and of the tokens in literals at all."""
-    hard = sum(len(t) for t in tokens if len(t) > 80 and t[0] in "\"'`" and not re.search(r"\s\S+\s\S+\s", t))
+def blob_lines(tokens: list[str]) -> list[str]:
+    """The lines of long literals that may be data: long ones of few words, and of several lines those without a blank that
+    are wide, as wide as the line before, or the rest after such a line."""
+    out = []
+    for t in tokens:
+        if len(t) <= 80 or t[0] not in "\"'`":
+            continue
+        if "\n" not in t:
+            if not WORDS.search(t):
+                out.append(t)
+            continue
+        before, data = "", False
+        for line in t.split("\n"):
+            line = line.strip().removesuffix("\\").removesuffix("\\n")
+            wide = len(line) > 80 and not WORDS.search(line)
+            whole = bool(line) and not any(c.isspace() for c in line)
+            data = wide or whole and (len(line) >= WRAPPED or len(line) == len(before) >= 8 or data and len(line) < len(before))
+            if data:
+                out.append(line)
+            before = line
+    return out
+
+
+def dense_literals(tokens: list[list[str]]) -> np.ndarray:
+    """Per file, whether its blobs stay long under a grammar over their characters: the bits that it takes for each."""
+    blobs = ["".join(blob_lines(ts)) for ts in tokens]
+    sizes = np.array([len(x) for x in blobs])
+    points = np.frombuffer("".join(blobs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    left, rules = re_pair(_mix(points.astype(np.uint64) * M1) | np.uint64(1), np.repeat(np.arange(len(blobs)), sizes), len(blobs))
+    letters = np.array([len(set(x)) for x in blobs])
+    return (left + 2 * rules) * np.log2(np.maximum(2, letters + rules)) >= DENSE_BITS * np.maximum(sizes, 1)
+
+
+def literal_share(text: str, tokens: list[str], dense: bool) -> tuple[float, float]:
+    """Share of the characters in literals that look like no text, if they are dense, and of the tokens in literals at all."""
+    hard = sum(map(len, blob_lines(tokens))) if dense else 0
     plain = [t for t in tokens if t[0] not in "#,:;()[]{}" and t not in PREFIXES and not t.startswith("//")]
     values = sum(1 for t in plain if t[0].isdigit() or t[0] in "\"'`.-")
-    if hard and len(z := "".join(t for t in tokens if len(t) > 80 and t[0] in "\"'`").encode()) and len(zlib.compress(z, 1)) < 0.4 * len(z):
-        hard = 0
     return hard / max(1, len(text)), values / max(1, len(plain))
 
 
@@ -183,7 +217,7 @@ def describe(files: DataFrame, upstream: bool = False) -> DataFrame:
                 left, rules = re_pair(symbols, of, n)
                 at, rule = shared_rules(symbols, of)
                 bounds = np.searchsorted(at, np.arange(n + 1)).astype(np.int32)
-                shares = [literal_share(t, ts) for t, ts in zip(texts, tokens)]
+                shares = [literal_share(t, ts, d) for t, ts, d in zip(texts, tokens, dense_literals(tokens))]
                 lines = [t.split("\n") for t in texts]
                 longest = [max(map(len, ls)) for ls in lines]
                 dense = [len(ts) / max(1, sum(not (not ls or ls.isspace()) for ls in rows)) for rows, ts in zip(lines, tokens)]

@@ -121,6 +121,26 @@ def test_kinds_of_files(spark):
     assert handwritten.not_handwritten(df.limit(0), up.limit(0)).count() == 0
 
 
+def test_wrapped_blobs_are_data():
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    code = "import base64\n\nDATA = base64.b64decode(%s)\n"
+
+    def share(literal):
+        text = code % literal
+        tokens = handwritten.tokenised([text])[2]
+        return handwritten.literal_share(text, tokens[0], handwritten.dense_literals(tokens)[0])[0]
+
+    for width in (20, 64, 76, 3000):
+        rows = "\n".join(blob[i : i + width] for i in range(0, len(blob), width))
+        for quote in ('"""', "`"):
+            assert share(quote + rows + quote) >= handwritten.BLOB, (width, quote)
+    prose = "\n".join("    Says what the function does with the rows it is given." for _ in range(40))
+    style = "\n".join("  color: red;\n  margin: 0 auto;\n  padding: 2px;" for _ in range(40))
+    for text in (prose, style, "\n".join(["abcdefghijklmnopqrstuvwxyz-abcdefghij"] * 50)):
+        assert share('"""' + text + '"""') == 0
+
+
 def test_files_fall_back_to_their_chunks(spark):
     chunks = spark.createDataFrame([("a.py", "r", "function", 3, "def f(): pass"), ("a.py", "r", "module", 1, "x = 1"), ("a.py", "r", "method", 4, "m"), ("b.py", "r", "module", 1, "b"), ("c.json", "r", "module", 1, "{}")], "file_path string, repo string, chunk_type string, start_line int, source_code string")
     sources = spark.createDataFrame([("b.py", "r", "whole b"), ("b.py", "r", "whole b"), ("a.py", "r", None), ("z.py", "r", "z")], "file_path string, repo string, source string")
