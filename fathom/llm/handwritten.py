@@ -258,7 +258,7 @@ def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
     theirs = describe(upstream.where(F.col("source_code").isNotNull()).select(F.lit("").alias("path"), F.lit("\0upstream").alias("repo"), F.col("source_code").alias("body")))
     rules = own.select("path", "repo", F.explode(F.array_distinct("rules")).alias("rule"))
     known = theirs.select("repo", F.explode(F.array_distinct("rules")).alias("rule")).distinct()
-    owners = rules.select("repo", "rule").unionByName(known).groupBy("rule").agg(F.count_if(F.col("repo") == "\0upstream").alias("up"), F.approx_count_distinct("repo", 0.1).alias("repos")).where(f"up > 0 or repos >= {OTHER_REPOS}")
+    owners = rules.select("repo", "rule").unionByName(known).distinct().groupBy("rule").agg(F.count_if(F.col("repo") == "\0upstream").alias("up"), F.count("*").alias("repos")).where(f"up > 0 or repos >= {OTHER_REPOS}")
     spread = rules.join(owners, "rule").groupBy("path").agg(F.count_if(F.col("up") > 0).alias("in_upstream"), F.count_if(F.col("repos") >= OTHER_REPOS).alias("in_repos"))
     rows = own.withColumn("n_rules", F.size(F.array_distinct("rules"))).drop("rules").join(spread, "path", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.greatest(F.col("n_rules"), F.lit(1))

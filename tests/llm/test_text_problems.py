@@ -141,6 +141,19 @@ def test_wrapped_blobs_are_data():
         assert share('"""' + text + '"""') == 0
 
 
+def test_owners_of_rules_are_counted_exactly(spark):
+    # copies of each package in exactly four repositories; of so many packages an estimate would take some for three
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    rows = []
+    for p in range(60):
+        body = "".join(f"def {word()}({word()}, {word()}):\n    {word()} = {word()}.{word()}({word()})\n    return {word()} + {word()}\n" for _ in range(12))
+        rows += [(f"r{p}_{k}/src/m{p}.py", f"r{p}_{k}", body) for k in range(4)]
+    files = spark.createDataFrame(rows, "path string, repo string, body string")
+    upstream = spark.createDataFrame([("none", "x = 1\n")], "package string, source_code string")
+    assert {r.reason for r in handwritten.not_handwritten(files, upstream).collect()} == {"vendored"}
+
+
 def test_files_fall_back_to_their_chunks(spark):
     chunks = spark.createDataFrame([("a.py", "r", "function", 3, "def f(): pass"), ("a.py", "r", "module", 1, "x = 1"), ("a.py", "r", "method", 4, "m"), ("b.py", "r", "module", 1, "b"), ("c.json", "r", "module", 1, "{}")], "file_path string, repo string, chunk_type string, start_line int, source_code string")
     sources = spark.createDataFrame([("b.py", "r", "whole b"), ("b.py", "r", "whole b"), ("a.py", "r", None), ("z.py", "r", "z")], "file_path string, repo string, source string")
