@@ -134,22 +134,15 @@ def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]
 
 
 def notice(text: str) -> bool:
-    """A generator's notice in the comments or the docstring that open a file."""
-    quote, lines = "", 0
-    for line in text[:4000].split("\n"):
-        line = line.strip().lstrip("﻿")
+    """A generator's notice in the comments or the docstring that open a file, however long they are; the first line of code ends them."""
+    quote = ""
+    for m in re.finditer(r"[^\n]+", text):
+        line = m[0].strip().lstrip("﻿")
         if not line:
-            if not quote:
-                lines += 1
-            if lines > 8:
-                return False
             continue
-        lines += 1
         opens = next((q for q in ('"""', "'''", "/*") if line.startswith(q)), "") if not quote else quote
         if not opens and not line.startswith(("#", "//", "*")):
             return False
-        if lines > 12:
-            return False
         if NOTICE.search(line) or BUNDLED.search(line):
             return True
         if opens:

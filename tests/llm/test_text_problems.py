@@ -154,6 +154,14 @@ def test_owners_of_rules_are_counted_exactly(spark):
     assert {r.reason for r in handwritten.not_handwritten(files, upstream).collect()} == {"vendored"}
 
 
+def test_notices_after_long_headers():
+    for mark in ("# ", "// "):
+        licence = "".join(f"{mark}Line {i} of a licence that goes on for quite a while, as such texts are known to do.\n" for i in range(80))
+        assert handwritten.notice(licence + "\n" * 12 + f"{mark}Code generated by protoc. DO NOT EDIT.\nx = 1\n")
+        assert not handwritten.notice(licence + f"x = 1\n{mark}Code generated by protoc. DO NOT EDIT.\n")
+    assert handwritten.notice("/*\n" + " * words\n" * 600 + " */\n/* @generated */\nf();\n")
+
+
 def test_files_fall_back_to_their_chunks(spark):
     chunks = spark.createDataFrame([("a.py", "r", "function", 3, "def f(): pass"), ("a.py", "r", "module", 1, "x = 1"), ("a.py", "r", "method", 4, "m"), ("b.py", "r", "module", 1, "b"), ("c.json", "r", "module", 1, "{}")], "file_path string, repo string, chunk_type string, start_line int, source_code string")
     sources = spark.createDataFrame([("b.py", "r", "whole b"), ("b.py", "r", "whole b"), ("a.py", "r", None), ("z.py", "r", "z")], "file_path string, repo string, source string")
