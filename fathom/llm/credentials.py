@@ -1,8 +1,8 @@
 """Problem 5: find credentials in code and replace them.
 
 Pass one indexes literals that stand where a credential may stand (a telling name, a known shape, a URL, a header, a PEM
-block). Grouped over the whole corpus, values that many owners share are placeholders and go; the rare ones are
-confirmed. Pass two walks every text with an automaton of the confirmed values, so that a value confirmed in one file is
+block). Grouped over the whole corpus, values without a structure of their own that more than OWNERS_SHARE of the
+owners (and more than MAX_OWNERS) share are placeholders and go; the rest are confirmed. Pass two walks every text with an automaton of the confirmed values, so that a value confirmed in one file is
 also found where nothing around it tells. The confirmed values are written in shards of a fixed size to the cluster's
 shared folder; workers read shard after shard, so neither the driver nor a task needs them all.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import shared_folder
 
-MAX_OWNERS, SHARD, MIN_LENGTH = 8, 50_000, 6
+MAX_OWNERS, OWNERS_SHARE, SHARD, MIN_LENGTH = 8, 0.0005, 50_000, 6
 MASK = "[REDACTED]"
 
 # Words that end the name of a secret, names that look alike but are none, and known token shapes.
@@ -52,14 +52,29 @@ DECODERS = re.compile(r"(?:bytes\.fromhex|(?:base64\.)?b64decode|SecretStr|Secre
 NEXT_LITERAL = re.compile(r"[ \t\r\n]+%s" % LITERAL.replace("%d", "1"))
 BARE = re.compile(r"(?P<v>[^\s\"'`(){}\[\]<>$,;]{8,})[ \t]*(?:\r?\n|\\n|\Z|\.\.\.)")
 PLACEHOLDER = re.compile(r"your|example|change[_ -]?(?:me|it)|place[_ -]?holder|redacted|x{4,}|\*{3,}|\.{4,}|dummy|sample|insert|replace|vault|\bnone\b|\bnull\b|todo|fixme|undefined|^test$|^(?:my|the)?[_-]?(?:password|secret|token)[_-]?(?:here)?$|\$\{|\{\{|%\(|%s|^<.*>$|^\{.*\}$|^\$\w+$|^(.)\1*$|here$", re.I)
+PHRASES = frozenset(("pass", "pw", "passcode", "password", "passwd", "passwrd", "passphrase", "pwd", "secret"))  # names of what may be words
+PROSE = frozenset("a an the is are was be been to of for from in on at by with without and or not no must should can cannot could will may if when this that it its your you we our please enter invalid wrong missing required expired failed error old new at least too has have does do use set reset confirm forgot show hide".split())
 RANDOM_PART = re.compile(r"(?=[^\n]*\d)(?=[^\n]*[A-Za-z])[A-Za-z0-9+/_=.~!@#%^&*-]{16,}\Z")
 
 
-def plausible(value: str, strong: bool) -> bool:
-    """Whether a literal may be a credential: no placeholder, no word, no name, no sentence."""
-    n = len(value)
-    if n < MIN_LENGTH or n > 4096 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+def passphrase(value: str) -> bool:
+    """Whether words with blanks between them are picked words and not a sentence or a label."""
+    words = value.split(" ")
+    if len(words) < 3 or not all(words) or any(c.isspace() for w in words for c in w):
         return False
+    plain = [w.strip(".,:;!?'\"()").lower() for w in words]
+    if PROSE.intersection(plain) or SECRET_NAME.search(value) or any(SECRET_NAME.search(w.rstrip("s")) for w in plain):
+        return False
+    return len(set(plain)) == len(plain) and not re.search(r"[.:!?]$|[%{}<>()=]", value) and sum(c.isalpha() for c in value) >= 10
+
+
+def plausible(value: str, strong: bool, phrase: bool = False) -> bool:
+    """Whether a literal may be a credential: no placeholder, no word, no name, no sentence; words with blanks only where the
+    name asks for a phrase."""
+    if len(value) < MIN_LENGTH or PLACEHOLDER.search(value):
+        return False
+    if any(c.isspace() for c in value):
+        return phrase and passphrase(value)
     if not strong:
         return RANDOM_PART.match(value) is not None and not re.fullmatch(r"[a-z0-9]+(?:[_./:-][a-z0-9]+)*|[A-Z0-9]+(?:_[A-Z0-9]+)*", value)
     if value.startswith(("/", "./", "http://", "https://", "--")):
@@ -92,7 +107,7 @@ def _hints() -> object:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of values that may be credentials; kind is value, pem or tail (goes on from the line before)."""
+    """(start, end, kind) of values that may be credentials; kind is value, sure (has a structure of its own), pem or tail (goes on from the line before)."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
     if len(low) != len(text):
@@ -128,7 +143,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 body = body.removesuffix("...")
             if k == 4 and re.match(r"(?:Bearer|Basic|Token)\s", body, re.I):
                 continue  # the header rule takes its own part
-            if plausible(body, strong):
+            if plausible(body, strong, strong and name in PHRASES):
                 out.append((a, a + len(body), "value"))
                 end = v.end()
                 while (text[at : at + 1] == "(" or op == ":") and (t := NEXT_LITERAL.match(text, end)) and text[t.end() : t.end() + 1] not in (":", "="):
@@ -148,11 +163,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "env" in rules:  # a default beside the name of an environment variable
         for m in ENVIRONMENT.finditer(text):
             for k in ("1", "2"):
-                if m["q" + k] and SECRET_NAME.search(m["name"]) and plausible(m["v" + k], not m["name"].lower().endswith("key")):
+                if m["q" + k] and SECRET_NAME.search(m["name"]) and plausible(m["v" + k], not m["name"].lower().endswith("key"), SECRET_NAME.search(m["name"])[0].lower() in PHRASES):
                     out.append((*m.span("v" + k), "value"))
     if "url" in rules:
-        for rule in (URL_LOGIN, HOOK):
-            out += [(*m.span("v"), "value") for m in rule.finditer(text) if plausible(m["v"], True)]
+        for rule, kind in ((URL_LOGIN, "sure"), (HOOK, "value")):
+            out += [(*m.span("v"), kind) for m in rule.finditer(text) if plausible(m["v"], True)]
     if "login" in rules:
         out += [(*m.span("v"), "value") for m in LOGIN.finditer(text) if plausible(m["v"], True)]
     if "note" in rules:  # user / password at the end of a comment
@@ -162,7 +177,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "header" in rules:
         out += [(*m.span("v"), "value") for m in HEADER.finditer(text) if plausible(m["v"], False) or (plausible(m["v"], True) and re.search(r"\d|=$", m["v"]) and re.search("[A-Z]", m["v"]))]
     if "shape" in rules:
-        out += [(*m.span(), "value") for m in SHAPES.finditer(text) if not PLACEHOLDER.search(m[0]) and any(c.isdigit() for c in m[0])]
+        out += [(*m.span(), "sure") for m in SHAPES.finditer(text) if not PLACEHOLDER.search(m[0]) and any(c.isdigit() for c in m[0])]
     if "pem" in rules:
         out += [(*m.span(), "pem") for m in PEM.finditer(text)]
     return out
@@ -181,8 +196,8 @@ def literal_index(texts: DataFrame) -> DataFrame:
 
 
 def confirmed(index: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(value, kind) of the literals that at most max_owners owners have."""
-    return index.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.min(F.when(F.col("kind") == "tail", "z").otherwise(F.col("kind"))).alias("kind")).where(F.col("owners") <= max_owners).select("value", "kind")
+    """(value, kind) of the literals with a structure of their own, and of others that at most max_owners owners have."""
+    return index.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.min(F.when(F.col("kind") == "tail", "z").otherwise(F.col("kind"))).alias("kind")).where(F.col("kind").isin("pem", "sure") | (F.col("owners") <= max_owners)).select("value", "kind")
 
 
 @lru_cache(1)
@@ -248,7 +263,7 @@ def find_credentials(texts: DataFrame, max_owners: int = MAX_OWNERS, shard_size:
     spark = SparkSession.active()
     rows = texts.where(F.col("body").isNotNull() & (F.col("body") != "")).select("tbl", "row_key", F.coalesce("owner", F.lit("")).alias("owner"), "body")
     folder = shared_folder(spark, "credentials")
-    known = confirmed(literal_index(rows), max_owners)
+    known = confirmed(literal_index(rows), max(max_owners, int(OWNERS_SHARE * rows.select("owner").distinct().count())))
     known.write.parquet(f"{folder}/all")
     known = spark.read.parquet(f"{folder}/all")
     n_shards = max(1, -(-known.count() // shard_size))
