@@ -37,6 +37,8 @@ QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^
 ENDS = re.compile(r"(?<=[.!?…])[\"'’”»)\]]*(?=\s|$)|(?<=[。！？])")
 FINAL = re.compile(r"[.!?…。！？][\"'’”»)\]]*\W*$")
 SIGNS = re.compile(r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+LONG = 4000  # characters of a word that no language has
+RUN = re.compile(r"[^\s" + SIGNS.pattern[1:-1] + "]+")
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 ODD = re.compile(r"[_/=<>(){}\[\]|\\\d]|\w\.\w|[a-z][A-Z]")
 ASCII_RUN = re.compile(r"[!-~]+")
@@ -54,9 +56,9 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
             continue
         if fenced or not line.strip():
             continue
+        if len(line) > LONG:  # the word goes, its place and the rest of the line stay
+            line = RUN.sub(lambda m: "\u200b" * len(m[0]) if len(m[0]) > LONG else m[0], line)
         flat = line.translate(INVISIBLE).replace("\xa0", " ").strip(" \t>*-•·")
-        if len(flat) > 4000 and " " not in flat[:400] and not SIGNS.search(flat[:400]):
-            continue
         if NOT_PROSE.search(flat) or (line.startswith(("    ", "\t")) and re.search(r"[=()]", line)):
             continue
         begin = 0

@@ -203,6 +203,17 @@ def test_languages_of_documents_and_passages(spark):
     assert cases == {(300, "en"), (301, "de"), (302, "en"), (302, "de"), (308, "de")}
 
 
+def test_prose_after_a_very_long_word_is_read():
+    prose = "Der Auftrag wurde gestern Abend noch einmal sorgfältig geprüft. Danach lief alles wieder ohne Fehler."
+    for word in ("w" * 5000, "data:image/png;base64," + "iVBORw0KGgo+/" * 9000, "д" * 4500):
+        for line in (f"{word} {prose}", f"> {word} {prose}", f"{prose} {word}"):
+            got = languages.sentences(f"x\n{line}\n")
+            assert len(got) == 2 and "Der Auftrag" in got[0][2] and got[1][2].startswith("Danach"), line[:20]
+            assert all(a < e <= len(line) + 2 for a, e, _ in got)
+    assert languages.sentences("w" * 9000) == []
+    assert languages.sentences("説明を読んでから処理を始めます。" + "A" * 5000 + "それでも失敗することがあります。")[-1][2].endswith("それでも失敗することがあります。")
+
+
 def test_languages_of_nothing(spark):
     df = spark.createDataFrame([(1, None, None, None, None, None, None)], DOCS)
     assert languages.passages(df).count() == 0
