@@ -3,8 +3,12 @@
 Texts are cut into sentences of prose; code, log lines, headings and quoted messages are left out. A naive Bayes model
 over words and their letter triples gives each sentence a likelihood in every language. Bayes' rule then joins it with what
 else is known: the declared label, read as a noisy report, and the languages of the host (the document's repository and
-source), whose priors are smoothed towards their parents' and come from one grouped aggregation. The model is fitted on at
-most SAMPLE labelled documents; everything else runs over all of them.
+source), whose priors are smoothed towards their parents' and come from one grouped aggregation. A sentence of a few words
+also leans on the nearest longer one of its text. The model is fitted on at most SAMPLE labelled documents; everything else
+runs over all of them.
+
+Lines and sentences of a whole Arrow batch are tested at once, by Arrow's kernels and over arrays of code points; every
+distinct word of a batch is scored once.
 """
 
 from __future__ import annotations
@@ -13,87 +17,178 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import shared_folder
+from fathom.llm.common import codepoints
+from fathom.sources.tables import settle
 
 CODES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "ja", "zh")
 SAMPLE, BUCKETS, SMOOTH = 20_000, 1 << 16, 0.05
 TEMPER, LABEL_TRUST, HOST_WEIGHT, SOURCE_WEIGHT = 0.35, 0.7, 20.0, 50.0
-SALTS = 32
-MIN_WORDS, MIN_SIGNS = 4, 6
-
-FENCE = re.compile(r"^\s*(?:```|~~~)(.*)$")
-NOT_PROSE = re.compile(
-    r"^\s*(?:#{1,6}\s|>>>|\.\.\.\s|\$\s|@\w|E\s{2,}|:\w+(?:\s+\w+)?:|-{3,}|={3,}|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d|(?:def|class|import|from|return|raise|assert|with|for|while|if|elif|else|try|except|export|function|const|let|var|async)\b[^.!?]*[:;({=]?\s*$|\"\"\"|'''|//|/\*|#|Traceback\b|File \"|collected\W+\d+\W+items|(?:FAILED|ERROR|PASSED|WARN(?:ING)?|INFO|DEBUG)\s)"
-    r"|::test_|\S+\.(?:py|js|json|toml)(?:\s+[.FEsx]+\s|:\d+:)|\bassert \d+ ==|retry=\d+|^\s*[\w.]+(?:\(.*\)|\[.*\])?\s*[-+*/]?=(?!=)\s*\S|[{;]\s*$|\)\s*:\s*$",
-    re.I,
-)
-QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』|https?://\S+")
-ENDS = re.compile(r"(?<=[.!?…])[\"'’”»)\]]*(?=\s|$)|(?<=[。！？])")
-FINAL = re.compile(r"[.!?…。！？][\"'’”»)\]]*\W*$")
-SIGNS = re.compile(r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+SALTS, SMALL_HOSTS = 32, 100_000  # copies of a host's prior where hosts are joined by a shuffle; up to so many hosts are broadcast
+LEAST_LETTERS, LEAST_SIGNS = 8, 3  # of a sentence, which besides has two words
+SHORT_WORDS, SHORT_SIGNS, LEAN = 4, 6, 0.5  # what is shorter leans on its neighbour with this weight
+CHARS_A_STEP, KEPT_WORDS = 2_000_000, 200_000
 LONG = 4000  # characters of a word that no language has
+
+# What is no prose. The patterns are RE2's, where \w, \s and \d are ASCII.
+LINE_END = re.compile(r"(\r\n|[\r\n\x85  ])")
+OTHER_ENDS = re.compile(r"[\r\x85  ]")
+FENCE = r"^[\s\pZ]*(?:```|~~~)"
+NOT_PROSE = (
+    r"(?i)^\s*(?:#{1,6}\s|>>>|\.\.\.\s|\$\s|@\w|E\s{2,}|:\w+(?:\s+\w+)?:|-{3,}|={3,}|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d|(?:def|class|import|from|return|raise|assert|with|for|while|if|elif|else|try|except|export|function|const|let|var|async)\b[^.!?]*[:;({=]?\s*$|\"\"\"|\'\'\'|//|/\*|#|Traceback\b|File \"|collected\W+\d+\W+items|(?:FAILED|ERROR|PASSED|WARN(?:ING)?|INFO|DEBUG)\s)"
+    r"|::test_|\S+\.(?:py|js|json|toml)(?:\s+[.FEsx]+\s|:\d+:)|\bassert \d+ ==|retry=\d+|^\s*[\pL\pN_.]+(?:\(.*\)|\[.*\])?\s*[-+*/]?=(?:\s+\S|[^=\s])|[{;]\s*$|\)\s*:\s*$"
+)
+INDENTED = r"(?s)^(?:    |\t).*[=()]"
+QUOTED = r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』|https?://[^\s\pZ]+"
+FINAL = r"[.!?…。！？][\"\'’”»)\]]*[^\pL\pN_]*$"
+ODD = r"[_/=<>(){}\[\]|\\\p{Nd}]|[\pL\pN_]\.[\pL\pN_]|[a-z][A-Z]"
+SIGN_RANGES = r"\x{3005}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+INVISIBLE = r"[\x{200b}\x{200c}\x{200d}\x{feff}\x{2060}\x{ad}]"
+SIGNS = re.compile(r"[々぀-ヿ㐀-䶿一-鿿豈-﫿]")
 RUN = re.compile(r"[^\s" + SIGNS.pattern[1:-1] + "]+")
-WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-ODD = re.compile(r"[_/=<>(){}\[\]|\\\d]|\w\.\w|[a-z][A-Z]")
-ASCII_RUN = re.compile(r"[!-~]+")
-INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060, 0xAD])
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, cleaned sentence) of the prose in a text, in order."""
-    out, at, fenced, tag = [], 0, False, False
-    for line in re.split(r"(\r\n|[\r\n\x85\u2028\u2029])", text):
-        start, at = at, at + len(line)
-        f = FENCE.match(line)
-        if f:
-            fenced = True if f[1].strip() and not fenced else not fenced
-            continue
-        if fenced or not line.strip():
-            continue
-        if len(line) > LONG:  # the word goes, its place and the rest of the line stay
-            line = RUN.sub(lambda m: "\u200b" * len(m[0]) if len(m[0]) > LONG else m[0], line)
-        flat = line.translate(INVISIBLE).replace("\xa0", " ").strip(" \t>*-•·")
-        if NOT_PROSE.search(flat) or (line.startswith(("    ", "\t")) and re.search(r"[=()]", line)):
-            continue
-        begin = 0
-        for m in [*ENDS.finditer(line), None]:
-            end = m.end() if m else len(line)
-            piece = line[begin:end]
-            clean = without_names(QUOTED.sub(" ", unicodedata.normalize("NFKC", piece.translate(INVISIBLE))))
-            words, signs = WORDS.findall(clean), len(SIGNS.findall(clean))
-            if (len(words) >= MIN_WORDS or signs >= MIN_SIGNS) and (FINAL.search(piece) or len(words) >= 8):
-                out.append((start + begin, start + end, clean))
-            begin = end
+def _classes() -> np.ndarray:
+    """1 for marks that end a sentence before a blank, 2 for what may close it, 3 for marks that end it at once, 4 for blanks."""
+    out = np.zeros(1 << 16, np.uint8)
+    out[[i for i in range(1 << 16) if chr(i).isspace()]] = 4
+    for n, signs in ((1, ".!?…"), (2, "\"'’”»)]"), (3, "。！？")):
+        out[[ord(c) for c in signs]] = n
     return out
 
 
-def without_names(piece: str) -> str:
-    """The words of a sentence without identifiers, paths and numbers; in scripts without spaces without all of ASCII."""
-    out = []
-    for t in piece.split():
-        if ODD.search(t.strip("()[]{}<>.,;:!?'\"")):
-            if not SIGNS.search(t):
-                continue
-            t = ASCII_RUN.sub(" ", t)
-        out.append(t)
-    return " ".join(out)
-
-
-def units(clean: str) -> list[str]:
-    """Words in lower case; runs without spaces in their own script give single signs and pairs."""
-    out = []
-    for w in WORDS.findall(clean.lower()):
-        if SIGNS.search(w):
-            out += [*w, *(w[i : i + 2] for i in range(len(w) - 1))]
-        else:
-            out.append(w)
-    return out
+CLASS = _classes()
+
+
+class Prose(NamedTuple):
+    """Sentences of some texts: the text, start and end of each, its cleaned words (codes into names), where they begin, and
+    whether it is short."""
+
+    of: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    names: list[str]
+    codes: np.ndarray
+    bounds: np.ndarray
+    short: np.ndarray
+
+
+def _listed(values: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    return values.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy())])
+
+
+def _lines(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lines that may hold prose, the text of each, and where it starts there."""
+    lines: list[str] = []
+    of, at = [], []
+    for i, t in enumerate(texts):
+        parts = LINE_END.split(t) if OTHER_ENDS.search(t) else re.split("(\n)", t)
+        lines += parts[::2]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        of.append(np.full((len(parts) + 1) // 2, i))
+        at.append((np.cumsum(sizes) - sizes)[::2])
+    text_of, start = np.concatenate(of), np.concatenate(at)
+    for k in np.flatnonzero(np.fromiter(map(len, lines), np.int64, len(lines)) > LONG):  # the word goes, its place and the rest of the line stay
+        lines[k] = RUN.sub(lambda m: "​" * len(m[0]) if len(m[0]) > LONG else m[0], lines[k])
+    rows = pa.array(lines, pa.large_string())
+    fence = pc.match_substring_regex(rows, FENCE).to_numpy(zero_copy_only=False)
+    # inside of a fence the number of fences before is odd, counted from the first line of the text
+    before = np.cumsum(fence) - fence
+    first = np.concatenate([[0], np.flatnonzero(np.diff(text_of)) + 1])
+    inside = (before - before[first][np.searchsorted(first, np.arange(len(lines)), side="right") - 1]) % 2 == 1
+    flat = pc.utf8_trim(pc.replace_substring(pc.replace_substring_regex(rows, INVISIBLE, ""), "\xa0", " "), characters=" \t>*-•·")
+    other = pc.or_(pc.match_substring_regex(flat, NOT_PROSE), pc.match_substring_regex(rows, INDENTED)).to_numpy(zero_copy_only=False)
+    words = pc.match_substring_regex(flat, r"\pL").to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(~(fence | inside | other) & words)
+    return [lines[k] for k in kept], text_of[kept], start[kept]
+
+
+def _composed(values: pa.Array) -> pa.Array:
+    """In normal form KC; what is ASCII is so already."""
+    rare = pc.invert(pc.string_is_ascii(values))
+    return pc.replace_with_mask(values, rare, pa.array([unicodedata.normalize("NFKC", x) for x in values.filter(rare).to_pylist()], values.type))
+
+
+def cut(texts: list[str]) -> Prose:
+    """The sentences of prose in texts, in order."""
+    none = np.zeros(0, np.int64)
+    lines, text_of, offset = _lines(texts) if texts else ([], none, none)
+    if not lines:
+        return Prose(none, none, none, [], none, np.zeros(1, np.int64), np.zeros(0, bool))
+    joined = "\n".join(lines) + "\n"
+    points = codepoints(joined)
+    kind = np.where(points < 1 << 16, CLASS[points & 0xFFFF], 0)
+    place = np.arange(len(points))
+    # where a blank follows a mark, or what closes it, a sentence ends
+    open_ = np.maximum.accumulate(np.where(kind != 2, place, 0))
+    after = np.concatenate([[0], open_[:-1]])
+    blank_end = np.flatnonzero((kind == 4) & (kind[after] == 1) & (place > 0))
+    line_end = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1) - 1
+    end = np.unique(np.concatenate([blank_end, np.flatnonzero(kind == 3) + 1, line_end]))
+    start = np.concatenate([[0], end[:-1] + (points[end[:-1]] == 10)])
+    full = end > start
+    start, end = start[full], end[full]
+    line = np.searchsorted(line_end, start, side="right")
+    pieces = pa.array([joined[a:e] for a, e in zip(start.tolist(), end.tolist())], pa.large_string())
+    final = pc.match_substring_regex(pieces, FINAL).to_numpy(zero_copy_only=False)
+    clean = pc.replace_substring_regex(_composed(pc.replace_substring_regex(pieces, INVISIBLE, "")), QUOTED, " ")
+    # words without identifiers, paths and numbers; in scripts without blanks without all of ASCII
+    tokens, piece_at = _listed(pc.utf8_split_whitespace(clean))
+    odd = pc.match_substring_regex(pc.utf8_trim(tokens, characters="()[]{}<>.,;:!?\'\""), ODD)
+    native = pc.match_substring_regex(tokens, f"[{SIGN_RANGES}]")
+    mixed = pc.and_(odd, native)
+    tokens = pc.replace_with_mask(pc.if_else(pc.and_not(odd, native), "", tokens), mixed, pc.replace_substring_regex(tokens.filter(mixed), "[!-~]+", " "))
+    words, token_at = _listed(pc.split_pattern_regex(pc.utf8_lower(tokens), r"[^\pL'’]+"))
+    words = pc.utf8_trim(words, characters="'’")
+    there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    piece_at = np.concatenate([[0], np.cumsum(there)])[token_at[piece_at]]
+    coded = words.filter(pa.array(there)).dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    signs_of = np.fromiter((len(SIGNS.findall(w)) for w in names), np.int64, len(names))
+    letters_of = np.fromiter(map(len, names), np.int64, len(names))
+    total = lambda of: np.diff(np.concatenate([[0], np.cumsum(of[codes])])[piece_at])
+    n_words, n_signs, n_letters = np.diff(piece_at), total(signs_of), total(letters_of)
+    short = (n_words < SHORT_WORDS) & (n_signs < SHORT_SIGNS)
+    ok = np.flatnonzero(((n_words >= 2) & (n_letters >= LEAST_LETTERS) | (n_signs >= LEAST_SIGNS)) & (final | (n_words >= 8)))
+    at = _ranges(piece_at[ok], n_words[ok])
+    shift = offset[line] - np.concatenate([[0], line_end[:-1] + 1])[line]
+    return Prose(text_of[line[ok]], (start + shift)[ok], (end + shift)[ok], names, codes[at], np.concatenate([[0], np.cumsum(n_words[ok])]), short[ok])
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of each size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, sentence) of the prose in a text, in order."""
+    p = cut([text])
+    return [(a, e, text[a:e].strip()) for a, e in zip(p.start.tolist(), p.end.tolist())]
+
+
+def steps(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about CHARS_A_STEP characters, each with the number of texts before."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHARS_A_STEP:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def units(word: str) -> list[str]:
+    """A word itself; of a run without blanks in its own script the single signs and pairs."""
+    return [*word, *(word[i : i + 2] for i in range(len(word) - 1))] if SIGNS.search(word) else [word]
 
 
 def plain(word: str) -> str:
@@ -110,30 +205,42 @@ def buckets(unit: str) -> list[int]:
 
 
 class Model:
-    """Log-likelihoods of units in every language; words weigh as one, their triples as one together."""
+    """Log-likelihoods of words in every language; a word weighs as one, its triples as one together."""
 
     def __init__(self, counts: np.ndarray):
         total = counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS
         self.table = np.log((counts + SMOOTH) / total).astype(np.float32)
         self.known: dict[str, np.ndarray] = {}
 
-    def unit(self, u: str) -> np.ndarray:
-        v = self.known.get(u)
+    def word(self, w: str) -> np.ndarray:
+        v = self.known.get(w)
         if v is None:
-            b = buckets(u)
-            v = self.table[:, b[0]].copy()
-            if len(b) > 1:
-                v += self.table[:, b[1:]].mean(axis=1)
-            if len(self.known) > 200_000:
+            v = np.zeros(len(CODES), np.float32)
+            for u in units(w):
+                b = buckets(u)
+                v += self.table[:, b[0]]
+                if len(b) > 1:
+                    v += self.table[:, b[1:]].mean(axis=1)
+            if len(self.known) > KEPT_WORDS:
                 self.known.clear()
-            self.known[u] = v
+            if len(w) < 40:
+                self.known[w] = v
         return v
 
-    def sentence(self, us: list[str]) -> np.ndarray:
-        total = np.zeros(len(CODES), np.float32)
-        for u in us:
-            total += self.unit(u)
-        return total
+    def score(self, p: Prose) -> np.ndarray:
+        """Tempered log-likelihoods of every sentence; short ones lean on the nearest longer one of their text, before or after."""
+        if not len(p.of):
+            return np.zeros((0, len(CODES)), np.float32)
+        words = np.array([self.word(w) for w in p.names], np.float32)
+        own = np.add.reduceat(words[p.codes], p.bounds[:-1], axis=0) * np.float32(TEMPER)
+        if p.short.any():
+            place = np.arange(len(p.of))
+            before = np.maximum.accumulate(np.where(p.short, -1, place))
+            after = np.minimum.accumulate(np.where(p.short, len(place), place)[::-1])[::-1]
+            near = np.where((before >= 0) & (p.of[before] == p.of), before, np.where(after < len(place), after, 0))
+            leans = np.flatnonzero(p.short & ~p.short[near] & (p.of[near] == p.of))
+            own[leans] += np.float32(LEAN) * (own[near[leans]] - own[near[leans]].max(axis=1, keepdims=True))
+        return own
 
 
 _MODELS: dict[str, Model] = {}
@@ -153,27 +260,28 @@ def declared(label: Column) -> Column:
 
 
 def _counts(sample: DataFrame, counts: np.ndarray | None) -> np.ndarray:
-    """Unit counts by language over the sample: by label, or by what an earlier model says of each sentence."""
+    """Bucket counts by language over the sample: by label, or by what an earlier model says of each sentence."""
     sender = sample.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers a language, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sender.value) if sender.value is not None else None
-        seen: dict[int, int] = {}
-        known: dict[str, list[int]] = {}
+        seen = np.zeros((len(CODES), BUCKETS), np.int64)
         for b in batches:
-            for text, label in zip(b.column("body").to_pylist(), b.column("label").to_pylist()):
-                k = CODES.index(label)
-                for _, _, clean in sentences(text):
-                    us = units(clean)
-                    if model:
-                        ll = model.sentence(us) * TEMPER
-                        k = int(ll.argmax())
-                        if np.sort(ll)[-1] - np.sort(ll)[-2] < 3:
-                            continue
-                    for u in us:
-                        for i in known.get(u) or known.setdefault(u, buckets(u)):
-                            seen[k * BUCKETS + i] = seen.get(k * BUCKETS + i, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["slot", "n"])
+            labels = np.array([CODES.index(x) for x in b.column("label").to_pylist()], np.int64)
+            for first, texts in steps(b.column("body").to_pylist()):
+                p = cut(texts)
+                k = labels[first + p.of]
+                if model and len(p.of):
+                    ll = model.score(p)
+                    two = np.sort(ll, axis=1)[:, -2:]
+                    k = np.where(two[:, 1] - two[:, 0] < 3, -1, ll.argmax(axis=1))
+                k = np.repeat(k, np.diff(p.bounds))
+                slot, n = np.unique((k * len(p.names) + p.codes)[k >= 0], return_counts=True)
+                for s, c in zip(slot.tolist(), n.tolist()):
+                    for u in units(p.names[s % len(p.names)]):
+                        np.add.at(seen[s // len(p.names)], buckets(u), c)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen.ravel()[slot], pa.int64())], names=["slot", "n"])
 
     table = sample.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(CODES) * BUCKETS)
@@ -182,18 +290,26 @@ def _counts(sample: DataFrame, counts: np.ndarray | None) -> np.ndarray:
 
 
 def fit(documents: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> np.ndarray:
-    """Counts of a model fitted on at most sample labelled documents, picked by hash; the second round unlearns wrong labels."""
-    rows = documents.select(F.col(text).alias("body"), declared(F.col(label)).alias("label"), F.xxhash64(F.col(key)).alias("h")).where("label is not null and body is not null")
-    picked = rows.orderBy("h").limit(sample).select("body", "label").repartition(max(1, documents.sparkSession.sparkContext.defaultParallelism))
+    """Counts of a model fitted on about sample labelled documents: those of the smallest hashes of their keys, by a threshold
+    that the number of labelled documents sets. The second round unlearns wrong labels."""
+    rows = documents.select(F.col(text).alias("body"), declared(F.col(label)).alias("label"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)).alias("h")).where("label is not null and body is not null")
+    n = rows.select("label").count()
+    if n > sample:
+        rows = rows.where(F.col("h") < int((1 << 40) * sample / n))
+    picked = settle(rows.select("body", "label").repartition(max(1, documents.sparkSession.sparkContext.defaultParallelism)), "sample")
     return _counts(picked, _counts(picked, None))
 
 
+SPANS = "array<struct<start:int,end:int,ll:array<float>>>"
+
+
 def passages(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", hosts: tuple[str, str] = ("source", "repo"), sample: int = SAMPLE) -> DataFrame:
     """The passages of every text as (key, passage_no, start_char, end_char, lang, confidence, label).
 
     A passage is a run of sentences of prose in one language. label is the code that the label column declares, null for a
     missing or unknown one. Null, empty and blank texts and texts without prose have no passages. Null hosts count as a
-    host of their own. Keys should be unique; rows with an equal key are told apart only by position.
+    host of their own. Rows with an equal key are texts of their own. A sentence has two words of
+    LEAST_LETTERS letters together, or LEAST_SIGNS signs, at least.
     """
     spark = SparkSession.active()
     counts = fit(documents, key, text, label, sample)
@@ -205,51 +321,57 @@ def passages(documents: DataFrame, key: str = "doc_id", text: str = "text", labe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sender.value, name)
         for b in batches:
-            of, no, start, end, ll = [], [], [], [], []
-            for i, t in enumerate(b.column("body").to_pylist()):
-                for n, (a, e, clean) in enumerate(sentences(t)):
-                    of.append(i)
-                    no.append(n)
-                    start.append(a)
-                    end.append(e)
-                    ll.append((model.sentence(units(clean)) * TEMPER).tolist())
-            if of:
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(c).take(take) for c in ("k", "label", "source", "repo")] + [pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(ll, pa.list_(pa.float32()))],
-                    names=["k", "label", "source", "repo", "no", "start", "end", "ll"],
-                )
-
-    folder = shared_folder(spark, "sentences")  # read twice: for the priors, and to be joined with them
-    rows.mapInArrow(run, f"k {kind}, label string, source string, repo string, no int, start int, end int, ll array<float>").write.parquet(folder)
-    scored = spark.read.parquet(folder)
-    fused = _with_priors(scored)
-    posterior = F.zip_with("ll", "prior", lambda a, p: a + F.log(p))
-    codes = F.array(*[F.lit(c) for c in CODES])
-    report = F.when(F.col("label").isNull(), F.transform(codes, lambda _: F.lit(0.0))).otherwise(F.transform(codes, lambda c: F.when(c == F.col("label"), F.lit(float(np.log(LABEL_TRUST)))).otherwise(F.lit(float(np.log((1 - LABEL_TRUST) / (len(CODES) - 1)))))))
-    scores = F.zip_with(posterior, report, lambda a, b: a + b)
-    best = fused.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
-    best = best.withColumn("lang", F.element_at(codes, F.array_position("scores", F.col("top")).cast("int"))).withColumn("odds", F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    # runs of one language within a document: a document's sentences are a handful of narrow rows
-    runs = best.groupBy("k", "label").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "lang", F.log("odds").alias("doubt")))).alias("s"))
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["lang"] == x["lang"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), x["end"].alias("end"), x["lang"].alias("lang"), F.least(F.try_element_at(acc, F.lit(-1))["doubt"], x["doubt"]).alias("doubt")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["lang"].alias("lang"), x["doubt"].alias("doubt")))))
-    merged = F.aggregate("s", F.lit(None).cast("array<struct<start:int,end:int,lang:string,doubt:double>>"), lambda acc, x: step(F.coalesce(acc, F.array().cast("array<struct<start:int,end:int,lang:string,doubt:double>>")), x))
-    return runs.select(F.col("k").alias(key), "label", F.posexplode(merged).alias("i", "p")).select(key, (F.col("i") + 1).alias("passage_no"), F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.lang").alias("lang"), F.round(F.exp(-F.col("p.doubt")), 6).alias("confidence"), "label")
+            for first, texts in steps(b.column("body").to_pylist()):
+                p = cut(texts)
+                if not len(p.of):
+                    continue
+                ll = model.score(p)
+                ll -= ll.max(axis=1, keepdims=True)
+                begin = np.concatenate([[0], np.flatnonzero(np.diff(p.of)) + 1, [len(p.of)]])
+                likelihoods = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * len(CODES), pa.int32()), pa.array(ll.ravel(), pa.float32()))
+                spans = pa.StructArray.from_arrays([pa.array(p.start, pa.int32()), pa.array(p.end, pa.int32()), likelihoods], ["start", "end", "ll"])
+                take = pa.array(first + p.of[begin[:-1]])
+                yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("k", "label", "source", "repo")] + [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), spans)], names=["k", "label", "source", "repo", "spans"])
+
+    # read twice: for the priors, and to be joined with them
+    scored = settle(rows.mapInArrow(run, f"k {kind}, label string, source string, repo string, spans {SPANS}"), "sentences")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Posteriors of sentences, and runs of one language within each text."""
+        doubt, trust = np.log((1 - LABEL_TRUST) / (len(CODES) - 1)), np.log(LABEL_TRUST)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            spans, at = _listed(b.column("spans"))
+            of = np.repeat(np.arange(b.num_rows), np.diff(at))
+            ll = spans.field("ll").flatten().to_numpy().reshape(-1, len(CODES)).astype(np.float64)
+            prior = np.log(b.column("prior").flatten().to_numpy().reshape(-1, len(CODES)))
+            report = np.array([[0.0] * len(CODES) if x is None else [trust if c == x else doubt for c in CODES] for x in b.column("label").to_pylist()])
+            ll += (prior + report)[of]
+            best = ll.argmax(axis=1)
+            odds = np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (best[1:] != best[:-1])])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(of)) - 1
+            doc = of[first]
+            number = np.arange(len(first)) - np.searchsorted(doc, doc) + 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k").take(pa.array(doc)), pa.array(number, pa.int32()), spans.field("start").take(pa.array(first)), spans.field("end").take(pa.array(last)), pa.array(CODES).take(pa.array(best[first])), pa.array(np.round(1 / np.minimum.reduceat(odds, first), 6)), b.column("label").take(pa.array(doc))],
+                names=["k", "passage_no", "start_char", "end_char", "lang", "confidence", "label"],
+            )
+
+    out = _with_priors(scored).select("k", "label", "spans", "prior").mapInArrow(fuse, f"k {kind}, passage_no int, start_char int, end_char int, lang string, confidence double, label string")
+    return out.withColumnRenamed("k", key)
 
 
 def _with_priors(scored: DataFrame) -> DataFrame:
-    """Each sentence with the prior of its host: counts of likeliest languages by repository, smoothed towards the source's,
-    and those towards the whole corpus'. Hosts may be large: their documents are spread over salted copies of the prior."""
-    codes = F.array(*[F.lit(c) for c in CODES])
-    likeliest = F.element_at(codes, F.array_position("ll", F.array_max("ll")).cast("int"))
-    n = scored.groupBy("repo", "source", likeliest.alias("lang")).agg(F.count("*").alias("n"))
-    tally = lambda: [F.coalesce(F.sum(F.when(F.col("lang") == c, F.col("n"))), F.lit(0)).alias(c) for c in CODES]
+    """Each text with the prior of its host: counts of likeliest languages by repository, smoothed towards the source's,
+    and those towards the whole corpus'. Up to SMALL_HOSTS priors are broadcast; beyond, texts are spread over salted copies of
+    their host's, as a host may have many."""
+    span = F.explode(F.transform("spans", lambda s: F.array_position(s["ll"], F.array_max(s["ll"])).cast("int")))
+    n = settle(scored.select("repo", "source", span.alias("best")).groupBy("repo", "source", "best").agg(F.count("*").alias("n")), "hosts")
+    tally = lambda: [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in enumerate(CODES, 1)]
     rows = n.groupBy("repo", "source").agg(*tally())
-    from pyspark.sql import Window
-
     whole = [(F.col(f"all_{c}") + 1) / (sum(F.col(f"all_{x}") for x in CODES) + len(CODES)) for c in CODES]
     by_source = n.groupBy("source").agg(*tally())
     # one row per source: the window over all of them is as small as that list
@@ -258,6 +380,9 @@ def _with_priors(scored: DataFrame) -> DataFrame:
     by_source = by_source.select("source", *[((F.col(f"src_{c}") + SOURCE_WEIGHT * w) / (source_total + SOURCE_WEIGHT)).alias(f"p_{c}") for c, w in zip(CODES, whole)])
     total = sum(F.col(x) for x in CODES)
     prior = rows.join(by_source, "source").select("repo", "source", F.array(*[(F.col(c) + HOST_WEIGHT * F.col(f"p_{c}")) / (total + HOST_WEIGHT) for c in CODES]).alias("prior"))
+    prior = settle(prior, "priors")
+    if prior.count() <= SMALL_HOSTS:
+        return scored.join(F.broadcast(prior), ["repo", "source"])
     prior = prior.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return scored.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(prior, ["repo", "source", "salt"]).drop("salt")
 

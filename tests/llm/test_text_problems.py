@@ -219,3 +219,20 @@ def test_languages_of_nothing(spark):
     assert languages.passages(df).count() == 0
     assert languages.passages(df.limit(0)).count() == 0
     assert F is not None
+
+
+def test_short_sentences_have_a_language(spark):
+    rows = [(i, " ".join(EN[i % 3 :] + EN[: i % 3]), "en", "s", "r", "x", "y") for i in range(30)] + [(100 + i, " ".join(DE[i % 3 :] + DE[: i % 3]), "de", "s", "q", "x", "y") for i in range(30)]
+    rows += [(300, DE[0] + " Das geht nicht.", "de", "s", "q", "x", "y"), (301, "Nicht alle Abschnitte fehlen.", None, "s", "q", "x", "y"), (302, "Im Protokoll steht nichts.", "xx", "s", "q", "x", "y"), (303, "Die Abschnitte fehlen.", "xx", "s", "q", "x", "y"), (304, "OK.\n1.2.\nfi ab.", None, "s", "q", "x", "y")]
+    found = {}
+    for r in languages.passages(spark.createDataFrame(rows, DOCS)).collect():
+        found.setdefault(r.doc_id, []).append((r.lang, r.end_char))
+    assert found[300] == [("de", len(DE[0]) + 16)] and [found[i][0][0] for i in (301, 302, 303)] == ["de"] * 3 and 304 not in found
+
+
+def test_priors_of_many_hosts_are_joined_in_salted_copies(spark, monkeypatch):
+    rows = [(i, EN[i % 3], None, "s", f"r{i % 7}", "x", "y") for i in range(40)] + [(100 + i, " ".join(DE), "de", None, None, "x", "y") for i in range(40)] + [(200 + i, " ".join(EN), "en", "s", "big", "x", "y") for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    few = sorted(map(tuple, languages.passages(df).collect()), key=str)
+    monkeypatch.setattr(languages, "SMALL_HOSTS", 0)
+    assert few and sorted(map(tuple, languages.passages(df).collect()), key=str) == few
