@@ -1,13 +1,17 @@
 """Problem 6: the most similar vectors of every vector.
 
-Unit vectors are projected on a few directions of normal random numbers. Such projections are 2-stable: a projected squared
-distance, divided by the true one, follows a chi-square law. A kd-tree over projected points cuts the corpus into cells, and
-within a cell into buckets; a query takes buckets in order of their projected distance, verifies their vectors with the true
-cosine and stops when the chi-square test says that a nearer vector would already have been seen.
-
-The top of the tree is fitted on a bounded sample; all vectors are indexed. Each query first searches its home cell, which
-gives it a stopping radius, and then travels to the cells that this radius still touches. Vectors of one direction are one
-point of the index, so that many copies cost no more than one. Cells that are too large for a task are split into blocks.
+Unit vectors are projected on a few directions of normal random numbers. Such projections are 2-stable: seen from a query, a
+neighbour at a known true distance lies in projected space by a normal law of that width, and the squared projected distance,
+divided by the true one, follows a chi-square law. A kd-tree over projected points cuts the corpus into cells, and within a
+cell into buckets; a query takes buckets in order of their projected distance, verifies their vectors with the true cosine
+and stops when the chi-square test says that a nearer vector would already have been seen.
+
+Each query first searches its home cell, which bounds the distance that still matters. It then travels to the cells that a
+neighbour at this distance may lie in, most likely first, until the normal law leaves too little beside them. Where a least
+cosine is given, two trees of independent directions are travelled less far each: a pair is met in either tree and from
+either side, and the number of cells a query visits does not grow with their number. The top of a tree is fitted on a bounded
+sample; all vectors are indexed. Vectors of one direction are one point of the index, so that many copies cost no more than
+one. Cells that are too large for a task are split into blocks.
 """
 
 from __future__ import annotations
@@ -17,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import shared_folder
+from fathom.sources.tables import settle
 
 DIMENSIONS, K, MIN_COSINE = 64, 5, 0.85
-PROJECTED, CONFIDENCE, SEED = 4, 1.2816, 7  # the confidence of the test as a normal quantile: 1.2816 is 90 % for a pair at the limit, from either side
-ALL_CONFIDENCE = 2.3263  # 99 %, where no least cosine is given
-SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 30_000, 16, 4096, 60_000, 128
+PROJECTED, TREES, SEED = 8, 2, 7
+CONFIDENCE = 1.6449  # of the test inside of a cell, as a normal quantile: 95 %
+MASS = 0.85  # of where a neighbour may lie, so much is travelled to in each of several trees
+ALL_MASS, ALL_CONFIDENCE = 0.98, 2.3263  # where no least cosine is given: one tree, and the test at 99 %
+LEAST_MASS = 0.0005  # a cell less likely than this is not followed, nor one of less than a twentieth of its even share
+SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 4_000, 4, 1 << 16, 60_000, 128
 
 
 def chi_square_quantile(m: int, z: float) -> float:
@@ -37,6 +44,13 @@ def directions(dimensions: int, projected: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dimensions, projected)).astype(np.float32)
 
 
+def normal(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to four digits."""
+    t = 1 / (1 + np.float32(0.33267) * np.abs(z))
+    p = np.exp(-z * z / 2) * np.float32(0.3989423) * t * (np.float32(0.4361836) + t * (np.float32(-0.1201676) + t * np.float32(0.937298)))
+    return np.where(z > 0, 1 - p, p)
+
+
 def fixed_binary(column: pa.Array, width: int, dtype: type) -> np.ndarray:
     """A binary column, all values of one size, as rows of numbers."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
@@ -70,7 +84,7 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, count: int):
         self.splits: list[tuple[int, int, float]] = []  # (node, direction, value); children of node i are 2i + 1 and 2i + 2
-        depth = max(0, math.ceil(math.log2(max(1, count))))
+        depth = max(0, round(math.log2(max(1, count))))
         self.depth = depth
         m = sample.shape[1]
         self.axis, self.value = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1, np.float32)
@@ -90,6 +104,33 @@ class Cells:
         return node - ((1 << self.depth) - 1)
 
 
+    def likely(self, points: np.ndarray, bound: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of the likeliest cells that hold so much of the normal law around each point with variance bound."""
+        n, m = points.shape
+        least = min(LEAST_MASS, 0.05 / (1 << self.depth))
+        width = np.sqrt(np.maximum(bound, 1e-6)).astype(np.float32)
+        q, node, share = np.arange(n), np.zeros(n, np.int64), np.ones(n, np.float32)
+        low, high = np.zeros((n, m), np.float32), np.ones((n, m), np.float32)
+        for _ in range(self.depth):
+            rows, axis = np.arange(len(q)), self.axis[node]
+            cut = np.clip(normal((self.value[node] - points[q, axis]) / width[q]), low[rows, axis], high[rows, axis])
+            span = np.maximum(high[rows, axis] - low[rows, axis], 1e-12)
+            left = share * (cut - low[rows, axis]) / span
+            right = share - left
+            low_right, high_left = low.copy(), high.copy()
+            low_right[rows, axis], high_left[rows, axis] = cut, cut
+            keep = np.concatenate([left, right]) >= least
+            q, node, share = np.tile(q, 2)[keep], np.concatenate([2 * node + 1, 2 * node + 2])[keep], np.concatenate([left, right])[keep]
+            low, high = np.concatenate([low, low_right])[keep], np.concatenate([high_left, high])[keep]
+        order = np.lexsort((-share, q))
+        q, cell, share = q[order], node[order] - ((1 << self.depth) - 1), share[order]
+        total = np.cumsum(share, dtype=np.float64)
+        first = np.searchsorted(q, np.arange(n))
+        before = total - share - np.concatenate([[0.0], total])[first][q]
+        enough = before < mass
+        return q[enough], cell[enough]
+
+
 class Buckets:
     """A kd-tree's leaves over the points of one block, in order, with their boxes."""
 
@@ -197,38 +238,39 @@ def _found(me: np.ndarray, ids: np.ndarray, where: np.ndarray, best: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(me[q], pa.int64()), pa.array(ids[where[ok]], pa.int64()), pa.array(best[ok], pa.float32())], names=["me", "other", "cosine"])
 
 
-def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min_cosine: float | None, projected: int, confidence: float, seed: int) -> DataFrame:
+def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min_cosine: float | None, projected: int, trees: int, mass: float, confidence: float, seed: int) -> DataFrame:
     """(me, other, cosine) of the k most similar points of every point(direction, unit), of at least min_cosine if that is given."""
     min_cosine = -1.0 if min_cosine is None else min_cosine
     spark = points.sparkSession
-    axes = directions(dimensions, projected, seed)
+    axes = [directions(dimensions, projected, seed + t) for t in range(trees)]
     quantile = chi_square_quantile(projected, confidence)
     widest = 2 - 2 * min_cosine
 
     rows = points.orderBy(F.xxhash64("direction", F.lit(seed))).limit(SAMPLE).select("unit").toArrow() if n > SAMPLE else points.select("unit").toArrow()
-    sample = fixed_binary(rows.column("unit").combine_chunks() if rows.num_rows else pa.array([], pa.binary()), dimensions, np.float32) @ axes
-    cells = Cells(sample, min(MAX_CELLS, max(MIN_CELLS, n // CELL_ROWS)))
+    sample = fixed_binary(rows.column("unit").combine_chunks() if rows.num_rows else pa.array([], pa.binary()), dimensions, np.float32)
+    tops = [Cells(sample @ a, min(MAX_CELLS, max(MIN_CELLS, n // CELL_ROWS))) for a in axes]
+    depth = tops[0].depth
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every point once in each tree; the tree is the cell's first bits."""
         for b in batches:
             if b.num_rows:
-                p = fixed_binary(b.column("unit"), dimensions, np.float32) @ axes
-                yield pa.RecordBatch.from_arrays([b.column("direction"), b.column("unit"), pa.array(cells.find(p), pa.int32()), pa.array([r.tobytes() for r in p], pa.binary()), pa.array(p.tolist(), pa.list_(pa.float32()))], names=["direction", "unit", "cell", "p", "spot"])
-
-    folder = shared_folder(spark, "points")
-    points.mapInArrow(place, "direction bigint, unit binary, cell int, p binary, spot array<float>").write.parquet(folder)
-    placed = spark.read.parquet(folder)
-    # one row per cell: at most MAX_CELLS
-    edges = [f(F.element_at("spot", i + 1)).alias(f"{name}{i}") for i in range(projected) for name, f in (("low", F.min), ("high", F.max))]
-    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *edges).collect()
-    box_cell = np.array([r["cell"] for r in boxes], np.int64)
-    low = np.array([[r[f"low{i}"] for i in range(projected)] for r in boxes], np.float32).reshape(-1, projected)
-    high = np.array([[r[f"high{i}"] for i in range(projected)] for r in boxes], np.float32).reshape(-1, projected)
-    blocks_of = np.ones(1 << cells.depth, np.int64)
-    blocks_of[box_cell] = [-(-r["n"] // BLOCK_ROWS) for r in boxes]
-    block_count = F.element_at(F.lit(blocks_of.tolist()), F.col("cell") + 1)
-    placed = placed.drop("spot").withColumn("block", F.pmod(F.xxhash64("direction"), block_count).cast("int"))
-    parts = int(max(placed.sparkSession.sparkContext.defaultParallelism * 2, blocks_of[box_cell].sum() if len(box_cell) else 1))
+                u = fixed_binary(b.column("unit"), dimensions, np.float32)
+                for t, (a, top) in enumerate(zip(axes, tops)):
+                    yield pa.RecordBatch.from_arrays([b.column("direction"), b.column("unit"), pa.array(top.find(u @ a) + (t << depth), pa.int32())], names=["direction", "unit", "cell"])
+
+    placed = settle(points.mapInArrow(place, "direction bigint, unit binary, cell int"), "points")
+    # one row per cell: at most MAX_CELLS a tree
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    blocks_of = np.ones(trees << depth, np.int64)
+    for r in sizes:
+        blocks_of[r["cell"]] = -(-r["n"] // BLOCK_ROWS)
+    if blocks_of.max() > 1:
+        blocks = spark.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(blocks_of > 1), pa.int32()), "blocks": pa.array(blocks_of[blocks_of > 1], pa.int64())}))
+        placed = placed.join(F.broadcast(blocks), "cell", "left").withColumn("block", F.pmod(F.xxhash64("direction"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    else:
+        placed = placed.withColumn("block", F.lit(0))
+    parts = int(max(placed.sparkSession.sparkContext.defaultParallelism * 2, min(blocks_of.sum(), n // 20_000)))
 
     names = ["me", "other", "cosine", "places", "bound", "unit"]
 
@@ -237,7 +279,8 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
         for (cell, block), held in _groups(batches, ("cell", "block")):
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             ids = t.column("direction").to_numpy()
-            tree = Buckets(fixed_binary(t.column("p"), projected, np.float32), fixed_binary(t.column("unit"), dimensions, np.float32), BUCKET_ROWS)
+            u = fixed_binary(t.column("unit"), dimensions, np.float32)
+            tree = Buckets(u @ axes[cell >> depth], u, BUCKET_ROWS)
             ids = ids[tree.order]
             bound = np.empty(len(ids), np.float32)
             for a, e in zip(tree.starts, tree.starts[1:]):
@@ -247,10 +290,8 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:e][q]), pa.array(ids[where[q, c]]), pa.array(best[q, c]), pa.nulls(len(q), pa.list_(pa.int64())), pa.nulls(len(q), pa.float32()), pa.nulls(len(q), pa.binary())], names=names)
             for a in range(0, len(ids), 2048):
                 e = min(a + 2048, len(ids))
-                gap = np.maximum(0, np.maximum(low[None] - tree.p[a:e][:, None], tree.p[a:e][:, None] - high[None]))
-                touched = np.einsum("qcm,qcm->qc", gap, gap) <= quantile * bound[a:e][:, None]
-                q, c = np.nonzero(touched)
-                to = box_cell[c]
+                q, to = tops[cell >> depth].likely(tree.p[a:e], bound[a:e], mass)
+                to = to + (cell >> depth << depth)
                 q, to = np.repeat(q, blocks_of[to]), np.repeat(to, blocks_of[to])
                 first = np.concatenate([[True], (q[1:] != q[:-1]) | (to[1:] != to[:-1])]) if len(q) else np.zeros(0, bool)
                 number = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else q
@@ -262,9 +303,7 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:e][who]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), places, pa.array(bound[a:e][who]), pa.array([r.tobytes() for r in tree.u[a:e][who]], pa.binary())], names=names)
 
     homes = placed.repartition(parts, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(home, FOUND + ", places array<bigint>, bound float, unit binary")
-    kept = shared_folder(spark, "home")
-    homes.write.parquet(kept)
-    homes = spark.read.parquet(kept)
+    homes = settle(homes, "home")
     near = homes.where("places is null").select("me", "other", "cosine")
     sent = homes.where("places is not null").select(F.explode("places").alias("place"), "me", "unit", "bound")
     visitors = sent.select(F.shiftright("place", 32).cast("int").alias("cell"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("block"), F.lit(1).alias("visit"), F.col("me").alias("direction"), "unit", "bound")
@@ -275,9 +314,9 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
         tree, ids, of = None, None, None
         held: list[pa.RecordBatch] = []
 
-        def part(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        def part(b: pa.RecordBatch, cell: int) -> tuple[np.ndarray, np.ndarray]:
             u = fixed_binary(b.column("unit"), dimensions, np.float32)
-            return u, u @ axes
+            return u, u @ axes[cell >> depth]
 
         for b in batches:
             if not b.num_rows:
@@ -295,10 +334,10 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
                     continue  # no points here
                 if tree is None:
                     t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    u, p = part(t)
+                    u, p = part(t, where[0])
                     tree = Buckets(p, u, BUCKET_ROWS)
                     ids, held = t.column("direction").to_numpy()[tree.order], []
-                u, p = part(piece)
+                u, p = part(piece, where[0])
                 me, bound = piece.column("direction").to_numpy(), piece.column("bound").to_numpy()
                 visit = Buckets(p, u, BUCKET_ROWS)  # near-by visitors search together
                 me, bound = me[visit.order], bound[visit.order]
@@ -308,36 +347,35 @@ def neighbour_directions(points: DataFrame, n: int, dimensions: int, k: int, min
 
     far = hosts.unionByName(visitors).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "visit").mapInArrow(away, FOUND)
     best = Window.partitionBy("me").orderBy(F.col("cosine").desc(), "other")
-    return near.unionByName(far).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    met = near.unionByName(far)
+    met = met.unionByName(met.select(F.col("other").alias("me"), F.col("me").alias("other"), "cosine"))  # who is met has met as well
+    once = met.repartition("me").groupBy("me", "other").agg(F.max("cosine").alias("cosine"))
+    return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def most_similar(df: DataFrame, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, k: int = K, min_cosine: float | None = None, projected: int = PROJECTED, confidence: float | None = None, seed: int = SEED) -> DataFrame:
+def most_similar(df: DataFrame, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, k: int = K, min_cosine: float | None = None, projected: int = PROJECTED, trees: int | None = None, mass: float | None = None, confidence: float | None = None, seed: int = SEED) -> DataFrame:
     """The k most similar other vectors of every usable vector as (key, rank, other, cosine).
 
-    With min_cosine only those of at least this cosine; the search then goes no farther. Without, the k-th best found so far
-    sets how far it goes, and the test is stricter (ALL_CONFIDENCE), as a neighbour may be seen from one side only.
+    With min_cosine only those of at least this cosine; the search then goes no farther, in TREES trees. Without, the k-th best
+    found so far sets how far it goes, in one tree and by stricter tests (ALL_MASS, ALL_CONFIDENCE): vectors without near
+    neighbours then travel to most cells, for in many dimensions nothing tells where their nearest ones lie.
 
     Unusable are a null key, and vectors that are null, of another length, all zero or with a null, NaN or infinite
     element; they take no part. A repeated key counts once. Equal similarity: the smaller key first. Vectors that are parallel to
     five digits count as equal. Recall is that of the stopping test: see the tests for its measure against brute force.
     """
-    spark = SparkSession.active()
-    if confidence is None:
-        confidence = ALL_CONFIDENCE if min_cosine is None else CONFIDENCE
+    every = min_cosine is None
+    trees, mass, confidence = trees or (1 if every else TREES), mass or (ALL_MASS if every else MASS), confidence or (ALL_CONFIDENCE if every else CONFIDENCE)
     usable = df.where(~F.exists(vector, lambda x: x.isNull()))
-    folder = shared_folder(spark, "vectors")
-    clean_units(usable, key, vector, dimensions).write.parquet(folder)
-    units = spark.read.parquet(folder)
+    units = settle(clean_units(usable, key, vector, dimensions), "vectors")
     by = Window.partitionBy("direction").orderBy("id")
     firsts = units.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
     points = firsts.groupBy("direction").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("unit", "id").alias("unit"))
-    kept = shared_folder(spark, "directions")
-    points.write.parquet(kept)
-    points = spark.read.parquet(kept)
+    points = settle(points, "directions")
     n = points.count()
     if not n:
         return units.select(F.col("id").alias(key), F.lit(1).alias("rank"), F.col("id").alias("other"), F.lit(1.0).alias("cosine")).where("false")
-    found = neighbour_directions(points, n, dimensions, k, min_cosine, projected, confidence, seed)
+    found = neighbour_directions(points, n, dimensions, k, min_cosine, projected, trees, mass, confidence, seed)
     ids = points.select("direction", "ids")
     others = found.join(ids.withColumnRenamed("direction", "other"), "other").groupBy("me").agg(F.collect_list(F.struct((-F.col("cosine").cast("double")).alias("c"), F.col("ids"))).alias("lists"))
     flat = F.flatten(F.transform("lists", lambda x: F.transform(x["ids"], lambda i: F.struct(x["c"].alias("c"), i.alias("id")))))
