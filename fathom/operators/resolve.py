@@ -1,4 +1,5 @@
-"""Symbol resolution as a cascade of equi-joins: every rule is a join, the first rule that finds something wins."""
+"""Symbol resolution as a cascade: every rule says where a name is looked up, one join looks all of them up, and the first
+rule that finds something wins."""
 
 from __future__ import annotations
 
@@ -6,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.paths import display_path, folder, module_parts, module_suffixes, normalize_path
+from fathom.sources.tables import settle
 
 SELF, DOTTED, SAME_FILE, FROM_IMPORT, IMPORTED_MODULE, UNIQUE_METHOD, FALLBACK = range(1, 8)
+# places of lookups that are no file: names that only one chunk of the repository has, or only one method, and files by normal path
+ONLY, METHOD, NEAR, ANYWHERE = "\0only", "\0method", "\0near:", "\0any"
 
 
 def first_rule(candidates: DataFrame, keys: tuple[str, ...], rule: str = "rule") -> DataFrame:
@@ -29,20 +33,25 @@ def module_files(chunks: DataFrame) -> DataFrame:
 
 
 def parse_imports(chunks: DataFrame) -> DataFrame:
-    """(repo, file, kind, local, target, ord): what each import line of a file binds. kind is module or symbol."""
+    """(repo, file, kind, local, target, ord): what each import line of a file binds. kind is module or symbol.
+
+    Chunks of one file may repeat its imports; of two bindings of one name the later holds.
+    """
     line = F.trim(F.col("line"))
-    rows = chunks.select("repo", display_path(F.col("file_path")).alias("file"), F.posexplode("imports").alias("line_no", "line")).where(line.isNotNull() & (line != "")).distinct()
-    item = F.regexp_extract(F.trim(F.col("item")), r"^(\S+)(?:\s+as\s+(\S+))?$", 1)
-    alias = F.regexp_extract(F.trim(F.col("item")), r"^(\S+)(?:\s+as\s+(\S+))?$", 2)
-    plain = rows.where(line.rlike(r"^import\s+\S")).select("repo", "file", "line_no", F.posexplode(F.split(F.regexp_replace(line, r"^import\s+", ""), ",")).alias("n", "item"))
-    plain = plain.select("repo", "file", F.lit("module").alias("kind"), F.when(alias != "", alias).otherwise(F.try_element_at(F.split(item, r"\."), F.lit(-1))).alias("local"), item.alias("target"), "line_no", "n")
+    rows = chunks.select("repo", display_path(F.col("file_path")).alias("file"), "imports").distinct()
+    rows = rows.select("repo", "file", F.posexplode("imports").alias("line_no", "line")).where(line.isNotNull() & (line != ""))
+    plain = line.rlike(r"^import\s+\S")
     module = F.regexp_extract(line, r"^from\s+(\S+)\s+import\s", 1)
-    named = rows.where(module != "").select("repo", "file", "line_no", module.alias("module"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace(line, r"^from\s+\S+\s+import\s+", ""), r"^\(|\)$", ""), ",")).alias("n", "item")).where(F.trim("item") != "")
-    named = named.select("repo", "file", F.lit("symbol").alias("kind"), F.when(alias != "", alias).otherwise(item).alias("local"), F.concat(F.col("module"), F.when(F.endswith("module", F.lit(".")), F.lit("")).otherwise(F.lit(".")), item).alias("target"), "line_no", "n")
-    both = plain.unionByName(named)
-    # of two bindings of one name the later holds
+    listed = F.when(plain, F.regexp_replace(line, r"^import\s+", "")).otherwise(F.regexp_replace(F.regexp_replace(line, r"^from\s+\S+\s+import\s+", ""), r"^\(|\)$", ""))
+    rows = rows.where(plain | (module != "")).select("repo", "file", "line_no", F.when(plain, "module").otherwise("symbol").alias("kind"), module.alias("module"), F.posexplode(F.split(listed, ",")).alias("n", "item"))
+    item, alias = (F.regexp_extract(F.trim(F.col("item")), r"^(\S+)(?:\s+as\s+(\S+))?$", i) for i in (1, 2))
+    whole = F.col("kind") == "module"
+    local = F.when(alias != "", alias).when(whole, F.try_element_at(F.split(item, r"\."), F.lit(-1))).otherwise(item)
+    target = F.when(whole, item).otherwise(F.concat("module", F.when(F.endswith("module", F.lit(".")), F.lit("")).otherwise(F.lit(".")), item))
+    both = rows.where(whole | (F.trim("item") != "")).select("repo", "file", "kind", local.alias("local"), target.alias("target"), "line_no", "n")
     last = Window.partitionBy("repo", "file", "kind", "local").orderBy(F.col("line_no").desc(), F.col("n").desc())
-    return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("repo", "file", "kind", "local", "target", (F.col("line_no") * 1000 + F.col("n")).alias("ord"))
+    # all bindings of a file stay together, which the resolution makes use of
+    return both.repartition("repo", "file").withColumn("_r", F.row_number().over(last)).where("_r = 1").select("repo", "file", "kind", "local", "target", (F.col("line_no") * 1000 + F.col("n")).alias("ord"))
 
 
 def absolute_module(module: Column, file: Column) -> Column:
@@ -56,13 +65,32 @@ def absolute_module(module: Column, file: Column) -> Column:
     return F.array_join(F.when(level > 0, F.concat(kept, rest)).otherwise(rest), ".")
 
 
-def choose_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted(repo, file, module) with target_file: the only file of that name, or the only one in the importing file's
-    folder; ambiguous names give nothing."""
-    rows = wanted.join(files, ["repo", "module"]).withColumn("same", folder(F.col("file")) == F.col("target_dir"))
-    w = Window.partitionBy("repo", "file", "module")
-    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_s", F.sum(F.col("same").cast("int")).over(w))
-    return rows.where((F.col("_n") == 1) | (F.col("same") & (F.col("_s") == 1))).select("repo", "file", "module", "target_file")
+def unique_files(chunks: DataFrame) -> DataFrame:
+    """(repo, module, dir, target_file): the file that a dotted name stands for if it is the only one of that name in the
+    repository (dir is ANYWHERE), or the only one in a folder."""
+    files = module_files(chunks).select("repo", "module", "target_file", F.explode(F.array(F.lit(ANYWHERE), "target_dir")).alias("dir"))
+    return files.groupBy("repo", "module", "dir").agg(F.count("*").alias("_n"), F.min("target_file").alias("target_file")).where("_n = 1").drop("_n")
+
+
+def imported_places(bound: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, file, places): for every file the files that its imports stand for, each (of, local, key, target_file).
+
+    of is head for what the first part of a dotted name means (a module before a symbol), member for modules whose members
+    may be meant, from for a symbol whose name there is key. A module that several files may be stands for the one in the
+    importing file's folder, or for nothing.
+    """
+    c = F.col
+    by_local = Window.partitionBy("repo", "file", "local")
+    whole = c("kind") == "module"
+    last = F.regexp_extract("target", r"([^.]+)$", 1)
+    package = absolute_module(F.regexp_replace("target", r"(?<=[^.])\.[^.]+$|(?<=\.)[^.]+$", ""), c("file"))
+    rows = bound.withColumn("is_head", whole | ~F.max(whole).over(by_local)).withColumn("module", absolute_module(c("target"), c("file")))
+    wanted = lambda of, module, key: F.struct(F.lit(of).alias("of"), key.alias("key"), module.alias("module"))
+    none = F.lit(None).cast("string")
+    asked = F.array_compact(F.array(F.when(c("is_head"), wanted("head", c("module"), none)), F.when(whole | (last == c("local")), wanted("member", c("module"), none)), F.when(~whole, wanted("from", package, last))))
+    rows = rows.select("repo", "file", "local", F.explode(asked).alias("w")).where("w.module <> ''")
+    rows = rows.select("repo", "file", "local", "w.of", "w.key", "w.module", F.explode(F.array(F.lit(ANYWHERE), folder(c("file")))).alias("dir"))
+    return rows.join(files, ["repo", "module", "dir"]).groupBy("repo", "file").agg(F.collect_set(F.struct("of", "local", "key", "target_file")).alias("places"))
 
 
 def dependencies(chunks: DataFrame) -> DataFrame:
@@ -73,6 +101,16 @@ def dependencies(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("head", F.try_element_at(parts, F.lit(1))).withColumn("tail", F.try_element_at(parts, F.lit(-1))).withColumn("parts", F.size(parts))
 
 
+def targets(base: DataFrame) -> DataFrame:
+    """(repo, place, key, dst): what a lookup of a key in a place finds. Places are files, and those that are none."""
+    names = symbols(base)
+    near = F.concat(F.lit(NEAR), normalize_path(F.col("file")))
+    in_files = names.select("repo", F.explode(F.array("file", near)).alias("place"), "key", "dst")
+    only = names.groupBy("repo", "key").agg(F.min("dst").alias("dst"), F.max("dst").alias("_m")).where("dst = _m").select("repo", F.lit(ONLY).alias("place"), "key", "dst")
+    methods = base.where("chunk_type = 'method'").groupBy("repo", F.col("name").alias("key")).agg(F.min("id").alias("dst"), F.max("id").alias("_m")).where("dst = _m").select("repo", F.lit(METHOD).alias("place"), "key", "dst")
+    return in_files.unionByName(only).unionByName(methods)
+
+
 def edges(chunks: DataFrame) -> DataFrame:
     """(src, dep_ord, dep, matched_name, dst, rule): what the dependencies of chunks(id, repo, file_path, chunk_type, name,
     parent, imports, dependencies) stand for.
@@ -81,50 +119,32 @@ def edges(chunks: DataFrame) -> DataFrame:
     file; a symbol bound by a from-import; a member of exactly one imported module; the only method of that name; a name that
     is unique in the repository or found in the same file. Ambiguity gives no edge; a chunk is no dependency of itself.
     Null ids and names take no part, repeated rows count once; a null repo is one repository. Blank dependencies give nothing.
+    A name that many chunks depend on makes one side of the lookup large, which adaptive execution splits: the other side has
+    one row for it.
     """
+    c = F.col
     empty = F.array().cast("array<string>")
-    base = chunks.where(F.col("id").isNotNull() & F.col("name").isNotNull()).select("id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("file_path", F.lit("")).alias("file_path"), "chunk_type", "name", "parent", F.coalesce("imports", empty).alias("imports"), F.coalesce("dependencies", empty).alias("dependencies")).dropDuplicates(["id"])
-    deps, names, files, bound = dependencies(base), symbols(base), module_files(base), parse_imports(base)
-    dep_key = ["repo", "file", "src", "dep_ord", "dep"]
-    found: list[DataFrame] = []
-
-    def add(rows: DataFrame, matched: Column, rule: int) -> None:
-        found.append(rows.select(*dep_key, matched.alias("matched_name"), "dst", F.lit(rule).alias("rule")))
-
-    dotted = deps.where("parts >= 2")
-    own = dotted.where(F.col("head").isin("self", "cls") & F.col("parent").isNotNull() & (F.col("parent") != "")).withColumn("key", F.concat_ws(".", "parent", "tail"))
-    add(own.join(names, ["repo", "file", "key"]), F.col("key"), SELF)
-
-    modules = bound.withColumn("module", absolute_module(F.col("target"), F.col("file"))).where("module <> ''")
-    chosen = choose_files(modules.select("repo", "file", "module").distinct(), files)
-    heads = modules.withColumn("_k", F.when(F.col("kind") == "module", 0).otherwise(1))
-    heads = heads.withColumn("_r", F.row_number().over(Window.partitionBy("repo", "file", "local").orderBy("_k"))).where("_r = 1").select("repo", "file", F.col("local").alias("head"), "module")
-    via = dotted.join(heads, ["repo", "file", "head"]).join(chosen, ["repo", "file", "module"])
-    target = names.withColumnRenamed("file", "target_file")
-    add(via.withColumn("key", F.col("tail")).join(target, ["repo", "target_file", "key"]), F.col("key"), DOTTED)
-
-    add(deps.withColumn("key", F.col("dep")).join(names, ["repo", "file", "key"]), F.col("key"), SAME_FILE)
-
-    split = bound.where("kind = 'symbol'").select("repo", "file", F.col("local").alias("dep"), F.regexp_extract("target", r"([^.]+)$", 1).alias("key"), absolute_module(F.regexp_replace("target", r"(?<=[^.])\.[^.]+$|(?<=\.)[^.]+$", ""), F.col("file")).alias("module"))
-    from_files = choose_files(split.where("module <> ''").select("repo", "file", "module").distinct(), files)
-    add(deps.join(split, ["repo", "file", "dep"]).join(from_files, ["repo", "file", "module"]).join(target, ["repo", "target_file", "key"]), F.col("key"), FROM_IMPORT)
-
-    members = modules.where((F.col("kind") == "module") | (F.regexp_extract("target", r"([^.]+)$", 1) == F.col("local"))).select("repo", "file", "module").distinct().join(chosen, ["repo", "file", "module"]).select("repo", "file", "target_file").distinct()
-    member = deps.withColumn("key", F.col("dep")).join(members, ["repo", "file"]).join(target, ["repo", "target_file", "key"]).select(*dep_key, "key", "dst").distinct()
+    base = chunks.where(c("id").isNotNull() & c("name").isNotNull()).select("id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("file_path", F.lit("")).alias("file_path"), "chunk_type", "name", "parent", F.coalesce("imports", empty).alias("imports"), F.coalesce("dependencies", empty).alias("dependencies")).dropDuplicates(["id"])
+    base = settle(base, "symbols")
+    places = imported_places(parse_imports(base), unique_files(base))
+    deps = dependencies(base).join(places, ["repo", "file"], "left")
+    lookup = lambda place, key, rule: F.struct(place.alias("place"), key.alias("key"), F.lit(rule).alias("rule"))
+    of = lambda kind, fits, key, rule: F.transform(F.filter(F.coalesce("places", F.array().cast(deps.schema["places"].dataType)), lambda p: (p["of"] == kind) & fits(p)), lambda p: lookup(p["target_file"], key(p), rule))
+    dotted = c("parts") >= 2
+    own = dotted & c("head").isin("self", "cls") & c("parent").isNotNull() & (c("parent") != "")
+    wanted = F.concat(
+        F.array_compact(F.array(
+            F.when(own, lookup(c("file"), F.concat_ws(".", "parent", "tail"), SELF)), lookup(c("file"), c("dep"), SAME_FILE), lookup(F.lit(METHOD), c("dep"), UNIQUE_METHOD),
+            lookup(F.lit(ONLY), c("dep"), FALLBACK), lookup(F.concat(F.lit(NEAR), normalize_path(c("file"))), c("dep"), FALLBACK),
+        )),
+        of("head", lambda p: dotted & (p["local"] == c("head")), lambda p: c("tail"), DOTTED),
+        of("from", lambda p: p["local"] == c("dep"), lambda p: p["key"], FROM_IMPORT),
+        F.array_distinct(of("member", lambda p: F.lit(True), lambda p: c("dep"), IMPORTED_MODULE)),
+    )
+    asked = deps.select("repo", "src", "dep_ord", "dep", F.explode(wanted).alias("w")).select("repo", "src", "dep_ord", "dep", "w.place", "w.key", "w.rule")
+    found = asked.join(targets(base), ["repo", "place", "key"]).select("src", "dep_ord", "dep", c("key").alias("matched_name"), "dst", "rule")
     w = Window.partitionBy("src", "dep_ord")
-    add(member.withColumn("_n", F.count("*").over(w)).where("_n = 1"), F.col("key"), IMPORTED_MODULE)
-
-    methods = base.where("chunk_type = 'method'").groupBy("repo", F.col("name").alias("dep")).agg(F.count("*").alias("_n"), F.first("id").alias("dst")).where("_n = 1").drop("_n")
-    add(deps.join(methods, ["repo", "dep"]), F.col("dep"), UNIQUE_METHOD)
-
-    by_key = names.groupBy("repo", "key").agg(F.countDistinct("dst").alias("_n"))
-    only = names.join(by_key.where("_n = 1"), ["repo", "key"]).select("repo", F.col("key").alias("dep"), "dst")
-    add(deps.join(only, ["repo", "dep"]), F.col("dep"), FALLBACK)
-    near = names.join(by_key.where("_n > 1"), ["repo", "key"]).select("repo", normalize_path(F.col("file")).alias("near"), F.col("key").alias("dep"), "dst")
-    add(deps.withColumn("near", normalize_path(F.col("file"))).join(near, ["repo", "near", "dep"]), F.col("dep"), FALLBACK)
-
-    every = found[0]
-    for rows in found[1:]:
-        every = every.unionByName(rows)
-    best = first_rule(every.distinct(), ("src", "dep_ord"))
-    return best.where(F.col("src") != F.col("dst")).select("src", "dep_ord", "dep", "matched_name", "dst", "rule").dropDuplicates(["src", "dep_ord", "dst"])
+    found = found.repartition("src", "dep_ord").distinct().withColumn("_members", F.count_if(c("rule") == IMPORTED_MODULE).over(w))
+    found = found.where((c("rule") != IMPORTED_MODULE) | (c("_members") == 1)).drop("_members")
+    best = first_rule(found, ("src", "dep_ord")).where(c("src") != c("dst"))
+    return best.select("src", "dep_ord", "dep", "matched_name", "dst", "rule").dropDuplicates(["src", "dep_ord", "dst"])
