@@ -6,10 +6,12 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -34,25 +36,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
 
 
-def with_norm(df: DataFrame, vector: str, name: str = "norm") -> DataFrame:
-    return df.withColumn(name, norm(F.col(vector)))
-
-
-def batch_top_k(items: DataFrame, queries: DataFrame, item_key: str, query_key: str, vector: str, k: int, digits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each query its k items of highest cosine as (query_key, item_key, score, rank, keep...); ties by item_key.
-
-    The queries are a stated set that is compared with all items; they are sent to the tasks in blocks of the broadcast
-    join, so their number must be bounded by the caller. k of 0 or less gives nothing.
-    """
-    q = queries.select(F.col(query_key).alias("_q"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
-    rows = items.select(F.col(item_key).alias("_i"), F.col(vector).alias("_w"), norm(F.col(vector)).alias("_m"), *keep)
-    score = F.when((F.col("_n") * F.col("_m")) == 0, F.lit(0.0)).otherwise(dot(F.col("_w"), F.col("_v")) / (F.col("_n") * F.col("_m")))
-    score = F.round(score, digits) if digits is not None else score
-    pairs = rows.crossJoin(F.broadcast(q)).where(F.size("_v") == F.size("_w")).select(F.col("_q").alias(query_key), F.col("_i").alias(item_key), score.alias("score"), *keep)
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), item_key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
-
-
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -77,53 +60,118 @@ def hashing_embedding(text: Column, dimensions: int = HASH_DIMENSIONS) -> Column
     return _hashed(text, F.lit(dimensions))
 
 
-def block_top_k(items: DataFrame, queries: DataFrame, k: int, item_key: str = "chunk_id", query_key: str = "query_id", vector: str = "embedding", same: str | None = None, block: int = 4096) -> DataFrame:
+QUESTION_ROWS, ITEM_ROWS, HELD_ROWS, KEPT_BLOCKS = 4096, 20_000, 1_000_000, 8
+
+
+def _units(vectors: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    m = np.array(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.nan_to_num(np.divide(m, length, out=np.zeros_like(m), where=length > 0), nan=0.0)
+
+
+def _best(found: list[pa.Table], k: int) -> pa.Table:
+    """Of rows (q, i, score) the k best of each q; ties by i."""
+    t = pa.concat_tables(found)
+    order = pc.sort_indices(t, sort_keys=[("q", "ascending"), ("score", "descending"), ("i", "ascending")])
+    t = t.take(order).combine_chunks()
+    q = t.column("q").combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return t.filter(pa.array(place < k))
+
+
+def block_top_k(items: DataFrame, queries: DataFrame, k: int, item_key: str = "chunk_id", query_key: str = "query_id", vector: str = "embedding", same: str | None = None, digits: int | None = None) -> DataFrame:
     """The k items of highest cosine of each query, for many queries: (query_key, item_key, score, rank), ties by item_key.
 
-    Queries are written to the shared folder in blocks; every task compares its items with block after block by matrix
-    products, keeps k per query and lets a window choose among the tasks. With same, only rows equal in that column meet.
+    Queries are written to the shared folder in blocks. Every task compares some thousand items at a time with one block after
+    another by matrix products, holds k per query and at most KEPT_BLOCKS blocks, and a window chooses among the tasks. With
+    same, only rows equal in that column meet: blocks are cut by its hash, a task reads those that its items ask for, and
+    multiplies only what is equal. With digits, cosines are rounded before they are ranked.
     Null vectors and vectors of another length than the query's take no part; vectors without length have cosine 0.
     """
     spark = items.sparkSession
-    none = F.lit("")
-    q = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(F.col(same).cast("string"), none) if same else none).alias("s"))
+    equal = F.coalesce(F.col(same).cast("string"), F.lit("")) if same else F.lit("")
+    q = queries.where(F.col(vector).isNotNull() & F.col(query_key).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v"), equal.alias("s"))
     folder = shared_folder(spark, "queries")
     n = q.count()
-    parts = max(1, math.ceil(n / block))
-    q.repartition(parts).write.parquet(folder)
+    blocks = max(1, math.ceil(n / QUESTION_ROWS))
+    block_of = lambda value: F.pmod(F.crc32(value), F.lit(blocks)).cast("int")
+    if n and k > 0:
+        q.withColumn("block", block_of(F.col("s") if same else F.col("q").cast("string"))).repartition(min(blocks, 2000), "block").write.partitionBy("block").parquet(folder)
     kind, qkind = items.schema[item_key].dataType.simpleString(), q.schema["q"].dataType.simpleString()
-    rows = items.where(F.col(vector).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("i"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(F.col(same).cast("string"), none) if same else none).alias("s"))
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    rows = items.where(F.col(vector).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("i"), F.col(vector).cast("array<double>").alias("v"), equal.alias("s"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
-        from pyarrow.fs import FileSystem
+        from pyarrow.fs import FileSystem, FileType
 
         files, path = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        blocks = [f.to_table() for f in ds.dataset(path, filesystem=files, format="parquet").get_fragments()] if k > 0 and n else []
-        for b in batches:
-            for t in blocks if b.num_rows else ():
-                sizes = np.diff(b.column("v").offsets.to_numpy())
-                qv = t.column("v").combine_chunks()
-                for d in np.unique(np.diff(qv.offsets.to_numpy())):
-                    qi, ii = np.flatnonzero(np.diff(qv.offsets.to_numpy()) == d), np.flatnonzero(sizes == d)
-                    if not d or not len(qi) or not len(ii):
+        held: dict[int, list[pa.Table]] = {}
+
+        @lru_cache(KEPT_BLOCKS)
+        def block(number: int) -> dict[tuple[str, int], tuple[pa.Array, np.ndarray]]:
+            """Keys and unit vectors of a block's queries by what must be equal and by length."""
+            at = f"{path}/block={number}"
+            if files.get_file_info(at).type == FileType.NotFound:
+                return {}
+            t = ds.dataset(at, filesystem=files, format="parquet").to_table().combine_chunks()
+            vectors, out = t.column("v").combine_chunks(), {}
+            sizes = np.diff(vectors.offsets.to_numpy())
+            names = t.column("s").combine_chunks().dictionary_encode()
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                mine = names.indices.to_numpy() == code
+                for size in np.unique(sizes[mine]):
+                    at = np.flatnonzero(mine & (sizes == size))
+                    if size:
+                        out[name, int(size)] = t.column("q").combine_chunks().take(pa.array(at)), _units(vectors, at, int(size))
+            return out
+
+        def meet(table: pa.Table) -> None:
+            vectors = table.column("v").combine_chunks()
+            sizes = np.diff(vectors.offsets.to_numpy())
+            names = table.column("s").combine_chunks().dictionary_encode()
+            ids = table.column("i").combine_chunks()
+            codes, groups = names.indices.to_numpy(), []
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                for size in np.unique(sizes[codes == code]):
+                    at = np.flatnonzero((codes == code) & (sizes == size))
+                    at = at[pc.sort_indices(ids.take(pa.array(at))).to_numpy()]
+                    if size:
+                        groups.append((name, int(size), at, _units(vectors, at, int(size))))
+            wanted = range(blocks) if not same else sorted({zlib.crc32(name.encode()) % blocks for name, *_ in groups})
+            for number in wanted:
+                found = []
+                for name, size, at, units in groups:
+                    keys, questions = block(number).get((name, size), (None, None))
+                    if keys is None:
                         continue
-                    qm = unit(np.array(qv.take(pa.array(qi)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d))
-                    im = unit(np.array(b.column("v").take(pa.array(ii)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, d))
-                    sims = np.nan_to_num(qm @ im.T, nan=0.0)
-                    if same:
-                        sims[np.array(t.column("s").to_pylist(), object)[qi][:, None] != np.array(b.column("s").to_pylist(), object)[ii][None]] = -9
-                    ids = np.array(b.column("i").to_pylist(), object)[ii]
-                    order = np.argsort(ids, kind="stable")
-                    best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
-                    value = np.take_along_axis(sims, best, axis=1)
-                    r, c = np.nonzero(value > -2)
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([t.column("q").combine_chunks().take(pa.array(qi[r])), b.column("i").take(pa.array(ii[best[r, c]])), pa.array(value[r, c])], names=["q", "i", "score"])
+                    sims = questions @ units.T
+                    if digits is not None:
+                        sims = np.round(sims, digits)
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    which = np.repeat(np.arange(len(keys)), best.shape[1])
+                    found.append(pa.table({"q": keys.take(pa.array(which)), "i": ids.take(pa.array(at[best.ravel()])), "score": pa.array(np.take_along_axis(sims, best, axis=1).ravel())}))
+                if found:
+                    held[number] = [_best(held.get(number, []) + found, k)]
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            for tables in held.values():
+                yield from tables[0].to_batches()
+            held.clear()
+
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            if not n or k <= 0:
+                continue
+            waiting.append(b)
+            if sum(x.num_rows for x in waiting) >= ITEM_ROWS:
+                meet(pa.Table.from_batches(waiting))
+                waiting = []
+                if sum(t[0].num_rows for t in held.values()) > HELD_ROWS:
+                    yield from ready()
+        if sum(x.num_rows for x in waiting):
+            meet(pa.Table.from_batches(waiting))
+        yield from ready()
 
     found = rows.mapInArrow(compare, f"q {qkind}, i {kind}, score double").select(F.col("q").alias(query_key), F.col("i").alias(item_key), "score")
     w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), item_key)

@@ -26,7 +26,7 @@ BUSINESS_ROLES = words("business domain engine interactor manager policy policie
 ROUTE_ROLES = words("api controller controllers endpoint handler route routes view")
 FILTERING_WORDS = words("criteria filter list match query rank rating result results search sort")
 STATE_UPDATE_WORDS = words("add append apply assign cancel change charge clear complete credit debit delete extend insert move record remove reserve save set ship submit transfer update")
-MUTATORS = words("add append apply assign cancel change charge clear complete credit debit delete extend insert move record remove reserve save set ship submit transfer update")
+MUTATORS = STATE_UPDATE_WORDS
 DATA_ACCESS_FOLDERS = words("dao data database db queries repositories repository storage stores")
 DATA_ACCESS_PARENTS = words("repository store storage dao")
 CRUD_PREFIXES = words("add create delete fetch find get insert list load read record remove save select update write")

@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from fathom.functions import paths, text
 from fathom.functions import vocabulary as V
 from fathom.functions.predicates import bare_name, chunk_features, contains_raise, data_access, has_validation_name, is_constructor, query_mentions
-from fathom.functions.vectors import batch_top_k, norm
+from fathom.functions.vectors import block_top_k, norm
 from fathom.operators import evaluate, explain, failures, graph, packets, resolve, scoring
-from fathom.plans import api
+from fathom.plans import api, sql
 from fathom.sources import extract, index
+from fathom.sources.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 c = F.col
 
 
-def query(sql: str | None = None) -> Callable:
+def query(statement: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if statement:
+            ORACLE_SQL[f.__name__] = statement
         return f
 
     return add
@@ -42,29 +43,7 @@ def once(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
     return table(spark, d, name).dropDuplicates([key])
 
 
-def _pieces(t: str) -> str:
-    """SQL for the distinct identifier pieces of a text: RE2 has no lookahead, so case changes become underscores first."""
-    word = f"regexp_extract_all(coalesce({t}, ''), '[A-Za-z_][A-Za-z0-9_]*')"
-    cut = "regexp_replace(regexp_replace(w, '[A-Z]([0-9])', '_\\1', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')"
-    part = f"list_transform(list_filter(string_split({cut}, '_'), lambda p: p <> ''), lambda p: regexp_extract_all(p, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'))"
-    return f"list_distinct(list_transform(flatten(flatten(list_transform({word}, lambda w: {part}))), lambda x: lower(x)))"
-
-
-SPACE = "[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-_NORMAL = "lower(regexp_replace(regexp_replace(trim(replace({p}, chr(92), '/')), '^(\\./)+', ''), '^/+|/+$', '', 'g'))"
-_IS_TEST = "(contains('/' || {n} || '/', '/tests/') OR regexp_matches(regexp_extract({n}, '([^/]*)$', 1), '^(conftest\\.py|test_.*|.*_test\\.py)$'))"
-
-
-def normal_sql(p: str) -> str:
-    return _NORMAL.format(p=p)
-
-
-def is_test_sql(p: str) -> str:
-    return _IS_TEST.format(n=normal_sql(p))
-
-
-def listed(values: tuple[str, ...]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_pieces, normal_sql, is_test_sql, listed, strip_sql, SPACE = sql.pieces, sql.normal, sql.is_test, sql.listed, sql.strip, sql.SPACE
 
 
 # text and paths
@@ -147,10 +126,10 @@ def chunk_predicates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", has_validation_name(c("name")).alias("guard"), contains_raise(text.no_null(c("source_code"))).alias("raises"), is_constructor(c("name")).alias("constructor"), data_access(c("file_path"), c("parent"), c("name")).alias("data_access"), paired.alias("paired")).distinct()
 
 
-@query()
+@query(sql.SIGNALS)
 def chunk_signals(spark: SparkSession, d: str) -> DataFrame:
     rows = chunk_features(once(spark, d, "code_chunks", "id"))
-    return rows.select("id", "guard_name", "calls_guard", F.array_join("called_pairs", " ").alias("called_pairs"), "state_logic", "filter_logic", "business_role", "route_passthrough", "exception_class", F.size("tokens").alias("n_tokens"))
+    return rows.select("id", "guard_name", "calls_guard", joined(c("called_pairs")).alias("called_pairs"), "state_logic", "filter_logic", "business_role", "route_passthrough", "exception_class", F.size("tokens").alias("n_tokens"))
 
 
 @query("SELECT repo, name, min(id) AS id FROM (SELECT DISTINCT repo, name, id FROM code_chunks WHERE chunk_type = 'method') GROUP BY repo, name HAVING count(*) = 1")
@@ -178,7 +157,7 @@ _VECTORS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_produ
 def batch_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the stated query set, against all rows
-    found = batch_top_k(rows.withColumnRenamed("vec_id", "item_id"), queries, "item_id", "query_id", "embedding", 5, digits=6)
+    found = block_top_k(rows.withColumnRenamed("vec_id", "item_id"), queries, 5, "item_id", digits=6)
     return found.select("query_id", "item_id", "score", "rank")
 
 
@@ -333,16 +312,29 @@ def priority_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolve.first_rule(near.unionByName(far), ("src", "dep"))
 
 
-@query()
+@query(f"WITH {sql.EDGES} SELECT src, dep_ord, dep, matched_name, dst, rule FROM edges")
 def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.edges(table(spark, d, "code_chunks"))
 
 
-@query()
+@query(f"WITH {sql.bindings('code_chunks')} SELECT * FROM bind")
 def import_bindings(spark: SparkSession, d: str) -> DataFrame:
     return resolve.parse_imports(table(spark, d, "code_chunks").select("repo", "file_path", "imports"))
 
 
+_TOP = "SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, max(score) AS score FROM investigation_results WHERE source = 'semantic' AND score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id)) WHERE rank <= 5"
+
+
+@query(sql.related(_TOP, "SELECT query_id, min(query) AS query FROM investigation_results WHERE query IS NOT NULL GROUP BY query_id"))
+def related_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """What the five best chunks of every question lead to over dependencies."""
+    rows = table(spark, d, "investigation_results").where("source = 'semantic' and score is not null and not isnan(score) and query_id is not null and chunk_id is not null")
+    top = scoring.ranked(rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), "query_id", ties=("chunk_id",)).where("rank <= 5")
+    chunks = _chunks(spark, d).where("name is not null and file_path is not null")
+    facts = chunks.withColumn("file_path", paths.display_path(c("file_path"))).withColumn("is_test", paths.is_test_path(c("file_path")))
+    return graph.related_context(settle(top, "top"), _questions(spark, d), settle(resolve.edges(chunks), "edges"), facts)
+
+
 # files
 
 
@@ -379,6 +371,16 @@ def extract_code_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("id", "repo", "file_path", "chunk_type", "name", "parent", "start_line", "end_line", F.array_join("imports", "\n").alias("imports"), F.array_join("dependencies", " ").alias("dependencies"), F.array_join("decorators", "\n").alias("decorators"))
 
 
+@query("""
+    SELECT DISTINCT k.id, k.repo, k.file_path, k.chunk_type, k.name, k.parent, k.start_line, array_to_string(k.imports, chr(10)) AS imports
+    FROM code_chunks k JOIN (SELECT DISTINCT file_path FROM source_files WHERE source IS NOT NULL) f ON f.file_path = k.file_path WHERE k.file_path LIKE '%.py' AND k.chunk_type IN ('class', 'function', 'method')
+""")
+def extracted_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that parsing the source files gives, held against those that the given table has of them."""
+    chunks = extract.extract_chunks(table(spark, d, "source_files").where("source is not null").dropDuplicates(["file_id"]), path="file_path")
+    return chunks.select("id", "repo", "file_path", "chunk_type", "name", "parent", "start_line", F.array_join("imports", "\n").alias("imports")).distinct()
+
+
 @query()
 def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = index.hashing_embedder(_chunks(spark, d))
@@ -388,7 +390,7 @@ def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
 # failures
 
 _FAILURE_TEXT = "concat_ws(chr(10), coalesce(test_name, ''), coalesce(error_type, ''), coalesce(message, ''), coalesce(traceback, ''))"
-_WITH_FORMS = "list_distinct(list_concat(t, list_filter(list_transform(t, lambda x: map_extract(MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in V.NORMAL_FORMS.items()) + "}, x)[1]), lambda x: x IS NOT NULL)))"
+_WITH_FORMS = sql.with_forms("t")
 
 
 @query(f"""
@@ -401,7 +403,7 @@ def failure_signals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("failure_id", "did_not_raise", joined(c("behavioral")).alias("behavioral"), joined(c("operation")).alias("operation"), joined(c("domain")).alias("domain"))
 
 
-@query()
+@query(sql.HINTS)
 def failure_hints(spark: SparkSession, d: str) -> DataFrame:
     rows = failures.with_signals(once(spark, d, "test_failures", "failure_id"))
     return rows.select("failure_id", F.array_join("trace_symbols", " ").alias("symbols"), F.array_join("source_hints", " ").alias("hints"), F.array_join("expected", " ").alias("expected"), failures.failure_query(rows).alias("query"))
@@ -410,11 +412,6 @@ def failure_hints(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "l AS (SELECT doc_id, generate_subscripts(s, 1) AS line_no, unnest(s) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS s FROM documents WHERE text IS NOT NULL))"
 
 
-def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
-
-
-
 @query(f"""
     WITH {_LINES}, a AS (SELECT doc_id, line_no, {strip_sql("line")} AS s FROM l), b AS (SELECT doc_id, line_no, regexp_extract(s, '^(\\w+) ', 1) AS outcome, {strip_sql("regexp_replace(s, '^\\w+ ', '')")} AS rest FROM a WHERE regexp_matches(s, '^(FAILED|ERROR) ')),
     e AS (SELECT doc_id AS log_id, line_no, outcome, {strip_sql("CASE WHEN strpos(rest, ' - ') > 0 THEN rest[1:strpos(rest, ' - ') - 1] ELSE rest END")} AS nodeid, {strip_sql("CASE WHEN strpos(rest, ' - ') > 0 THEN rest[strpos(rest, ' - ') + 3:] ELSE '' END")} AS message FROM b)
@@ -429,11 +426,33 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("log_id", (c("n") + 1).alias("line_no"), "line")
 
 
+@query(sql.PARSED)
+def parsed_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The failures of test logs with their place and traceback; parse_failure_logs has their messages as well."""
+    return failures.parse_logs(_logs(spark, d)).drop("message")
+
+
 @query()
 def parse_failure_logs(spark: SparkSession, d: str) -> DataFrame:
     return failures.parse_logs(_logs(spark, d))
 
 
+_PLACED = "v AS (SELECT DISTINCT ON (v.chunk_id) v.vec_id, v.chunk_id, k.repo, v.embedding::DOUBLE[] AS e FROM chunk_vectors v JOIN (SELECT DISTINCT ON (id) id, repo FROM code_chunks) k ON k.id = v.chunk_id WHERE len(v.embedding) = 64 AND len(list_filter(v.embedding, lambda x: x IS NULL OR isnan(x))) = 0 ORDER BY v.chunk_id, v.vec_id), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v)"
+
+
+@query(f"""
+    WITH {_PLACED}, s AS (SELECT q.vec_id AS query_id, n.chunk_id, round(CASE WHEN q.n * n.n = 0 THEN 0 ELSE list_inner_product(q.e, n.e) / (q.n * n.n) END, 6) AS score FROM n JOIN (SELECT * FROM n WHERE vec_id % 20 = 0) q ON q.repo = n.repo)
+    SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5
+""")
+def similar_in_repository(spark: SparkSession, d: str) -> DataFrame:
+    """For every twentieth vector the five most similar chunks of its repository, by the search that questions use."""
+    usable = (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    rows = table(spark, d, "chunk_vectors").where(usable).join(once(spark, d, "code_chunks", "id").select(c("id").alias("chunk_id"), "repo"), "chunk_id")
+    rows = settle(graph.best_per_key(rows, ("chunk_id",), c("vec_id")), "vectors")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the stated query set, against all rows
+    return block_top_k(rows, queries, 5, same="repo", digits=6).select("query_id", "chunk_id", "score", "rank")
+
+
 # questions
 
 

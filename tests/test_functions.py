@@ -61,17 +61,23 @@ def test_cosine(spark):
     assert [r.s for r in df.select(vectors.cosine(F.col("a"), F.col("b")).alias("s")).collect()] == [1.0, -1.0, 0.0]
 
 
-def test_block_search_agrees_with_the_join(spark):
+def test_block_search_agrees_with_the_join(spark, monkeypatch):
     import random
 
     rng = random.Random(1)
     rows = [(f"c{i}", rng.choice("ab"), [rng.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(8)]) for i in range(60)]
     items = spark.createDataFrame([*rows, ("null", "a", None), ("short", "a", [1.0])], "chunk_id string, repo string, embedding array<double>")
     queries = items.where("embedding is not null and size(embedding) = 8").select(F.col("chunk_id").alias("query_id"), "repo", "embedding")
-    a = vectors.block_top_k(items, queries, 3, block=7)
-    b = vectors.batch_top_k(items.where("size(embedding) = 8"), queries, "chunk_id", "query_id", "embedding", 3)
-    score = lambda df: {(r.query_id, r["rank"]): round(r.score, 6) for r in df.collect()}
-    assert score(a) == score(b)
+    monkeypatch.setattr(vectors, "QUESTION_ROWS", 7)  # several blocks
+    pairs = items.where("size(embedding) = 8").select("chunk_id", "repo", F.col("embedding").alias("e")).crossJoin(queries.withColumnRenamed("repo", "of")).withColumn("score", F.round(vectors.cosine(F.col("e"), F.col("embedding")), 6))
+    best = {}
+    for r in pairs.collect():
+        best.setdefault(r.query_id, []).append((-r.score, r.chunk_id, r.repo == r.of))
+    want = {(q, n, i, -x) for q, rs in best.items() for n, (x, i, _) in enumerate(sorted(rs)[:3], 1)}
+    near = {(q, n, i, -x) for q, rs in best.items() for n, (x, i, _) in enumerate(sorted(r for r in rs if r[2])[:3], 1)}
+    found = lambda df: {(r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect()}
+    assert found(vectors.block_top_k(items, queries, 3, digits=6)) == want
+    assert found(vectors.block_top_k(items, queries, 3, same="repo", digits=6)) == near
     repo = {r[0]: r[1] for r in rows}
     assert all(repo[r.query_id] == repo[r.chunk_id] for r in vectors.block_top_k(items.where("size(embedding) = 8"), queries, 3, same="repo").collect())
     assert vectors.block_top_k(items, queries, 0).count() == 0
