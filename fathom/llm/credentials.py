@@ -1,10 +1,12 @@
 """Problem 5: find credentials in code and replace them.
 
-Pass one indexes literals that stand where a credential may stand (a telling name, a known shape, a URL, a header, a PEM
-block). Grouped over the whole corpus, values without a structure of their own that more than OWNERS_SHARE of the
-owners (and more than MAX_OWNERS) share are placeholders and go; the rest are confirmed. Pass two walks every text with an automaton of the confirmed values, so that a value confirmed in one file is
-also found where nothing around it tells. The confirmed values are written in shards of a fixed size to the cluster's
-shared folder; workers read shard after shard, so neither the driver nor a task needs them all.
+Pass one indexes the literals of the whole corpus that stand where a credential may stand (a telling name, a known shape, a
+URL, a header, a PEM block), whatever they look like, with what their place says of them. Grouped by value, those that more
+owners (repositories) than a share of all have are placeholders and go, unless they have a structure of their own; of the
+rest, values that look like secrets are confirmed. Pass two walks every text with an automaton of the confirmed values, so
+that a value confirmed in one file is also found where nothing around it tells. The confirmed values are written in shards of
+a fixed size to the cluster's shared folder; a task holds some texts and takes shard after shard past them, so neither the
+driver nor a task needs all values at once.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import shared_folder
+from fathom.sources.tables import settle
 
-MAX_OWNERS, OWNERS_SHARE, SHARD, MIN_LENGTH = 8, 0.0005, 50_000, 6
+MAX_OWNERS, OWNERS_SHARE, SHARD, MIN_LENGTH = 8, 0.02, 50_000, 6
+HELD_CHARS = 64_000_000  # of texts past which a task takes the shards
 MASK = "[REDACTED]"
 
 # Words that end the name of a secret, names that look alike but are none, and known token shapes.
@@ -51,7 +55,10 @@ CALL = re.compile(r"\w+(?:\.\w+)*\(")
 DECODERS = re.compile(r"(?:bytes\.fromhex|(?:base64\.)?b64decode|SecretStr|Secret|Buffer\.from|bytes|bytearray|str|quote|encode)\(")
 NEXT_LITERAL = re.compile(r"[ \t\r\n]+%s" % LITERAL.replace("%d", "1"))
 BARE = re.compile(r"(?P<v>[^\s\"'`(){}\[\]<>$,;]{8,})[ \t]*(?:\r?\n|\\n|\Z|\.\.\.)")
-PLACEHOLDER = re.compile(r"your|example|change[_ -]?(?:me|it)|place[_ -]?holder|redacted|x{4,}|\*{3,}|\.{4,}|dummy|sample|insert|replace|vault|\bnone\b|\bnull\b|todo|fixme|undefined|^test$|^(?:my|the)?[_-]?(?:password|secret|token)[_-]?(?:here)?$|\$\{|\{\{|%\(|%s|^<.*>$|^\{.*\}$|^\$\w+$|^(.)\1*$|here$", re.I)
+TEMPLATE = re.compile(r"redacted|x{4,}|\*{3,}|\.{4,}|\$\{|\{\{|%\(|%s|^<.*>$|^\{.*\}$|^\$\w+$|^(.)\1*$", re.I)
+MARKERS = re.compile(r"your|example|changeme|change|place[_ -]?holder|dummy|sample|insert|replace|vault|none|null|todo|fixme|undefined|here", re.I)
+GENERIC = re.compile(r"password|passwd|secret|token|test|value|access|private|client|auth|from|user|api|key|the|my|me|it", re.I)
+SHAPE_MARKERS = re.compile(r"your|example|change[_-]?me|place[_-]?holder|dummy|sample", re.I)
 PHRASES = frozenset(("pass", "pw", "passcode", "password", "passwd", "passwrd", "passphrase", "pwd", "secret"))  # names of what may be words
 PROSE = frozenset("a an the is are was be been to of for from in on at by with without and or not no must should can cannot could will may if when this that it its your you we our please enter invalid wrong missing required expired failed error old new at least too has have does do use set reset confirm forgot show hide".split())
 RANDOM_PART = re.compile(r"(?=[^\n]*\d)(?=[^\n]*[A-Za-z])[A-Za-z0-9+/_=.~!@#%^&*-]{16,}\Z")
@@ -68,15 +75,30 @@ def passphrase(value: str) -> bool:
     return len(set(plain)) == len(plain) and not re.search(r"[.:!?]$|[%{}<>()=]", value) and sum(c.isalpha() for c in value) >= 10
 
 
+def placeholder(value: str) -> bool:
+    """Whether a value is a template, or its words say that it stands for another and leave nothing that could be one."""
+    if TEMPLATE.search(value):
+        return True
+    rest = MARKERS.sub("", value)
+    marked = rest != value
+    rest = re.sub(r"[\W_]+", "", GENERIC.sub("", rest))
+    if not marked:
+        return not rest
+    digit, lower, upper = (any(map(f, rest)) for f in (str.isdigit, str.islower, str.isupper))
+    return not (digit and (lower or upper) and (len(rest) >= 8 or len(rest) >= 6 and lower and upper))
+
+
 def plausible(value: str, strong: bool, phrase: bool = False) -> bool:
     """Whether a literal may be a credential: no placeholder, no word, no name, no sentence; words with blanks only where the
     name asks for a phrase."""
-    if len(value) < MIN_LENGTH or PLACEHOLDER.search(value):
+    if len(value) < MIN_LENGTH or placeholder(value):
         return False
     if any(c.isspace() for c in value):
         return phrase and passphrase(value)
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)
     if not strong:
-        return RANDOM_PART.match(value) is not None and not re.fullmatch(r"[a-z0-9]+(?:[_./:-][a-z0-9]+)*|[A-Z0-9]+(?:_[A-Z0-9]+)*", value)
+        letters = len(value) >= 16 and value.isascii() and value.isalpha() and len({c.isupper() for c in value}) == 2 and sum(len(x) < 3 for x in parts) >= 2
+        return letters or RANDOM_PART.match(value) is not None and not re.fullmatch(r"[a-z0-9]+(?:[_./:-][a-z0-9]+)*|[A-Z0-9]+(?:_[A-Z0-9]+)*", value)
     if value.startswith(("/", "./", "http://", "https://", "--")):
         return False
     digit, lower, upper = any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)
@@ -86,7 +108,7 @@ def plausible(value: str, strong: bool, phrase: bool = False) -> bool:
     if re.fullmatch(r"[a-z]+(?:[_./:-][a-z]+)*|[A-Z]+(?:[_./:-][A-Z]+)*", value):
         return False
     if re.fullmatch(r"(?:[A-Z][a-z]+)+|[a-z]+(?:[A-Z][a-z]+)*", value):  # words in camel case, unless they are too short for words
-        return sum(len(x) < 3 for x in re.findall(r"[A-Z]?[a-z]+", value)) >= 2
+        return sum(len(x) < 3 for x in parts) >= 2
     return lower or upper
 
 
@@ -107,7 +129,8 @@ def _hints() -> object:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of values that may be credentials; kind is value, sure (has a structure of its own), pem or tail (goes on from the line before)."""
+    """(start, end, kind) of values where a credential may stand; kind is pem, sure (has a structure of its own), value, phrase
+    (may be words), weak (only its look can tell) or tail (goes on from the line before)."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
     if len(low) != len(text):
@@ -143,8 +166,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 body = body.removesuffix("...")
             if k == 4 and re.match(r"(?:Bearer|Basic|Token)\s", body, re.I):
                 continue  # the header rule takes its own part
-            if plausible(body, strong, strong and name in PHRASES):
-                out.append((a, a + len(body), "value"))
+            if len(body) >= MIN_LENGTH:
+                out.append((a, a + len(body), "weak" if not strong else "phrase" if name in PHRASES else "value"))
                 end = v.end()
                 while (text[at : at + 1] == "(" or op == ":") and (t := NEXT_LITERAL.match(text, end)) and text[t.end() : t.end() + 1] not in (":", "="):
                     if t.end("v1") > t.start("v1"):
@@ -163,8 +186,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "env" in rules:  # a default beside the name of an environment variable
         for m in ENVIRONMENT.finditer(text):
             for k in ("1", "2"):
-                if m["q" + k] and SECRET_NAME.search(m["name"]) and plausible(m["v" + k], not m["name"].lower().endswith("key"), SECRET_NAME.search(m["name"])[0].lower() in PHRASES):
-                    out.append((*m.span("v" + k), "value"))
+                if m["q" + k] and (told := SECRET_NAME.search(m["name"])):
+                    out.append((*m.span("v" + k), "weak" if m["name"].lower().endswith("key") else "phrase" if told[0].lower() in PHRASES else "value"))
     if "url" in rules:
         for rule, kind in ((URL_LOGIN, "sure"), (HOOK, "value")):
             out += [(*m.span("v"), kind) for m in rule.finditer(text) if plausible(m["v"], True)]
@@ -177,7 +200,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     if "header" in rules:
         out += [(*m.span("v"), "value") for m in HEADER.finditer(text) if plausible(m["v"], False) or (plausible(m["v"], True) and re.search(r"\d|=$", m["v"]) and re.search("[A-Z]", m["v"]))]
     if "shape" in rules:
-        out += [(*m.span(), "sure") for m in SHAPES.finditer(text) if not PLACEHOLDER.search(m[0]) and any(c.isdigit() for c in m[0])]
+        out += [(*m.span(), "sure") for m in SHAPES.finditer(text) if not (TEMPLATE.search(m[0]) or SHAPE_MARKERS.search(m[0])) and any(c.isdigit() for c in m[0])]
     if "pem" in rules:
         out += [(*m.span(), "pem") for m in PEM.finditer(text)]
     return out
@@ -195,19 +218,33 @@ def literal_index(texts: DataFrame) -> DataFrame:
     return texts.select("body", "owner").mapInArrow(run, "value string, kind string, owner string")
 
 
+# what the places of one value say of it together: the first that occurs
+KINDS = ("pem", "sure", "phrase", "value", "weak", "tail")
+
+
 def confirmed(index: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(value, kind) of the literals with a structure of their own, and of others that at most max_owners owners have."""
-    return index.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.min(F.when(F.col("kind") == "tail", "z").otherwise(F.col("kind"))).alias("kind")).where(F.col("kind").isin("pem", "sure") | (F.col("owners") <= max_owners)).select("value", "kind")
+    """(value, kind, owners) of the literals that look like secrets, and that at most max_owners owners have unless they have a
+    structure of their own. The part of a value that goes on in a further line counts with the rest of it."""
+    order = F.least(*[F.when(F.col("kind") == k, F.lit(i)).otherwise(F.lit(len(KINDS))) for i, k in enumerate(KINDS)])
+    values = index.groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.min(order).alias("o")).where((F.col("o") < 2) | (F.col("owners") <= max_owners))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [k in ("pem", "sure", "tail") or plausible(v, k != "weak", k == "phrase") for v, k in ((v, KINDS[o]) for v, o in zip(b.column("value").to_pylist(), b.column("o").to_pylist()))]
+            yield b.filter(pa.array(ok, pa.bool_()))
 
-@lru_cache(1)
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("o") + 1)
+    return values.mapInArrow(run, "value string, owners bigint, o int").select("value", kind.alias("kind"), "owners")
+
+
+@lru_cache(2)
 def _automaton(folder: str, shard: int) -> object:
     import ahocorasick
     import pyarrow.dataset as ds
     from pyarrow.fs import FileSystem
 
     where = f"{folder}/shard={shard}"
-    files, path = FileSystem.from_uri(where if "://" in where else f"file://{where}") if not where.startswith("file:/") or "://" in where else FileSystem.from_uri("file://" + where[5:])
+    files, path = FileSystem.from_uri(where if "://" in where else f"file://{where.removeprefix('file:')}")
     t = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=["value", "kind"])
     a = ahocorasick.Automaton()
     for v, k in zip(t.column("value").to_pylist(), t.column("kind").to_pylist()):
@@ -216,17 +253,20 @@ def _automaton(folder: str, shard: int) -> object:
     return a
 
 
-def spans(text: str, automata: list) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the confirmed values in a text that begin where no word goes on, longest first where they overlap."""
+def begun(text: str, automaton: object) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the confirmed values in a text that begin where no word goes on."""
     hits = []
-    for a in automata:
-        for last, (n, kind) in a.iter(text):
-            start = last + 1 - n
-            if (start == 0 or not (text[start - 1].isalnum() and text[start].isalnum())) or text[start - 2 : start] in ("\\n", "\\t", "\\r"):
-                hits.append((start, last + 1, kind))
-    hits.sort(key=lambda h: (h[0], -h[1]))
+    for last, (n, kind) in automaton.iter(text):
+        start = last + 1 - n
+        if (start == 0 or not (text[start - 1].isalnum() and text[start].isalnum())) or text[start - 2 : start] in ("\\n", "\\t", "\\r"):
+            hits.append((start, last + 1, kind))
+    return hits
+
+
+def longest(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of values that overlap the first, and of those that begin together the longest."""
     out: list[tuple[int, int, str]] = []
-    for h in hits:
+    for h in sorted(set(hits), key=lambda h: (h[0], -h[1])):
         if not out or h[0] >= out[-1][1]:
             out.append(h)
     return out
@@ -252,37 +292,48 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def find_credentials(texts: DataFrame, max_owners: int = MAX_OWNERS, shard_size: int = SHARD, redact: bool = False) -> DataFrame:
-    """Credentials in texts(tbl, row_key, owner, body), whose columns are strings.
+    """Credentials in texts(tbl, row_key, owner, body), whose columns are strings; the owner is the text's repository, null for
+    texts that only quote another's.
 
     Result: (tbl, row_key, line_no), line_no (bigint, from 1) being the line in which a value begins, one row a line; with
     redact instead (tbl, row_key, n_found, redacted), one row for each text with a value, each value replaced by MASK and
-    all else unchanged. Null and empty texts give no rows; a null owner counts as one owner; repeated rows count once.
+    all else unchanged. Null and empty texts give no rows; null owners are not counted; repeated rows count once. A value
+    with no structure of its own may have max_owners owners, or OWNERS_SHARE of all if that is more.
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    rows = texts.where(F.col("body").isNotNull() & (F.col("body") != "")).select("tbl", "row_key", F.coalesce("owner", F.lit("")).alias("owner"), "body")
-    folder = shared_folder(spark, "credentials")
-    known = confirmed(literal_index(rows), max(max_owners, int(OWNERS_SHARE * rows.select("owner").distinct().count())))
-    known.write.parquet(f"{folder}/all")
-    known = spark.read.parquet(f"{folder}/all")
+    rows = texts.where(F.col("body").isNotNull() & (F.col("body") != "")).select("tbl", "row_key", "owner", "body")
+    known = settle(confirmed(literal_index(rows), max(max_owners, int(OWNERS_SHARE * rows.agg(F.countDistinct("owner")).first()[0]))), "secrets")
     n_shards = max(1, -(-known.count() // shard_size))
-    known.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(n_shards))).repartition(n_shards, "shard").write.partitionBy("shard").parquet(f"{folder}/shards")
-    shards = [r.shard for r in spark.read.parquet(f"{folder}/shards").select("shard").distinct().collect()] if known.take(1) else []
-    where = f"{folder}/shards"
+    folder = shared_folder(known.sparkSession, "credentials")
+    known.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(n_shards))).repartition(n_shards, "shard").write.partitionBy("shard").parquet(folder)
+    shards = [r.shard for r in known.sparkSession.read.parquet(folder).select("shard").distinct().collect()] if known.take(1) else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches as they come; where there are several shards, so many together that each is read a few times a task."""
+        held, size = [], 0
         for b in batches:
-            bodies, found = b.column("body").to_pylist(), None
+            held.append(b)
+            size += b.nbytes
+            if len(shards) == 1 or size >= HELD_CHARS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in joined(batches):
+            bodies = b.column("body").to_pylist()
+            found: list[list[tuple[int, int, str]]] = [[] for _ in bodies]
             for s in shards:
-                one = [spans(t, [_automaton(where, s)]) for t in bodies]
-                found = one if found is None else [sorted({*x, *y}, key=lambda h: (h[0], -h[1])) for x, y in zip(found, one)]
+                automaton = _automaton(folder, s)
+                for hits, t in zip(found, bodies):
+                    hits += begun(t, automaton)
+            found = [longest(hits) for hits in found]
             out = []
-            for i, (t, hits) in enumerate(zip(bodies, found or [])):
+            for i, (t, hits) in enumerate(zip(bodies, found)):
                 if hits and redact:
                     out.append((i, len(hits), masked(t, hits)))
                 elif hits:
-                    out += [(i, n) for n in sorted({t.count("\n", 0, a) + 1 for a, _, kind in hits if kind != "z"})]
+                    out += [(i, n) for n in sorted({t.count("\n", 0, a) + 1 for a, _, kind in hits if kind != "tail"})]
             if out:
                 where_, *rest = zip(*out)
                 keys = [b.column(c).take(pa.array(where_)) for c in ("tbl", "row_key")]

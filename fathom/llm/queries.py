@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import mixture
@@ -59,10 +59,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code_texts(spark: SparkSession, d: str) -> DataFrame:
-    def of(name: str, key: str, body: str) -> DataFrame:
-        return table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.col("file_path").alias("owner"), F.col(body).alias("body"))
+    def of(name: str, key: str, body: str, owner: Column | None = None) -> DataFrame:
+        return table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), (F.lit(None).cast("string") if owner is None else owner).alias("owner"), F.col(body).alias("body"))
 
-    return of("code_chunks", "id", "source_code").unionAll(of("llm_chunk_contexts", "context_id", "code_snippet")).unionAll(of("llm_investigation_chunk_contexts", "context_id", "code_snippet"))
+    # contexts quote chunks and have no owner of their own
+    return of("code_chunks", "id", "source_code", F.coalesce("repo", F.lit(""))).unionAll(of("llm_chunk_contexts", "context_id", "code_snippet")).unionAll(of("llm_investigation_chunk_contexts", "context_id", "code_snippet"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

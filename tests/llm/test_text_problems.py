@@ -236,3 +236,35 @@ def test_priors_of_many_hosts_are_joined_in_salted_copies(spark, monkeypatch):
     few = sorted(map(tuple, languages.passages(df).collect()), key=str)
     monkeypatch.setattr(languages, "SMALL_HOSTS", 0)
     assert few and sorted(map(tuple, languages.passages(df).collect()), key=str) == few
+
+
+# 5
+def test_owner_counts_suppress_placeholders_without_words(spark, monkeypatch):
+    import re
+
+    never = re.compile(r"(?!)")
+    for name in ("TEMPLATE", "MARKERS", "GENERIC"):
+        monkeypatch.setattr(credentials, name, never)
+    rows = [("t", f"{r}-{f}", f"repo{r}", f'api_token = "Sample-Value-{f % 2}X"\nx = 1\n') for r in range(30) for f in range(4)]  # in every repository
+    rows += [("t", f"real-{f}", "repo3", 'api_token = "Zk81-fqPw72"\n') for f in range(40)]  # in many files of one
+    rows += [("t", f"quote-{f}", None, 'api_token = "Zk81-fqPw72"\n') for f in range(40)]  # quoted elsewhere
+    got = credentials.find_credentials(spark.createDataFrame(rows, "tbl string, row_key string, owner string, body string"))
+    assert {r.row_key for r in got.collect()} == {f"real-{f}" for f in range(40)} | {f"quote-{f}" for f in range(40)}
+
+
+def test_words_inside_of_secrets_are_no_placeholders():
+    for value in ("vault-K9x!2pQzR", "Sample77Kd82jQpZ1x", "hereK3yABC99here"):
+        assert credentials.plausible(value, True), value
+    for value in ("your-api-key-here", "changeme", "CHANGE_ME", "<from vault>", "example-password-123", "${TOKEN}", "xxxxxxxx", "insert_token_here", "my_secret_token", "sampleKey1"):
+        assert not credentials.plausible(value, True), value
+    assert credentials.plausible("ilzOVUmzVjsmvyegjciTETrtzcsyEm", False) and not credentials.plausible("loadInvoiceFromDepotQueue", False) and not credentials.plausible("parseHTTPResponseAgain", False)
+
+
+def test_shards_find_what_one_automaton_finds(spark):
+    rng = random.Random(8)
+    values = ["".join(rng.choice("ABCDEFGHjkmnpq23456789-") for _ in range(rng.choice([9, 12, 30]))) + "k9" for _ in range(60)]
+    rows = [("t", str(i), f"r{i % 9}", f'password = "{v}"\nnote("{values[i - 1]}")\n') for i, v in enumerate(values)] + [("t", "nested", "r0", f'secret = "{values[3]}tail7"\n')]
+    texts = spark.createDataFrame(rows, "tbl string, row_key string, owner string, body string").repartition(5)
+    one = {tuple(r) for r in credentials.find_credentials(texts, redact=True).collect()}
+    many = {tuple(r) for r in credentials.find_credentials(texts, redact=True, shard_size=7).collect()}
+    assert one == many and len(one) == 61 and all(n == 2 for _, k, n, _ in one if k != "nested")
