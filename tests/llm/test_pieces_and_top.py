@@ -126,3 +126,20 @@ def test_the_limits_are_checked():
     with pytest.raises(ValueError):
         split_oversized(None, max_lines=5, overlap=5)
     assert F is not None
+
+
+def test_groups_of_many_runs_meet_in_buckets(spark, monkeypatch):
+    from fathom.llm import top_groups
+
+    monkeypatch.setattr(top_groups, "FAN", 3)
+    monkeypatch.setattr(top_groups, "RUN_ROWS", 20)
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 1, 1, 2, rng.randint(3, 40)]), f"c{rng.randint(0, 300)}", rng.choice([None, float("nan"), 0.5, 0.25, rng.random()])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g bigint, i string, s double").repartition(23)
+    want = {}
+    for g, i, s in rows:
+        if s is not None and s == s:
+            want.setdefault(g, {}).setdefault(i, []).append(s)
+    want = {(g, i, n) for g, items in want.items() for n, (_, i) in enumerate(sorted((-max(s), i) for i, s in items.items())[:5], 1)}
+    for hot_rows in (15, 10**6):  # with hot groups, and without
+        assert {(r.g, r.i, r["rank"]) for r in top_per_group(df, "g", "i", "s", n=5, hot_rows=hot_rows).collect()} == want
