@@ -7,8 +7,9 @@ decides, so that equal stretches become equal rules in every file; counted over
 or several other repositories have mark vendored copies. Over the characters
 inside long literals the first grammar tells blobs, which no rule shortens, from text that repeats.
 
-What a grammar can't see is taken from the file's opening comment (a generator's notice) and from its path (a package
-below a vendor folder); each is a kind of evidence of its own in the result.
+What a grammar can't see is taken from the file's opening comment (a generator's notice), from its path (a package below a
+vendor folder) and from its layout (tokens a line, share of literals). The result says for every file which kinds of evidence
+it has, so that flags without a grammar's can be told apart.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 from fathom.sources.tables import settle
 
 REUSED = 0.5  # of a file's tokens, at most so many symbols and rules are left: generated
-MIN_TOKENS = 60
+SAVED = 30  # and at least so many of its tokens are saved by them
 SHARED_UPSTREAM, SHARED_REPOS, OTHER_REPOS = 0.5, 0.9, 4
+UPSTREAM_RULES, REPOS_RULES = 2, 18  # rules that at least are shared
+HOT_FILES, SMALL_LIST = 100_000, 100_000  # a rule of more files than that is joined by broadcast, if there are not more such rules
 BLOB, VALUES, DENSE = 0.6, 0.75, 45
 DENSE_BITS, WRAPPED = 3.2, 32  # bits a character that data takes at least; width of a line of wrapped data
 CHARS_A_BATCH = 2_000_000
+LONG_LINE = 300
+UPSTREAM = "\0upstream"
 
 TOKEN = re.compile(r"[^\W\d]\w*|[()\[\]{},.:;=+*<>%&|^~!@?-]|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|\d[\w.]*|[^\s\w]")
 WORDS = re.compile(r"\s\S+\s\S+\s")
@@ -232,7 +237,7 @@ def is_code(path: Column) -> Column:
 def code_files(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, repo, body) of the .py and .js files that have chunks: the source as scanned, or else the text of its chunks."""
     paths = chunks.where(is_code(F.col("file_path"))).select(F.col("file_path").alias("path")).distinct()
-    scanned = sources.where(is_code(F.col("file_path")) & F.col("source").isNotNull()).select(F.col("file_path").alias("path"), "repo", F.col("source").alias("body")).dropDuplicates(["path"])
+    scanned = sources.where(is_code(F.col("file_path")) & F.col("source").isNotNull()).groupBy(F.col("file_path").alias("path")).agg(F.min(F.struct("repo", F.col("source").alias("body"))).alias("f")).select("path", "f.repo", "f.body")
     whole = scanned.join(paths, "path", "left_semi")
     lone = paths.join(scanned.select("path"), "path", "left_anti")
     pieces = chunks.where(F.col("source_code").isNotNull() & (F.col("chunk_type") != "method")).select(F.col("file_path").alias("path"), "repo", "start_line", "source_code").join(lone, "path", "left_semi")
@@ -241,24 +246,38 @@ def code_files(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """Every file of files(path, repo, body) with its features and the reason, null for hand-written ones.
+    """Every file of files(path, repo, body) with its features, the reason, null for hand-written ones, and the evidence there is.
 
     upstream(package, source_code) has the files of third-party packages. Reasons: generated, minified, data, vendored. Null
     and empty bodies have no tokens and are hand-written unless their path says otherwise; a repeated path should be
     removed before; a null repo is one repository.
     """
     own = settle(describe(files.select("path", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("body", F.lit("")).alias("body"))), "files")
-    theirs = describe(upstream.where(F.col("source_code").isNotNull()).select(F.lit("").alias("path"), F.lit("\0upstream").alias("repo"), F.col("source_code").alias("body")))
+    theirs = describe(upstream.where(F.col("source_code").isNotNull()).select(F.lit("").alias("path"), F.lit(UPSTREAM).alias("repo"), F.col("source_code").alias("body")))
     rules = own.select("path", "repo", F.explode(F.array_distinct("rules")).alias("rule"))
     known = theirs.select("repo", F.explode(F.array_distinct("rules")).alias("rule")).distinct()
-    owners = rules.select("repo", "rule").unionByName(known).distinct().groupBy("rule").agg(F.count_if(F.col("repo") == "\0upstream").alias("up"), F.count("*").alias("repos")).where(f"up > 0 or repos >= {OTHER_REPOS}")
-    spread = rules.join(owners, "rule").groupBy("path").agg(F.count_if(F.col("up") > 0).alias("in_upstream"), F.count_if(F.col("repos") >= OTHER_REPOS).alias("in_repos"))
+    by_repo = rules.groupBy("repo", "rule").agg(F.count("*").alias("files")).unionByName(known.withColumn("files", F.lit(0)))
+    owners = by_repo.groupBy("rule").agg((F.count_if(F.col("repo") == UPSTREAM) > 0).alias("up"), F.count("*").alias("repos"), F.sum("files").alias("files"))
+    owners = settle(owners.where(f"up or repos >= {OTHER_REPOS}"), "owners")
+    hot = owners.where(F.col("files") > HOT_FILES).select("rule", F.lit(True).alias("is_hot"), F.col("up").alias("hot_up"), F.col("repos").alias("hot_repos"))
+    many = hot.count()
+    if 0 < many <= SMALL_LIST:
+        marked = rules.join(F.broadcast(hot), "rule", "left")
+        hits = marked.where("is_hot").select("path", F.col("hot_up").alias("up"), F.col("hot_repos").alias("repos"))
+        hits = hits.unionByName(marked.where("is_hot is null").join(owners.where(F.col("files") <= HOT_FILES), "rule").select("path", "up", "repos"))
+    else:
+        hits = rules.join(owners, "rule").select("path", "up", "repos")
+    spread = hits.groupBy("path").agg(F.count_if("up").alias("in_upstream"), F.count_if(F.col("repos") >= OTHER_REPOS).alias("in_repos"))
     rows = own.withColumn("n_rules", F.size(F.array_distinct("rules"))).drop("rules").join(spread, "path", "left")
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.greatest(F.col("n_rules"), F.lit(1))
+    shared = lambda c, least, n: (share(c) >= least) & (F.coalesce(F.col(c), F.lit(0)) >= n)
     path = F.lower("path")
-    vendored = (share("in_upstream") >= SHARED_UPSTREAM) & (F.col("n_rules") >= 4) | (share("in_repos") >= SHARED_REPOS) & (F.col("n_rules") >= 20) | path.rlike(VENDOR_PATH)
-    minified = (F.col("tokens_a_line") >= DENSE) & (F.col("longest_line") >= 300) & (F.col("hard_literals") < BLOB) | path.rlike(MINIFIED_PATH)
-    data = ((F.col("hard_literals") >= BLOB) | (F.col("literals") >= VALUES)) & (F.col("n_tokens") > 0)
-    generated = F.col("notice") | path.rlike(GENERATED_PATH) | (F.col("left_over") <= REUSED) & (F.col("n_tokens") >= MIN_TOKENS)
-    reason = F.when(vendored, "vendored").when(data, "data").when(minified, "minified").when(generated, "generated")
-    return rows.select("path", "repo", "n_tokens", F.round("left_over", 4).alias("left_over"), F.round("hard_literals", 4).alias("hard_literals"), F.round("literals", 4).alias("literals"), "longest_line", F.round("tokens_a_line", 2).alias("tokens_a_line"), "notice", F.round(share("in_upstream"), 4).alias("in_upstream"), F.round(share("in_repos"), 4).alias("in_repos"), reason.alias("reason"))
+    copied = shared("in_upstream", SHARED_UPSTREAM, UPSTREAM_RULES) | shared("in_repos", SHARED_REPOS, REPOS_RULES)
+    blob, repeats = F.col("hard_literals") >= BLOB, (F.col("left_over") <= REUSED) & ((1 - F.col("left_over")) * F.col("n_tokens") >= SAVED)
+    packed, values = (F.col("tokens_a_line") >= DENSE) & (F.col("longest_line") >= LONG_LINE) & ~blob, (F.col("literals") >= VALUES) & (F.col("n_tokens") > 0)
+    vendor, small, made = path.rlike(VENDOR_PATH), path.rlike(MINIFIED_PATH), path.rlike(GENERATED_PATH)
+    reason = F.when(copied | vendor, "vendored").when((blob & (F.col("n_tokens") > 0)) | values, "data").when(packed | small, "minified").when(F.col("notice") | made | repeats, "generated")
+    kinds = (("grammar", copied | blob | repeats), ("layout", packed | values), ("notice", F.col("notice")), ("path", vendor | small | made))
+    evidence = F.array_compact(F.array(*[F.when(fits, F.lit(kind)) for kind, fits in kinds]))
+    rounded = [F.round(c, d).alias(c) if d else F.col(c) for c, d in (("n_tokens", 0), ("left_over", 4), ("hard_literals", 4), ("literals", 4), ("longest_line", 0), ("tokens_a_line", 2), ("notice", 0))]
+    return rows.select("path", "repo", *rounded, F.round(share("in_upstream"), 4).alias("in_upstream"), F.round(share("in_repos"), 4).alias("in_repos"), reason.alias("reason"), F.array_join(evidence, ",").alias("evidence"))
