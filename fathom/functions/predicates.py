@@ -9,6 +9,7 @@ from fathom.functions import vocabulary as V
 from fathom.functions.paths import is_test_path, normalize_path, stem
 from fathom.functions.text import alnum_words, has_any, identifier_tokens, literal_array, no_null, pieces, tokens_with_variants
 
+# Patterns of definitions, calls, assignments and comparisons.
 NOT_DEFINITION = r"(?m)^[ \t]*(?:async )?def .*$"
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 PLACE_ASSIGNED = r"\b(?:self\.)?[A-Za-z_]\w*(?:\.[A-Za-z_]\w+|\[[^\]]+\])\s*(?:\+=|-=|(?<![=!<>])=(?!=))"

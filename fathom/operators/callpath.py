@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.paths import normalize_path
+from fathom.functions.paths import is_suffix_match, normalize_path
 from fathom.functions.predicates import CRUD_NAME, bare_name, counterparts, last_part
 from fathom.functions.text import has_any, identifier_tokens, no_null, pieces
 from fathom.functions.vocabulary import words
@@ -41,7 +41,7 @@ def traceback_files(traceback: Column) -> Column:
 
 
 def is_traceback_source(path_key: Column, is_test: Column, files: Column) -> Column:
-    return ~is_test & (path_key != "") & F.exists(files, lambda h: (h != "") & ((h == path_key) | F.endswith(path_key, F.concat(F.lit("/"), h)) | F.endswith(h, F.concat(F.lit("/"), path_key))))
+    return ~is_test & F.exists(files, lambda h: is_suffix_match(h, path_key))
 
 
 def is_reverse_seed() -> Column:
@@ -153,19 +153,20 @@ def _reverse(seeds: DataFrame, edges: DataFrame, failures: DataFrame, chunks: Da
 
 
 def _counterparts(seeds: DataFrame, seen: DataFrame, edges: DataFrame, failures: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Functions that undo what a seed calls, in the class or file of what it calls."""
+    """Functions that undo what a seed calls, in the class or file, of one repository, of what it calls."""
     c = F.col
     df = _pairs(seeds.select("failure_id", "chunk_id", c("score").alias("seed_score")), failures, chunks)
     df = df.where(c("is_function") & c("pair_context") & (F.size("called_pairs") > 0)).withColumn("other", counterparts(c("called_pairs")))
     terms = F.concat("signal_words", "primary_terms")
     df = df.where(F.arrays_overlap(F.concat("called_pairs", "other"), terms) | F.arrays_overlap("name_terms", F.array_intersect("primary_terms", "signal_words")))
     source = df.select("failure_id", "seed_score", c("chunk_id").alias("source"), "called_pairs", "other")
-    sides = chunks.where("defines_pair").select(c("chunk_id").alias("side"), c("name_terms").alias("side_terms"), c("parent").alias("side_parent"), c("path_key").alias("side_path"))
+    sides = chunks.where("defines_pair").select(c("chunk_id").alias("side"), c("name_terms").alias("side_terms"), "repo", c("parent").alias("side_parent"), c("path_key").alias("side_path"))
     called = source.join(edges.select(c("src").alias("source"), "matched_name", c("dst").alias("side")), "source").join(sides, "side")
-    called = called.where(F.arrays_overlap("called_pairs", F.concat("side_terms", identifier_tokens(last_part(c("matched_name")))))).select("failure_id", "seed_score", "source", "other", "side", "side_parent", "side_path").distinct()
-    cand = chunks.where("is_function and not is_test and defines_pair").select("chunk_id", "parent", "path_key", "name", "start_line")
-    same_class = called.join(cand, (c("parent") == c("side_parent")) & (c("parent") != ""))
-    same_file = called.join(cand, c("path_key") == c("side_path"))
+    called = called.where(F.arrays_overlap("called_pairs", F.concat("side_terms", identifier_tokens(last_part(c("matched_name")))))).select("failure_id", "seed_score", "source", "other", "side", "repo", "side_parent", "side_path").distinct()
+    cand = chunks.where("is_function and not is_test and defines_pair").select("chunk_id", c("repo").alias("of"), "parent", "path_key", "name", "start_line")
+    within = c("of").eqNullSafe(c("repo"))  # names and paths say nothing across repositories
+    same_class = called.join(cand, within & (c("parent") == c("side_parent")) & (c("parent") != ""))
+    same_file = called.join(cand, within & (c("path_key") == c("side_path")))
     found = same_class.unionByName(same_file).where((c("chunk_id") != c("side")) & F.exists("other", lambda t: F.startswith(bare_name(c("name")), t)))
     found = found.join(seen, ["failure_id", "chunk_id"], "left_anti")
     score = F.least(F.greatest(c("seed_score") - 0.15, F.lit(0.0)) + 0.1, F.greatest(c("seed_score") - 0.05, F.lit(0.0)))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fathom.functions import vocabulary as V
 from fathom.functions.paths import is_test_path, normalize_path
-from fathom.functions.predicates import CALL
+from fathom.functions.predicates import CALL, mentions_test_infrastructure
 from fathom.functions.text import dedupe_ignoring_case, domain_words, identifier_tokens, lines, literal_array, no_null, one_line, rstrip, select_terms, strip, tokens_with_variants, truncate_after, truncate_text
 from fathom.operators.graph import best_per_key
 
@@ -79,7 +79,7 @@ def with_signals(failures: DataFrame) -> DataFrame:
     df = df.withColumn("action_terms", F.array_intersect("primary_terms", action)).withColumn("business_context", F.arrays_overlap("meaningful", action))
     states = literal_array(dict.fromkeys(V.PAIRED_WORDS + V.STATE_CONTEXT_WORDS + V.STATE_CHANGE_WORDS))
     df = df.withColumn("pair_context", ~c("did_not_raise") & F.arrays_overlap(F.concat("signal_words", "primary_terms"), states)).withColumn("pair_words", F.arrays_overlap(c("signal_words"), states))
-    df = df.withColumn("infra_failure", F.lower(F.concat_ws(" ", "test_name", no_null(c("error_type")), "message", "traceback")).rlike("|".join(V.TEST_INFRASTRUCTURE)))
+    df = df.withColumn("infra_failure", mentions_test_infrastructure(F.concat_ws(" ", "test_name", no_null(c("error_type")), "message", "traceback")))
     files = F.array_distinct(F.filter(F.transform("source_hints", hint_path), lambda p: (p != "") & ~is_test_path(p)))
     df = df.withColumn("hint_files", files).withColumn("hint_folders", F.array_sort(F.array_distinct(F.filter(F.transform("hint_files", lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)), lambda p: p != ""))))
     return df
@@ -196,9 +196,3 @@ def _error_message(traceback: pd.Series, error_type: pd.Series) -> pd.Series:
 
 def error_message(traceback: Column, error_type: Column) -> Column:
     return truncate_text(one_line(_error_message(traceback, error_type)), 220)
-
-
-def first_of_each(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -40,6 +40,7 @@ def joined(values: Column) -> Column:
 
 
 def once(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """The rows of a table without repeated ones, which are equal but for the time of their delivery."""
     return table(spark, d, name).dropDuplicates([key])
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from datetime import UTC, datetime
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,25 +66,31 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 
 class Index:
-    """A folder of versions, of which a one-line CURRENT names the valid one; a failed write leaves it as it was."""
+    """A folder of versions on storage that all executors share (a path without a scheme is a local one). A version is valid from
+    when a pointer with its name is there; the newest pointer holds. A failed write leaves the index as it was."""
 
     def __init__(self, spark: SparkSession, folder: str, model: str = MODEL):
-        self.spark, self.folder, self.model = spark, folder, model
+        self.spark, self.model = spark, model
+        self.folder = folder.rstrip("/") if "://" in folder else "file://" + os.path.abspath(folder)
+        self.files_of, self.path = FileSystem.from_uri(self.folder)
 
     def _current(self) -> str | None:
-        at = os.path.join(self.folder, "CURRENT")
-        if not os.path.exists(at):
-            return None
-        with open(at) as f:
-            return os.path.join(self.folder, f.read().strip())
+        """The name of the valid version."""
+        found = self.files_of.get_file_info(FileSelector(self.path, allow_not_found=True))
+        pointers = sorted(f.base_name for f in found if f.type == FileType.File and f.base_name.startswith("CURRENT-"))
+        return pointers[-1].split("-", 2)[2] if pointers else None
 
     def exists(self) -> bool:
         at = self._current()
-        return at is not None and all(os.path.exists(os.path.join(at, x)) for x in ("chunks", "files", "meta.json"))
+        return at is not None and all(f.type != FileType.NotFound for f in self.files_of.get_file_info([f"{self.path}/{at}/{x}" for x in ("chunks", "files", "meta.json")]))
 
     def metadata(self) -> dict:
-        with open(os.path.join(self._current() or "", "meta.json")) as f:
-            return json.load(f)
+        with self.files_of.open_input_stream(f"{self.path}/{self._current()}/meta.json") as f:
+            return json.loads(f.read())
+
+    def _write(self, name: str, text: str) -> None:
+        with self.files_of.open_output_stream(f"{self.path}/{name}") as f:
+            f.write(text.encode())
 
     def compatibility(self) -> str:
         """missing, outdated or compatible."""
@@ -94,28 +102,22 @@ class Index:
 
     def chunks(self) -> DataFrame:
         schema = CHUNK_SCHEMA + ", embedding array<double>"
-        df = self.spark.read.schema(schema).parquet("file://" + os.path.join(self._current() or "", "chunks"))
+        df = self.spark.read.schema(schema).parquet(f"{self.folder}/{self._current()}/chunks")
         return df.withColumn("decorators", F.coalesce("decorators", F.array().cast("array<string>")))
 
     def files(self) -> DataFrame:
-        return self.spark.read.schema(FILE_SCHEMA).parquet("file://" + os.path.join(self._current() or "", "files"))
+        return self.spark.read.schema(FILE_SCHEMA).parquet(f"{self.folder}/{self._current()}/files")
 
     def save(self, chunks: DataFrame, files: DataFrame, created: str | None = None) -> dict:
         version = f"v-{uuid.uuid4().hex}"
-        at = os.path.join(os.path.abspath(self.folder), version)
-        chunks.write.parquet(f"file://{at}/chunks")
-        files.select("rel_path", "size", "mtime", "sha256").write.parquet(f"file://{at}/files")
-        now = datetime.now(UTC).isoformat()
-        counts = {"chunks_indexed": self.spark.read.parquet(f"file://{at}/chunks").count(), "files_indexed": self.spark.read.parquet(f"file://{at}/files").count()}
-        meta = {"index_schema_version": SCHEMA_VERSION, "embedding_text_version": TEXT_VERSION, "embedding_model_name": self.model, "created_at": created or now, "updated_at": now} | counts
-        with open(os.path.join(at, "meta.json"), "w") as f:
-            json.dump(meta, f)
-        fresh = os.path.join(self.folder, f"CURRENT-{version}")
-        with open(fresh, "w") as f:
-            f.write(version)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(fresh, os.path.join(self.folder, "CURRENT"))
+        at = f"{self.folder}/{version}"
+        chunks.write.parquet(f"{at}/chunks")
+        files.select("rel_path", "size", "mtime", "sha256").write.parquet(f"{at}/files")
+        now = datetime.now(UTC)
+        counts = {"chunks_indexed": self.spark.read.parquet(f"{at}/chunks").count(), "files_indexed": self.spark.read.parquet(f"{at}/files").count()}
+        meta = {"index_schema_version": SCHEMA_VERSION, "embedding_text_version": TEXT_VERSION, "embedding_model_name": self.model, "created_at": created or now.isoformat(), "updated_at": now.isoformat()} | counts
+        self._write(f"{version}/meta.json", json.dumps(meta))
+        self._write(f"CURRENT-{time.time_ns():020d}-{version}", "")
         return meta
 
     def update(self, files: DataFrame, rebuild: bool = False, embedder=hashing_embedder) -> dict:
@@ -134,5 +136,3 @@ class Index:
         meta = self.save(kept.unionByName(embedder(extract_chunks(fresh))), files, self.metadata()["created_at"])
         diff.unpersist()
         return counts | {"rebuilt": False} | meta
-
-

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []  # folders of this process, in order
+
+
+def remove_tables() -> int:
+    """Removes the intermediate tables that this process has made; for callers whose results are written. How many there were."""
+    count = len(_MADE)
+    while _MADE:
+        folder = _MADE.pop()
+        files, path = FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        if files.get_file_info(path).type == FileType.Directory:
+            files.delete_dir(path)
+    return count
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; below a local temporary one where that is unset, as in tests."""
+    """A new folder below the cluster's spark.checkpoint.dir; in local mode below a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        if kept.isDefined():
+            base = kept.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            base = tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
 
 
 def settle(df: DataFrame, purpose: str = "step") -> DataFrame:

@@ -147,3 +147,21 @@ def test_providers():
     with pytest.raises(ValueError):
         providers.load_provider({"FATHOM_LLM_PROVIDER": "other"})
     assert callpath and resolve
+
+
+def test_counterparts_stay_in_their_repository(spark):
+    from fathom.operators import callpath, failures
+    from fathom.plans import api
+    from fathom.sources.index import hashing_embedder
+
+    def chunk(id, name, parent, repo, source, deps=()):
+        return (id, repo, "app/store.py", "method", name, parent, 1, 4, source, [], list(deps), [])
+
+    rows = [chunk("t1", "transfer", "Service", "one", "def transfer(self):\n    self.debit(1)\n", ["self.debit"]), chunk("d1", "debit", "Service", "one", "def debit(self, n):\n    self.balance -= n\n"), chunk("c1", "credit", "Service", "one", "def credit(self, n):\n    self.balance += n\n")]
+    rows += [chunk(f"{i}x", n, "Service", "two", s, d) for i, n, s, d in (("t", "transfer", "def transfer(self):\n    self.debit(1)\n", ["self.debit"]), ("d", "debit", "def debit(self, n): ...\n", []), ("c", "credit", "def credit(self, n): ...\n", []))]
+    schema = "id string, repo string, file_path string, chunk_type string, name string, parent string, start_line int, end_line int, source_code string, imports array<string>, dependencies array<string>, decorators array<string>"
+    corpus = api.Corpus(hashing_embedder(spark.createDataFrame(rows, schema)))
+    f = failures.with_signals(spark.createDataFrame([(1, "tests/test_transfer.py::test_transfer_moves_balance", "tests/test_transfer.py", 3, "AssertionError", "debit without credit: transfer balance", "")], "failure_id bigint, test_name string, file_path string, line_number int, error_type string, message string, traceback string"))
+    ranked = spark.createDataFrame([(1, "t1", 2.0, 1)], "failure_id bigint, chunk_id string, score double, rank int")
+    found = {r.chunk_id for r in callpath.call_path_context(ranked, corpus.edges, f.drop("file_path"), corpus.chunks.drop("embedding", "shown_terms", "terms")).collect()}
+    assert "c1" in found and not found & {"cx", "dx", "tx"}

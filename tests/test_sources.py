@@ -93,6 +93,25 @@ def test_streamed_files(spark, tmp_path):
     run([("r", "a.py", "def g(): pass\ndef h(): pass\n", "3")])
     rows = updates.latest_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted(r.name for r in rows) == ["g", "h", "k"]
+    run([("r", "a.py", "# emptied\n", "4"), ("r", "b.py", None, None), ("q", "a.py", "def other(): pass\n", "5")])
+    assert [r.name for r in updates.latest_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()] == ["other"]
+    run([("r", "b.py", "def broken(:\n", "6"), (None, "c.py", "def c(): pass\n", "7")])
+    assert sorted(r.name for r in updates.latest_chunks(spark.read.parquet(str(tmp_path / "out"))).collect()) == ["c", "other"]
+
+
+def test_folders_of_intermediate_tables(spark):
+    from types import SimpleNamespace
+
+    from fathom.sources import tables
+
+    df = tables.settle(spark.range(3))
+    assert df.count() == 3 and tables.remove_tables() >= 1 and tables.remove_tables() == 0
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other), sparkContext=SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: unset)))
+    assert "/x-" in tables.shared_folder(session("local[4]"), "x")
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            tables.shared_folder(session(master), "x")
 
 
 def test_command_line(spark, tree, tmp_path, capfd):
