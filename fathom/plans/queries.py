@@ -474,6 +474,27 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "investigation_results").where("query is not null").groupBy("query_id").agg(F.min("query").alias("query"))
 
 
+@query(sql.INVESTIGATION)
+def investigation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every result of every question, scored anew by what its code does, with the reasons."""
+    rows = table(spark, d, "investigation_results").where("score is not null and not isnan(score) and query_id is not null and chunk_id is not null")
+    pairs = rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("base_score")).join(_questions(spark, d).withColumnRenamed("query", "description"), "query_id")
+    features = settle(scoring.investigation_features(chunk_features(_chunks(spark, d))).withColumnRenamed("id", "chunk_id"), "features")
+    scored = scoring.investigation_score(pairs.join(features, "chunk_id"))
+    return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(sql.FAILURE_SCORES)
+def failure_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk that was kept for a failure, scored by the failure's signals, with the names of its components."""
+    rows = table(spark, d, "llm_chunk_contexts").where("score is not null and not isnan(score) and failure_id is not null and chunk_id is not null")
+    pairs = rows.groupBy("failure_id", "chunk_id").agg(F.max("score").alias("base_score"))
+    facts = settle(failures.with_signals(once(spark, d, "test_failures", "failure_id")).drop("repo", "file_path"), "failures")
+    features = settle(chunk_features(_chunks(spark, d)).withColumnRenamed("id", "chunk_id"), "features")
+    scored = scoring.failure_components(scoring.pair_evidence(pairs.join(facts, "failure_id").join(features, "chunk_id")))
+    return scored.select("failure_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join(F.transform("parts", lambda p: p["name"]), ",").alias("parts"))
+
+
 @query()
 def search_code(spark: SparkSession, d: str) -> DataFrame:
     return _shown(api.search(_corpus(spark, d), _questions(spark, d)))

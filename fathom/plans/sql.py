@@ -204,3 +204,137 @@ PARSED = f"""
     y AS (SELECT w.log_id, w.outcome, w.nodeid, {strip("string_agg(l.line, chr(10) ORDER BY l.line_no)")} AS traceback FROM w JOIN l ON l.log_id = w.log_id AND l.line_no >= w.start AND (w.stop IS NULL OR w.spot IS NULL OR l.line_no < w.stop) GROUP BY w.log_id, w.outcome, w.nodeid)
     SELECT w.log_id, w.line_no, w.nodeid AS test_name, w.file_path, w.line_number, w.error_type, y.traceback FROM w JOIN y ON y.log_id = w.log_id AND y.outcome = w.outcome AND y.nodeid = w.nodeid
 """
+
+
+# scores
+
+_ENDS_IN = lambda t, s: f"{t} LIKE '%{s}'"
+_ROOT = lambda t, n: f"{t}[1:length({t}) - {n}]"
+
+
+def _variants(t: str) -> str:
+    ing, root = f"({_ENDS_IN(t, 'ing')} AND length({t}) > 5)", _ROOT(t, 3)
+    double = f"length({t}) > 5 AND {t}[length({t}) - 3] = {t}[length({t}) - 4]"
+    forms = [t, f"CASE WHEN {_ENDS_IN(t, 'ies')} AND length({t}) > 4 THEN {root} || 'y' END", f"CASE WHEN {ing} THEN {root} END", f"CASE WHEN {ing} THEN {root} || 'e' END", f"CASE WHEN {ing} AND {double} THEN {_ROOT(t, 4)} END", f"CASE WHEN {_ENDS_IN(t, 'ed')} AND length({t}) > 4 THEN {_ROOT(t, 2)} END", f"CASE WHEN {_ENDS_IN(t, 's')} AND length({t}) > 3 THEN {_ROOT(t, 1)} END"]
+    return "list_filter([" + ", ".join(forms) + "], lambda v: v IS NOT NULL)"
+
+
+def _kept(tokens: str) -> str:
+    return f"list_filter({tokens}, lambda w: length(w) > 1 AND NOT list_contains({listed(V.INVESTIGATION_STOP_WORDS)}, w))"
+
+
+def meaningful(text: str) -> str:
+    """Identifier tokens and their stems without stop words."""
+    return _kept(f"list_distinct(flatten(list_transform({pieces(text)}, lambda t: {_variants('t')})))")
+
+
+def displayed(text: str) -> str:
+    return _kept(pieces(text))
+
+
+def _display_variants(t: str) -> str:
+    plural = f"({_ENDS_IN(t, 's')} AND length({t}) > 3)"
+    forms = [t, f"CASE WHEN {plural} THEN {_ROOT(t, 1)} ELSE {t} || 's' END", f"CASE WHEN {_ENDS_IN(t, 'y')} AND length({t}) > 2 THEN {_ROOT(t, 1)} || 'ies' END", f"CASE WHEN {_ENDS_IN(t, 'ies')} AND length({t}) > 4 THEN {_ROOT(t, 3)} || 'y' END"]
+    return "list_filter([" + ", ".join(forms) + "], lambda v: v IS NOT NULL)"
+
+
+def counterparts(tokens: str) -> str:
+    table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in V.COUNTERPARTS.items()) + "}"
+    return f"list_distinct(list_transform({tokens}, lambda t: map_extract({table}, t)[1]))"
+
+
+_BARE = lambda x: f"lower(regexp_replace({x}, '^_+', ''))"
+_LAST = "string_split(d, '.')[-1]"
+_PARTS = "list_filter(string_split(d, '.'), lambda p: p <> '')"
+
+# what scores ask of a chunk alone
+FACTS = f"""
+    b AS (SELECT DISTINCT ON (id) * FROM code_chunks WHERE id IS NOT NULL),
+    c AS (SELECT id, name, chunk_type, coalesce(parent, '') AS parent, file_path, start_line, coalesce(source_code, '') AS src, list_filter(coalesce(dependencies, []), lambda x: x IS NOT NULL) AS deps, list_filter(coalesce(decorators, []), lambda x: x IS NOT NULL) AS decs FROM b),
+    g AS (SELECT *, {is_test("file_path")} AS is_test, {normal("file_path")} AS path_key, chunk_type IN ('function', 'method') AS is_function, {pieces("name")} AS name_terms, {pieces("parent")} AS parent_terms, {pieces("regexp_replace(regexp_extract(replace(file_path, chr(92), '/'), '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')")} AS stem_terms,
+        {_GUARD("name")} AS guard_name, len(list_filter(deps, lambda d: {_GUARD(_LAST)})) > 0 OR regexp_matches({_NO_DEFINITIONS}, '\\b(?:can_[A-Za-z0-9_]*|(?:{_OTHERS})[A-Za-z0-9_]*)\\s*\\(') AS calls_guard,
+        list_intersect({pieces(f"array_to_string(list_concat(list_transform(deps, lambda d: {_LAST}), regexp_extract_all({_NO_DEFINITIONS}, '\\b({_CALLED})\\s*\\(', 1)), chr(10))")}, {listed(V.PAIRED_WORDS)}) AS called_pairs,
+        chunk_type IN ('function', 'method') AND regexp_matches({_BARE("name")}, '^(?:{"|".join(V.PAIRED_WORDS)})') AS defines_pair FROM c)"""
+
+_WORDS = "concat_ws(chr(10), name, parent, file_path, src, nullif(array_to_string(deps, chr(10)), ''), nullif(array_to_string(decs, chr(10)), ''))"
+
+INVESTIGATION = f"""
+    WITH {FACTS},
+    f AS (SELECT *, {meaningful(_WORDS)} AS terms, {displayed(_WORDS)} AS shown_terms, regexp_matches(src, '\\bif\\b|\\bfor\\b|\\bsorted\\s*\\(|\\bfilter\\s*\\(|[<>]=?|==|!=') AS compares, regexp_matches(src, '\\b(?:self|cls|[A-Za-z_]\\w*)\\.[A-Za-z_]\\w*\\s*(?:[+*/-]?=)') AS changes FROM g),
+    q AS (SELECT query_id, {meaningful("query")} AS q_terms, {displayed("query")} AS q_shown FROM (SELECT query_id, min(query) AS query FROM investigation_results WHERE query IS NOT NULL GROUP BY query_id)),
+    p AS (SELECT query_id, chunk_id, max(score) AS base FROM investigation_results WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id),
+    x AS (SELECT *, len(list_intersect(q_terms, terms)) AS n, list_intersect(q_terms, terms) AS matched, list_sort(list_intersect(q_shown, flatten(list_transform(shown_terms, lambda t: {_display_variants("t")}))))[1:4] AS shown, is_function AND NOT regexp_matches(name, '^__.*__$') AND NOT is_test AS works, list_concat(parent_terms, stem_terms) AS places FROM p JOIN q USING (query_id) JOIN f ON f.id = p.chunk_id),
+    y AS (SELECT *, works AND {any_of("places", V.INVESTIGATION_ROLES)} AND (n > 0 OR compares) AS business, works AND {any_of("q_terms", V.INVESTIGATION_FILTERING)} AND {any_of("terms", V.INVESTIGATION_FILTERING)} AND compares AS filtering,
+        list_has_any(q_terms, list_concat(called_pairs, list_intersect(name_terms, {listed(V.INVESTIGATION_STATE)}))) AS calls,
+        NOT is_test AND (guard_name OR calls_guard OR regexp_matches({_BARE("name")}, '^(?:{"|".join(V.INVESTIGATION_VALIDATION_PREFIXES)})')) AS validation,
+        len(list_filter(deps, lambda d: len({_PARTS}) > 0 AND list_has_any({pieces(f"({_PARTS})[-1]")}, called_pairs) AND (len({_PARTS}) = 1 OR NOT {any_of(pieces(f"({_PARTS})[1]"), V.IGNORED_CALL_HEADS)}))) > 0 AS domain_call FROM x),
+    z AS (SELECT *, works AND {any_of("q_terms", V.INVESTIGATION_STATE)} AND {any_of("terms", V.INVESTIGATION_STATE)} AND (changes OR len(called_pairs) > 0 AND calls) AS state,
+        CASE WHEN works AND len(called_pairs) > 0 AND (list_has_any(q_terms, list_concat(called_pairs, {counterparts("called_pairs")})) OR domain_call AND calls) THEN 'possible missing counterpart operation'
+            WHEN works AND defines_pair AND changes AND list_has_any(q_terms, list_concat(name_terms, terms)) THEN 'paired state operation' END AS paired,
+        NOT is_test AND {any_of("places", V.INVESTIGATION_DATA_ACCESS)} AND {any_of("name_terms", V.GENERIC_DATA_ACCESS_NAMES)} AND NOT {any_of("q_terms", V.STORAGE_QUERY_WORDS)} AS access,
+        NOT is_test AND chunk_type = 'class' AND NOT {any_of("matched", V.INVESTIGATION_FILTERING + V.INVESTIGATION_STATE)} AS vague FROM y)
+    SELECT query_id, chunk_id, round(base + CASE WHEN is_test THEN -1.25 ELSE 0.25 END + least(1.2, n * 0.12) + CASE WHEN business THEN 0.7 ELSE 0 END + CASE WHEN filtering THEN 0.65 ELSE 0 END + CASE WHEN state THEN 0.6 ELSE 0 END + CASE WHEN validation THEN 0.55 ELSE 0 END + CASE WHEN paired IS NOT NULL THEN 0.45 ELSE 0 END - CASE WHEN access THEN 0.5 ELSE 0 END - CASE WHEN vague THEN 0.25 ELSE 0 END, 6)::DOUBLE AS score,
+        array_to_string(list_filter(['semantic match', CASE WHEN is_test THEN 'test context' END, CASE WHEN len(shown) > 0 THEN 'operation match: ' || array_to_string(shown, ', ') END, CASE WHEN business THEN 'business operation' END, CASE WHEN filtering THEN 'filtering logic' END, CASE WHEN state THEN 'state update logic' END, CASE WHEN validation THEN 'validation logic' END, paired, CASE WHEN access THEN 'data-access context' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM z
+"""
+
+_TEXT = "concat_ws(chr(10), name, parent, src, nullif(array_to_string(deps, chr(10)), ''), nullif(array_to_string(decs, chr(10)), ''))"
+_W = V.FAILURE_WEIGHTS
+_SUM = lambda *parts: "(" + " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for _, c, v in parts) + ")"
+_NAMES = lambda *parts: "[" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in parts) + "]"
+_ANY = lambda values, name, test: f"len(list_filter({values}, lambda {name}: {test})) > 0"
+
+_HEAD = (("contains_expected_exception", "x_in_text", _W["contains_expected_exception"]), ("expected_exception_definition", "x_defines", _W["expected_exception_definition"]))
+_WEAK = tuple((n, f"len(list_intersect({c}, tokens)) > 0", f"least({V.OVERLAP_WEIGHTS[n][1]}, len(list_intersect({c}, tokens)) * {V.OVERLAP_WEIGHTS[n][0]})") for n, c in (("exception_symbol_overlap", "exception_symbols"), ("behavioral_keyword_overlap", "behavioral"), ("operation_keyword_overlap", "operation"), ("domain_keyword_overlap", "domain")))
+_OPERATION = ("business_operation", f"usable AND list_has_any(list_concat(name_terms, parent_terms), action_terms) AND (business_role OR state_logic OR filter_logic)", _W["business_operation"])
+_PAIRED = f"usable AND pair_context AND len(called_pairs) > 0 AND (list_has_any(list_concat(called_pairs, {counterparts('called_pairs')}), meaningful) OR list_has_any(name_terms, action_terms))"
+_BUSINESS = (
+    _OPERATION, ("state_update_logic", "usable AND state_logic AND shared", _W["state_update_logic"]), ("paired_state_operation", _PAIRED, _W["paired_state_operation"]), ("possible_missing_counterpart_operation", _PAIRED, _W["possible_missing_counterpart_operation"]),
+    ("filtering_logic", "is_function AND filter_logic AND shared AND NOT constructor", _W["filtering_logic"]), ("generic_crud_or_data_access_penalty", "is_function AND business_context AND data_access", _W["generic_crud_or_data_access_penalty"]),
+    ("route_or_controller_passthrough_penalty", "is_function AND business_context AND route_passthrough", _W["route_or_controller_passthrough_penalty"]), ("constructor_or_init_penalty", "is_function AND business_context AND constructor", _W["constructor_or_init_penalty"]),
+    ("single_paired_operation_penalty", "is_function AND business_context AND pair_context AND defines_pair AND len(called_pairs) = 0 AND NOT business_role AND state_logic", _W["single_paired_operation_penalty"]),
+    ("unrelated_exception_class_penalty", "chunk_type = 'class' AND business_context AND exception_class AND NOT x_defines AND NOT x_in_text", _W["unrelated_exception_class_penalty"]),
+)
+_GUARDS = (
+    ("raises_expected_exception", "x_raises", 2.5), ("validation_raise_logic", "NOT x_raises AND has_raise AND relevant", 0.5), ("generic_raise_statement", "NOT x_raises AND has_raise AND NOT relevant", 0.1), ("validation_raise_logic", "x_in_source AND validation_text", 1.0),
+    ("validation_helper_name", "guard_name", "CASE WHEN x_in_source OR relevant THEN 0.9 ELSE 0.2 END"), ("calls_validation_helper", "x_guard_call OR calls_guard", "CASE WHEN x_guard_call THEN 0.8 ELSE 0.15 END"),
+    ("validation_raise_logic", "validation_text AND x_in_source", 0.25), ("validation_signal_overlap", "validation_text AND NOT x_in_source", "CASE WHEN relevant THEN 0.25 ELSE 0.1 END"),
+)
+_STRONG = "(x_defines OR x_raises OR x_in_source OR guard_name AND relevant OR x_guard_call)"
+_SPECIFIC = (("specific_source_chunk_boost", f"{_STRONG} AND is_function", 0.2),)
+_OWN = (
+    ("semantic_base_score", "true", "base"), ("test_chunk_penalty", "is_test", _W["test_chunk_penalty"]), ("source_chunk_boost", "NOT is_test", _W["source_chunk_boost"]), ("message_symbol_match", "list_contains(message_symbols, name)", _W["message_symbol_match"]), ("traceback_symbol_match", "list_contains(symbols, name)", _W["traceback_symbol_match"]),
+    ("same_file_source_hint", _ANY("hint_files", "h", "path_key = h OR ends_with(path_key, '/' || h)"), _W["same_file_source_hint"]), ("same_directory_source_hint", _ANY("hint_folders", "h", "starts_with(path_key, h || '/')"), _W["same_directory_source_hint"]),
+)
+_SILENT = (
+    ("validation_helper_name", "guard_name AND NOT did_not_raise", 0), ("calls_validation_helper", "calls_guard AND NOT did_not_raise", 0), ("generic_crud_or_data_access_penalty", "data_access", 0),
+    ("source_first_selection_signal", "NOT is_test AND (list_contains(message_symbols, name) OR list_contains(symbols, name) OR x_defines OR x_raises OR x_in_text OR relevant OR guard_name OR x_guard_call OR calls_guard AND list_has_any(tokens, signal_words) OR has_raise AND validation_text)", 0),
+)
+_ACTION = f"list_concat(operation, list_concat(behavioral, {listed(V.FILTERING_WORDS + V.STATE_UPDATE_WORDS)}))"
+_STATES = listed(tuple(dict.fromkeys(V.PAIRED_WORDS + V.STATE_CONTEXT_WORDS + V.STATE_CHANGE_WORDS)))
+
+FAILURE_SCORES = f"""
+    WITH {HINTS.strip().removeprefix("WITH ").rsplit("SELECT failure_id, array_to_string", 1)[0].rstrip()},
+    {FACTS.replace(" b AS (", " cb AS (").replace("FROM b)", "FROM cb)").replace(" c AS (", " cc AS (").replace("FROM c)", "FROM cc)").replace(" g AS (", " cg AS (")},
+    s1 AS (SELECT failure_id, symbols, hints, expected, regexp_matches(whole, '(?i)DID NOT RAISE\\s+<class\\s+''([^'']+)''>') AS did_not_raise, {with_forms(pieces("whole"))} AS f_tokens, list_distinct(list_transform(expected, lambda e: string_split(e, '.')[-1])) AS expected_short, {with_forms(pieces("array_to_string(expected, chr(10))"))} AS exception_symbols,
+        {pieces("concat_ws(chr(10), test_name, file_path, error_type, message)")} AS primary_terms, regexp_extract_all(message, '\\b([A-Za-z_]\\w*)\\s*\\(', 1) AS message_symbols, list_filter(list_transform(hints, lambda x: {normal(f"regexp_extract({strip('x')}, '^(.+?\\.py)(?::\\d+)?$', 1)")}), lambda x: x <> '' AND NOT {is_test("x")}) AS hint_files FROM o),
+    s2 AS (SELECT *, list_filter({pieces("array_to_string(expected_short, chr(10))")}, lambda x: x NOT IN ('error', 'exception', 'invalid')) AS exception_terms, list_intersect(f_tokens, {listed(V.BEHAVIORAL_WORDS)}) AS behavioral, list_intersect(f_tokens, {listed(V.OPERATION_WORDS)}) AS operation,
+        list_filter(f_tokens, lambda w: length(w) > 2 AND NOT list_contains({listed(V.DOMAIN_STOP_WORDS)}, w)) AS domain, list_filter(list_transform(hint_files, lambda x: regexp_extract(x, '^(.*)/[^/]*$', 1)), lambda x: x <> '') AS hint_folders FROM s1),
+    s3 AS (SELECT *, list_concat(operation, list_concat(behavioral, domain)) AS signal_words FROM s2),
+    s4 AS (SELECT *, list_filter(list_concat(primary_terms, signal_words), lambda w: NOT list_contains({listed(V.MEANINGLESS_FAILURE_WORDS)}, w)) AS meaningful, list_intersect(primary_terms, {_ACTION}) AS action_terms, NOT did_not_raise AND list_has_any(list_concat(signal_words, primary_terms), {_STATES}) AS pair_context FROM s3),
+    fail AS (SELECT *, list_has_any(meaningful, {_ACTION}) AS business_context FROM s4),
+    d1 AS (SELECT *, {with_forms(pieces(_TEXT))} AS tokens, lower({_TEXT}) AS signal_text, {pieces("concat_ws(chr(10), file_path, name, parent)")} AS roles, {pieces("array_to_string(list_filter(list_concat(list_transform(deps, lambda d: " + _LAST + "), regexp_extract_all(src, '\\b(" + _CALLED + ")\\s*\\(', 1)), lambda d: " + _GUARD("d") + "), chr(10))")} AS guard_call_terms,
+        regexp_matches(src, '(?i)\\braise\\b') AS has_raise, lower(name) IN ('__init__', 'init', 'initialize') AS constructor,
+        (list_has_any(string_split(path_key, '/'), {listed(V.DATA_ACCESS_FOLDERS)}) OR regexp_matches(lower(parent), '{"|".join(V.DATA_ACCESS_PARENTS)}')) AND regexp_matches({_BARE("name")}, '^(?:{"|".join(V.CRUD_PREFIXES)})(?:_|$)') AS data_access FROM cg),
+    d2 AS (SELECT *, regexp_matches(lower(src), '\\b(?:self\\.)?[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w+|\\[[^\\]]+\\])\\s*{_ASSIGNED}') OR CASE WHEN regexp_matches(lower(src), '\\b[A-Za-z_]\\w*\\s*{_ASSIGNED}') THEN {any_of("tokens", V.STATE_UPDATE_WORDS)} ELSE regexp_matches(lower(src), '\\.(?:{"|".join(V.MUTATORS)})\\s*\\(') END AS state_logic,
+        {any_of("tokens", V.FILTERING_WORDS)} AND regexp_matches(lower(src), '(?s)\\bfor\\b.+\\bif\\b|\\bfilter\\s*\\(|\\bsorted\\s*\\(|\\bwhere\\b|\\bmatches\\b|>=|<=|==|!=| in | not in ') AS filter_logic, {any_of("roles", V.BUSINESS_ROLES)} AS business_role, {any_of("tokens", V.VALIDATION_WORDS)} AS validation_text,
+        chunk_type = 'class' AND {any_of(pieces("concat_ws(chr(10), name, src)"), ("error", "exception"))} AS exception_class FROM d1),
+    code AS (SELECT *, {any_of("roles", V.ROUTE_ROLES)} AND NOT state_logic AND NOT filter_logic AND contains(lower(src), 'return ') AND len(string_split(regexp_replace(src, '\\n\\z', ''), chr(10))) <= 20 AS route_passthrough FROM d2),
+    pairs AS (SELECT failure_id, chunk_id, max(score) AS base FROM llm_chunk_contexts WHERE score IS NOT NULL AND NOT isnan(score) AND failure_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY failure_id, chunk_id),
+    e1 AS (SELECT *, chunk_type = 'class' AND list_contains(expected_short, name) AS x_defines, {_ANY("expected", "e", "contains(signal_text, lower(e))")} AS x_in_text, {_ANY("expected", "e", "contains(lower(src), lower(e))")} AS x_in_source,
+        {_ANY("expected_short", "e", "regexp_matches(src, '\\braise\\s+(?:[A-Za-z_]\\w*\\.)*' || regexp_escape(e) || '\\b')")} AS x_raises, list_has_any(exception_terms, tokens) AS relevant, list_has_any(guard_call_terms, exception_terms) AS x_guard_call,
+        is_function AND NOT data_access AND NOT constructor AS usable, list_has_any(list_concat(list_concat(name_terms, parent_terms), tokens), meaningful) AS shared FROM pairs JOIN fail USING (failure_id) JOIN code ON code.id = pairs.chunk_id),
+    e2 AS (SELECT *, {_SUM(*_OWN)} AS own, {_SUM(*_HEAD)} AS head, {_SUM(*_WEAK)} AS weak, {_SUM(*_BUSINESS)} AS business, {_SUM(*_GUARDS)} AS guards, {_SUM(_OPERATION)} * 0.6 AS operations, {_SUM(*_SPECIFIC)} AS specific FROM e1),
+    e3 AS (SELECT *, CASE WHEN did_not_raise THEN (head + guards + CASE WHEN {_STRONG} OR weak <= 0.15 THEN weak ELSE 0.15 END + operations + specific) * CASE WHEN chunk_type = 'class' AND NOT x_defines THEN 0.35 ELSE 1 END ELSE head + weak + business END AS signal FROM e2)
+    SELECT failure_id, chunk_id, round(own + signal * CASE WHEN is_test THEN 0.25 ELSE 1 END, 6)::DOUBLE AS score,
+        array_to_string(list_filter(flatten([{_NAMES(*_OWN)}, CASE WHEN did_not_raise THEN flatten([{_NAMES(*_HEAD)}, {_NAMES(*_GUARDS)}, {_NAMES(*_WEAK)}, {_NAMES(_OPERATION)}, {_NAMES(*_SPECIFIC)}]) ELSE flatten([{_NAMES(*_HEAD)}, {_NAMES(*_WEAK)}, {_NAMES(*_BUSINESS)}]) END, {_NAMES(*_SILENT)}]), lambda n: n IS NOT NULL), ',') AS parts FROM e3
+"""
