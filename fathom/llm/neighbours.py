@@ -28,11 +28,11 @@ from fathom.sources.tables import settle
 
 DIMENSIONS, K, MIN_COSINE = 64, 5, 0.85
 PROJECTED, TREES, SEED = 8, 2, 7
-CONFIDENCE = 1.6449  # of the test inside of a cell, as a normal quantile: 95 %
+CONFIDENCE = 2.3263  # of the test inside of a cell, as a normal quantile: 99 %
 MASS = 0.6  # of where a neighbour may lie, so much is travelled to in each of several trees
-ALL_MASS, ALL_CONFIDENCE = 0.98, 2.3263  # where no least cosine is given: one tree, and the test at 99 %
+ALL_MASS, ALL_CONFIDENCE = 0.98, 3.719  # where no least cosine is given: one tree, and the test at 99.99 %
 LEAST_MASS = 0.0005  # a cell less likely than this is not followed, nor one of less than a twentieth of its even share
-SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 4_000, 4, 1 << 16, 60_000, 128
+SAMPLE, CELL_ROWS, MIN_CELLS, MAX_CELLS, BLOCK_ROWS, BUCKET_ROWS = 20_000, 4_000, 1, 1 << 16, 60_000, 128
 
 
 def chi_square_quantile(m: int, z: float) -> float:

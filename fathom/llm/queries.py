@@ -75,7 +75,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return most_similar(table(spark, d, "chunk_vectors"))
+    return most_similar(table(spark, d, "chunk_vectors")).withColumn("cosine", F.round("cosine", 3))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +149,19 @@ _P2 = """
         WHERE k = 1) WHERE place <= 10
 """
 
+# brute force; vectors of one direction to five digits are equally similar
+_P6 = """
+    WITH d AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    n AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS u FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM d) WHERE n > 0),
+    u AS (SELECT vec_id, first_value(u) OVER (PARTITION BY list_transform(u, lambda x: round(x, 5) + 0.0) ORDER BY vec_id) AS u, min(vec_id) OVER (PARTITION BY list_transform(u, lambda x: round(x, 5) + 0.0)) AS of FROM n),
+    s AS (SELECT a.vec_id, b.vec_id AS other, CASE WHEN a.of = b.of THEN 1.0 ELSE list_inner_product(a.u, b.u) END AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+    r AS (SELECT vec_id, other, cosine, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other)::INT AS rank FROM s)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id FROM code_chunks WHERE length(source_code) > 3000 OR length(source_code) - length(replace(source_code, chr(10), '')) + 1 > 80",
     "p2_found": f"SELECT query_id, chunk_id FROM ({_P2})",
     "p2_top": f"SELECT query_id, chunk_id, score, file_path, start_line, place AS rank FROM ({_P2})",
+    "p6_found": f"{_P6} SELECT DISTINCT least(vec_id, other) AS vec_id_a, greatest(vec_id, other) AS vec_id_b FROM r WHERE rank <= 5 AND cosine >= 0.85",
+    "p6_neighbours": f"{_P6} SELECT vec_id, rank, other, round(cosine, 3) AS cosine FROM r WHERE rank <= 5",
 }
