@@ -382,6 +382,13 @@ def extracted_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("id", "repo", "file_path", "chunk_type", "name", "parent", "start_line", F.array_join("imports", "\n").alias("imports")).distinct()
 
 
+@query(sql.EMBEDDING_TEXTS)
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What is embedded of every chunk."""
+    rows = _chunks(spark, d)
+    return rows.select("id", index.embedding_text(rows).alias("content"))
+
+
 @query()
 def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = index.hashing_embedder(_chunks(spark, d))
@@ -510,12 +517,36 @@ def diagnose_failures(spark: SparkSession, d: str) -> DataFrame:
     return _shown(api.diagnose(_corpus(spark, d), table(spark, d, "test_failures")))
 
 
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that were kept for every failure; of equal ranks the smaller context goes first."""
+    rows = once(spark, d, "llm_chunk_contexts", "context_id").withColumn("kind", F.when(c("source_label") == "related", "related").otherwise("semantic"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("failure_id", "kind").orderBy("rank", "context_id")))
+    empty = F.array().cast("array<string>")
+    return rows.select("failure_id", "kind", "rank", "chunk_id", "chunk_type", "name", F.lit(None).cast("string").alias("parent"), "file_path", paths.is_test_path(c("file_path")).alias("is_test"), "start_line", "end_line", "score", F.coalesce("reasons", empty).alias("reasons"), F.coalesce("dependencies", empty).alias("dependencies"), c("code_snippet").alias("source_code"))
+
+
+@query(sql.packet_chunks(_REDACT).replace("kind, rank, name", "kind, (row_number() OVER (PARTITION BY failure_id, kind ORDER BY rank, context_id))::INT AS rank, name"))
+def packet_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The redacted chunks that fit into every failure's packet."""
+    f = failures.with_signals(once(spark, d, "test_failures", "failure_id"))
+    rows = packets.diagnosis_packets(f, _kept(spark, d)).select("failure_id", F.explode("chunks").alias("x"))
+    return rows.select("failure_id", c("x.source_label").alias("kind"), "x.rank", "x.name", "x.code_snippet", F.array_join("x.reasons", "; ").alias("reasons"))
+
+
+@query()
+def investigation_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of every question with the chunks that were kept for it."""
+    rows = once(spark, d, "llm_investigation_chunk_contexts", "context_id").withColumn("kind", F.when(c("source_label") == "related", "related").otherwise("semantic"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank", "context_id")))
+    rows = rows.withColumn("parent", F.lit(None).cast("string")).withColumnRenamed("code_snippet", "source_code")
+    return packets.investigation_prompts(packets.investigation_packets(_questions(spark, d), rows))
+
+
 @query()
 def diagnosis_texts(spark: SparkSession, d: str) -> DataFrame:
     """Summary and prompt of every failure, from the chunk contexts that were kept for it."""
     f = failures.with_signals(once(spark, d, "test_failures", "failure_id"))
-    kept = once(spark, d, "llm_chunk_contexts", "context_id")
-    rows = kept.select("failure_id", F.when(c("source_label") == "related", "related").otherwise("semantic").alias("kind"), "rank", "chunk_id", "chunk_type", "name", F.lit(None).cast("string").alias("parent"), "file_path", paths.is_test_path(c("file_path")).alias("is_test"), "start_line", "end_line", "score", "reasons", F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"), c("code_snippet").alias("source_code"))
+    rows = _kept(spark, d)
     said = explain.summaries(f, rows).join(explain.hypotheses(f, rows), "failure_id")
     return said.join(packets.diagnosis_prompts(packets.diagnosis_packets(f, rows)), "failure_id")
 

@@ -338,3 +338,36 @@ FAILURE_SCORES = f"""
     SELECT failure_id, chunk_id, round(own + signal * CASE WHEN is_test THEN 0.25 ELSE 1 END, 6)::DOUBLE AS score,
         array_to_string(list_filter(flatten([{_NAMES(*_OWN)}, CASE WHEN did_not_raise THEN flatten([{_NAMES(*_HEAD)}, {_NAMES(*_GUARDS)}, {_NAMES(*_WEAK)}, {_NAMES(_OPERATION)}, {_NAMES(*_SPECIFIC)}]) ELSE flatten([{_NAMES(*_HEAD)}, {_NAMES(*_WEAK)}, {_NAMES(*_BUSINESS)}]) END, {_NAMES(*_SILENT)}]), lambda n: n IS NOT NULL), ',') AS parts FROM e3
 """
+
+
+# texts
+
+
+def _section(title: str, values: str) -> str:
+    return f"CASE WHEN len({values}) > 0 THEN '{title}' || chr(10) || array_to_string(list_transform({values}, lambda x: '- ' || x), chr(10)) END"
+
+
+_ROUTE = "(?i)^@\\w+\\.(get|post|put|patch|delete)\\(\\s*(?:''([^''\"]*)''|\"([^''\"]*)\")"
+EMBEDDING_TEXTS = f"""
+    WITH b AS (SELECT DISTINCT ON (id) *, coalesce(imports, []) AS im, coalesce(decorators, []) AS de, list_filter(list_transform(coalesce(dependencies, []), lambda x: {strip("x")}), lambda x: x <> '') AS dp FROM code_chunks),
+    c AS (SELECT *, list_filter(dp, lambda x, i: list_position(dp, x) = i)[1:12] AS each_dep, flatten(list_transform(list_filter(de, lambda d: regexp_matches(d, '{_ROUTE}')), lambda d: ['FastAPI route handler: ' || upper(regexp_extract(d, '{_ROUTE}', 1)) || ' ' || regexp_extract(d, '{_ROUTE}', 2) || regexp_extract(d, '{_ROUTE}', 3), upper(regexp_extract(d, '{_ROUTE}', 1)) || ' route endpoint'])) AS hints FROM b)
+    SELECT id, {strip(f'''array_to_string(list_filter(['type: ' || chunk_type, 'name: ' || CASE WHEN coalesce(parent, '') <> '' THEN parent || '.' || name ELSE name END, 'path: ' || file_path || ':' || start_line || '-' || coalesce(end_line::VARCHAR, ''), {_section("imports:", "im")}, {_section("decorators:", "de")}, {_section("framework hints:", "hints")}, {_section("dependencies:", "each_dep")}, 'source:', regexp_replace(coalesce(source_code, ''), '\\n+\\z', '')], lambda p: p IS NOT NULL), chr(10))''')} || chr(10) AS content FROM c
+"""
+
+
+def short(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE {rstrip(f'({x})[1:{n - 3}]')} || '...' END"
+
+
+def packet_chunks(redacted, per_kind: int = 5, reasons: int = 6, dependencies: int = 12, code: int = 3000, lines: int = 80, message: int = 1200, total: int = 12_000) -> str:
+    """The chunks that fit beside a failure's facts; redacted gives the SQL of a redacted text."""
+    size = lambda v: f"coalesce(list_sum(list_transform({v}, lambda y: length(y))), 0)"
+    return f"""
+    WITH f AS (SELECT DISTINCT ON (failure_id) failure_id, coalesce(test_name, '') AS test_name, coalesce(file_path, '') AS file_path, coalesce(error_type, '') AS error_type, {redacted(strip("coalesce(message, '')"))} AS message, {redacted(strip("coalesce(traceback, '')"))} AS traceback FROM test_failures),
+    g AS (SELECT failure_id, length({redacted("test_name")}) + length(file_path) + length(error_type) + length({short("message", message)}) + length({short("traceback", message)}) AS fixed FROM f),
+    x AS (SELECT DISTINCT ON (context_id) *, CASE WHEN source_label = 'related' THEN 'related' ELSE 'semantic' END AS kind, {rstrip(redacted("code_snippet"))} AS code FROM llm_chunk_contexts),
+    k AS (SELECT *, regexp_split_to_array(regexp_replace(code, '(\\r\\n|\\r|\\n)\\z', ''), '\\r\\n|\\r|\\n') AS rows FROM (SELECT *, row_number() OVER (PARTITION BY failure_id, kind ORDER BY rank, context_id) AS k FROM x) WHERE k <= {per_kind}),
+    m AS (SELECT *, CASE WHEN len(rows) > {lines} THEN {rstrip(f"array_to_string(rows[1:{lines}], chr(10))")} || chr(10) || '...' ELSE array_to_string(rows, chr(10)) END AS cut FROM k),
+    n AS (SELECT *, {short("cut", code)} AS snippet, list_transform(coalesce(reasons, []), lambda r: {redacted("r")})[1:{reasons}] AS said, list_transform(coalesce(dependencies, []), lambda r: {redacted("r")})[1:{dependencies}] AS deps FROM m),
+    o AS (SELECT n.*, g.fixed, sum(length(coalesce(snippet, '')) + length(name) + length(file_path) + length(chunk_type) + length(kind) + {size("said")} + {size("deps")}) OVER (PARTITION BY n.failure_id ORDER BY CASE WHEN kind = 'semantic' THEN 0 ELSE 1 END, rank, context_id ROWS UNBOUNDED PRECEDING) AS running FROM n JOIN g ON g.failure_id = n.failure_id)
+    SELECT failure_id, kind, rank, name, snippet AS code_snippet, array_to_string(said, '; ') AS reasons FROM o WHERE running + fixed <= {total}"""
