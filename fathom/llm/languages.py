@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import codepoints
+from fathom.llm.common import codepoints, steps
 from fathom.sources.tables import settle
 
 CODES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru", "ja", "zh")
@@ -34,7 +34,7 @@ TEMPER, LABEL_TRUST, HOST_WEIGHT, SOURCE_WEIGHT = 0.35, 0.7, 20.0, 50.0
 SALTS, SMALL_HOSTS = 32, 100_000  # copies of a host's prior where hosts are joined by a shuffle; up to so many hosts are broadcast
 LEAST_LETTERS, LEAST_SIGNS = 8, 3  # of a sentence, which besides has two words
 SHORT_WORDS, SHORT_SIGNS, LEAN = 4, 6, 0.5  # what is shorter leans on its neighbour with this weight
-CHARS_A_STEP, KEPT_WORDS = 2_000_000, 200_000
+KEPT_WORDS = 200_000
 LONG = 4000  # characters of a word that no language has
 
 # What is no prose. The patterns are RE2's, where \w, \s and \d are ASCII.
@@ -174,18 +174,6 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return [(a, e, text[a:e].strip()) for a, e in zip(p.start.tolist(), p.end.tolist())]
 
 
-def steps(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about CHARS_A_STEP characters, each with the number of texts before."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS_A_STEP:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def units(word: str) -> list[str]:
     """A word itself; of a run without blanks in its own script the single signs and pairs."""
     return [*word, *(word[i : i + 2] for i in range(len(word) - 1))] if SIGNS.search(word) else [word]

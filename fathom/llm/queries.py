@@ -90,10 +90,6 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"), keep=("doc_id", "source"))
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.source_budget(_sizes(spark, d), table(spark, d, "source_targets")).where("short").select("source")
-
-
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # the sizes are used three times: written once, where the executors share them
     folder = shared_folder(spark, "sizes")
@@ -111,6 +107,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.reached_shares(*_mixture(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_shares(spark, d).where("short").select("source")
+
+
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return passages(table(spark, d, "documents"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import batch_codepoints
+from fathom.llm.common import batch_codepoints, steps
 
 MAX_CHARS, MAX_LINES, OVERLAP = 3000, 80, 5
 #: Levels of a boundary: 0-3 item after a blank line by depth, 4 statement, 5 line, 6 after a separator, 7 anywhere.
@@ -159,20 +159,18 @@ def split_oversized(df: DataFrame, text: str = "source_code", start_line: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column("body").to_pylist()
-            p = cut(texts, max_chars, max_lines, overlap)
-            rows = pa.array(p["text"])
-            counts = np.bincount(p["text"], minlength=len(texts))
-            number = np.arange(len(p["text"])) - np.concatenate([[0], np.cumsum(counts)[:-1]])[p["text"]] + 1
-            first = batch.column("first").to_numpy()[p["text"]]
-            body = [texts[t][a:e] for t, a, e in zip(p["text"].tolist(), p["start"].tolist(), p["end"].tolist())]
-            i32 = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f"k{i}").take(rows) for i in range(len(keys))] + [i32(number), i32(counts[p["text"]]), i32(first + p["line"]), i32(first + p["last"]), i32(p["start"]), i32(p["end"]), i32(p["shared"]), pa.array(body, pa.string())],
-                names=[f"k{i}" for i in range(len(keys))] + ["piece_no", "n_pieces", "start_line", "end_line", "start_char", "end_char", "shared_lines", "piece"],
-            )
+            for done, texts in steps(batch.column("body").to_pylist()):
+                p = cut(texts, max_chars, max_lines, overlap)
+                rows = pa.array(p["text"] + done)
+                counts = np.bincount(p["text"], minlength=len(texts))
+                number = np.arange(len(p["text"])) - np.concatenate([[0], np.cumsum(counts)[:-1]])[p["text"]] + 1
+                first = batch.column("first").to_numpy()[p["text"] + done]
+                body = [texts[t][a:e] for t, a, e in zip(p["text"].tolist(), p["start"].tolist(), p["end"].tolist())]
+                i32 = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(f"k{i}").take(rows) for i in range(len(keys))] + [i32(number), i32(counts[p["text"]]), i32(first + p["line"]), i32(first + p["last"]), i32(p["start"]), i32(p["end"]), i32(p["shared"]), pa.array(body, pa.string())],
+                    names=[f"k{i}" for i in range(len(keys))] + ["piece_no", "n_pieces", "start_line", "end_line", "start_char", "end_char", "shared_lines", "piece"],
+                )
 
     out = big.mapInArrow(run, f"{key_types}, piece_no int, n_pieces int, start_line int, end_line int, start_char int, end_char int, shared_lines int, piece string")
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *out.columns[len(keys) :])

@@ -24,7 +24,7 @@ from fathom.llm.common import batch_codepoints
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHARS_A_BATCH, CACHE_SIZE, BLOCK = 1_000_000, 400_000, 128
+CHARS_A_BATCH, CACHE_SIZE, CACHE_IDS, BLOCK = 1_000_000, 400_000, 4_000_000, 128
 
 # classes of code points
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_IN, SPACE_LAST, BLANK_LAST = range(8)  # SHORT, LONG: an apostrophe before a contraction of one or two letters
@@ -171,7 +171,7 @@ class Merger:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the n + 1 offsets of the texts."""
-        if len(self.known) > CACHE_SIZE:
+        if len(self.known) > CACHE_SIZE or len(self.ids) > CACHE_IDS:
             self.clear()
         cp, offsets = batch_codepoints(texts)
         starts = pretoken_starts(cp, offsets)
