@@ -112,6 +112,10 @@ def plausible(value: str, strong: bool, phrase: bool = False) -> bool:
     return lower or upper
 
 
+def looks_secret(value: str, kind: str) -> bool:
+    return kind in ("pem", "sure", "tail") or plausible(value, kind != "weak", kind == "phrase")
+
+
 @lru_cache(1)
 def _hints() -> object:
     """An automaton of everything near which a credential may stand; a stem's value is its length."""
@@ -128,7 +132,7 @@ def _hints() -> object:
     return a
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
+def places(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of values where a credential may stand; kind is pem, sure (has a structure of its own), value, phrase
     (may be words), weak (only its look can tell) or tail (goes on from the line before)."""
     out: list[tuple[int, int, str]] = []
@@ -167,9 +171,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             if k == 4 and re.match(r"(?:Bearer|Basic|Token)\s", body, re.I):
                 continue  # the header rule takes its own part
             if len(body) >= MIN_LENGTH:
-                out.append((a, a + len(body), "weak" if not strong else "phrase" if name in PHRASES else "value"))
+                kind = "weak" if not strong else "phrase" if name in PHRASES else "value"
+                out.append((a, a + len(body), kind))
                 end = v.end()
-                while (text[at : at + 1] == "(" or op == ":") and (t := NEXT_LITERAL.match(text, end)) and text[t.end() : t.end() + 1] not in (":", "="):
+                goes_on = (text[at : at + 1] == "(" or op == ":") and NEXT_LITERAL.match(text, end) and looks_secret(body, kind)
+                while goes_on and (t := NEXT_LITERAL.match(text, end)) and text[t.end() : t.end() + 1] not in (":", "="):
                     if t.end("v1") > t.start("v1"):
                         out.append((*t.span("v1"), "tail"))
                     end = t.end()
@@ -206,12 +212,17 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """The places of a text whose values look like secrets, as if no other text were known."""
+    return [(a, e, kind) for a, e, kind in places(text) if looks_secret(text[a:e], kind)]
+
+
 def literal_index(texts: DataFrame) -> DataFrame:
     """(value, kind, owner) of every literal in texts(body, owner, ...) that stands where a credential may stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {(t[a:e], kind, o) for t, o in zip(b.column("body").to_pylist(), b.column("owner").to_pylist()) for a, e, kind in candidates(t)}
+            found = {(t[a:e], kind, o) for t, o in zip(b.column("body").to_pylist(), b.column("owner").to_pylist()) for a, e, kind in places(t)}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], names=["value", "kind", "owner"])
 
@@ -230,7 +241,7 @@ def confirmed(index: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [k in ("pem", "sure", "tail") or plausible(v, k != "weak", k == "phrase") for v, k in ((v, KINDS[o]) for v, o in zip(b.column("value").to_pylist(), b.column("o").to_pylist()))]
+            ok = [looks_secret(v, KINDS[o]) for v, o in zip(b.column("value").to_pylist(), b.column("o").to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("o") + 1)

@@ -268,3 +268,9 @@ def test_shards_find_what_one_automaton_finds(spark):
     one = {tuple(r) for r in credentials.find_credentials(texts, redact=True).collect()}
     many = {tuple(r) for r in credentials.find_credentials(texts, redact=True, shard_size=7).collect()}
     assert one == many and len(one) == 61 and all(n == 2 for _, k, n, _ in one if k != "nested")
+
+
+def test_lines_after_what_is_no_secret_stay(spark):
+    texts = spark.createDataFrame([("t", "1", "r", 'password = ("Enter the new "\n    "password again")\n'), ("t", "2", "r", 'password = ("Zk81-fqPw72"\n    "hT55-qqLm01")\n')], "tbl string, row_key string, owner string, body string")
+    clean = {r.row_key: r.redacted for r in credentials.find_credentials(texts, redact=True).collect()}
+    assert clean == {"2": 'password = ("[REDACTED]"\n    "[REDACTED]")\n'}
