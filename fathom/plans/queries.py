@@ -491,15 +491,26 @@ def investigation_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(sql.FAILURE_SCORES)
-def failure_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk that was kept for a failure, scored by the failure's signals, with the names of its components."""
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk that was kept for a failure with the components of its score."""
     rows = table(spark, d, "llm_chunk_contexts").where("score is not null and not isnan(score) and failure_id is not null and chunk_id is not null")
     pairs = rows.groupBy("failure_id", "chunk_id").agg(F.max("score").alias("base_score"))
     facts = settle(failures.with_signals(once(spark, d, "test_failures", "failure_id")).drop("repo", "file_path"), "failures")
     features = settle(chunk_features(_chunks(spark, d)).withColumnRenamed("id", "chunk_id"), "features")
-    scored = scoring.failure_components(scoring.pair_evidence(pairs.join(facts, "failure_id").join(features, "chunk_id")))
-    return scored.select("failure_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join(F.transform("parts", lambda p: p["name"]), ",").alias("parts"))
+    return scoring.failure_components(scoring.pair_evidence(pairs.join(facts, "failure_id").join(features, "chunk_id")))
+
+
+@query(sql.FAILURE_SCORES)
+def failure_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores by the failures' signals, with the names of their components."""
+    return _scored(spark, d).select("failure_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join(F.transform("parts", lambda p: p["name"]), ",").alias("parts"))
+
+
+@query(sql.failure_reasons(explain.LABELS))
+def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What is told of every scored chunk."""
+    rows = explain.with_reasons(_scored(spark, d).withColumn("extra", F.array().cast("array<string>")))
+    return rows.select("failure_id", "chunk_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query()
@@ -533,6 +544,16 @@ def packet_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("failure_id", c("x.source_label").alias("kind"), "x.rank", "x.name", "x.code_snippet", F.array_join("x.reasons", "; ").alias("reasons"))
 
 
+@query(sql.SUMMARIES)
+def diagnosis_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return explain.summaries(failures.with_signals(once(spark, d, "test_failures", "failure_id")), _kept(spark, d))
+
+
+@query(sql.HYPOTHESES)
+def diagnosis_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    return explain.hypotheses(failures.with_signals(once(spark, d, "test_failures", "failure_id")), _kept(spark, d).withColumn("source_code", text.no_null(c("source_code"))))
+
+
 @query()
 def investigation_texts(spark: SparkSession, d: str) -> DataFrame:
     """The prompt of every question with the chunks that were kept for it."""

@@ -371,3 +371,58 @@ def packet_chunks(redacted, per_kind: int = 5, reasons: int = 6, dependencies: i
     n AS (SELECT *, {short("cut", code)} AS snippet, list_transform(coalesce(reasons, []), lambda r: {redacted("r")})[1:{reasons}] AS said, list_transform(coalesce(dependencies, []), lambda r: {redacted("r")})[1:{dependencies}] AS deps FROM m),
     o AS (SELECT n.*, g.fixed, sum(length(coalesce(snippet, '')) + length(name) + length(file_path) + length(chunk_type) + length(kind) + {size("said")} + {size("deps")}) OVER (PARTITION BY n.failure_id ORDER BY CASE WHEN kind = 'semantic' THEN 0 ELSE 1 END, rank, context_id ROWS UNBOUNDED PRECEDING) AS running FROM n JOIN g ON g.failure_id = n.failure_id)
     SELECT failure_id, kind, rank, name, snippet AS code_snippet, array_to_string(said, '; ') AS reasons FROM o WHERE running + fixed <= {total}"""
+
+
+# explanations
+
+
+def _public(r: str) -> str:
+    return f"CASE WHEN {r} = 'source chunk from traceback file' THEN 'traceback file match' ELSE {r} END"
+
+
+def failure_reasons(labels: tuple[tuple[str, str], ...]) -> str:
+    """The public reasons of every scored chunk; labels are the components' in order."""
+    prefix, last = FAILURE_SCORES.rsplit("SELECT failure_id, chunk_id, round(own", 1)
+    names = "list_filter(" + last.split("array_to_string(list_filter(", 1)[1].rsplit(", ',') AS parts", 1)[0]
+    shared = {"behavioral_keyword_overlap": "behavioral", "operation_keyword_overlap": "operation"}
+    said = []
+    for name, label in labels:
+        if name in shared:
+            words = f"list_sort(list_intersect({shared[name]}, tokens))[1:3]"
+            said.append(f"CASE WHEN list_contains(names, '{name}') THEN '{label}' || array_to_string({words}, ', ') END")
+        else:
+            but = " AND NOT list_contains(names, 'raises_expected_exception')" if name == "contains_expected_exception" else ""
+            said.append(f"CASE WHEN list_contains(names, '{name}'){but} THEN '{label}' END")
+    files = f"list_filter(list_transform(list_concat(regexp_extract_all(traceback, '{_FILE_LINE}', 1), regexp_extract_all(traceback, '{_LOCATION}', 1)), lambda p: {normal('p')}), lambda p: p <> '')"
+    traced = _ANY("files", "h", "h = path_key OR ends_with(path_key, '/' || h) OR ends_with(h, '/' || path_key)")
+    return f"""{prefix}, r1 AS (SELECT e3.failure_id, chunk_id, {names} AS names, behavioral, operation, tokens, path_key, is_test, {files} AS files FROM e3 JOIN (SELECT failure_id, traceback FROM o) t ON t.failure_id = e3.failure_id),
+    r2 AS (SELECT failure_id, chunk_id, list_transform(list_filter([{", ".join(said)}, CASE WHEN NOT is_test AND path_key <> '' AND {traced} THEN 'source chunk from traceback file' END], lambda r: r IS NOT NULL), lambda r: {_public("r")}) AS said FROM r1)
+    SELECT failure_id, chunk_id, array_to_string(CASE WHEN len(said) > 0 THEN ({first_of_case("said")})[1:4] ELSE ['semantic match'] END, '; ') AS reasons FROM r2"""
+
+
+_KEPT = f"""f AS (SELECT DISTINCT ON (failure_id) failure_id, coalesce(test_name, '') AS test_name, coalesce(error_type, '') AS error_type, coalesce(message, '') AS message, coalesce(traceback, '') AS traceback FROM test_failures),
+    x AS (SELECT *, CASE WHEN source_label = 'related' THEN 'related' ELSE 'semantic' END AS kind, {is_test("file_path")} AS is_test FROM (SELECT DISTINCT ON (context_id) * FROM llm_chunk_contexts)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY failure_id, is_test ORDER BY CASE WHEN kind = 'semantic' THEN 0 ELSE 1 END, rank, context_id) AS place FROM x)"""
+_ONE_LINE = lambda x: strip(f"regexp_replace({x}, '{SPACE}+', ' ', 'g')")
+
+SUMMARIES = f"""
+    WITH {_KEPT}, t AS (SELECT DISTINCT ON (failure_id) failure_id, name AS top_name, replace(file_path, chr(92), '/') AS top_path, coalesce(dependencies, []) AS top_deps FROM k ORDER BY failure_id, is_test, place),
+    n AS (SELECT failure_id, list(name ORDER BY rank, context_id) FILTER (kind = 'related') AS others, list(DISTINCT name) AS names, max((len(coalesce(dependencies, [])) > 0)::INT) = 1 AS any_deps FROM x GROUP BY failure_id),
+    j AS (SELECT f.*, t.top_name, t.top_path, t.top_deps, coalesce(n.others, []) AS others, coalesce(n.names, []) AS names, coalesce(n.any_deps, false) AS any_deps, {strip("f.test_name")} AS test, {strip("f.error_type")} AS error, {_CUT(_ONE_LINE("f.message"), 140)} AS said, regexp_extract_all(concat_ws(chr(10), f.test_name, f.message, f.traceback), '\\b([A-Za-z_]\\w*)\\b', 1) AS words FROM f LEFT JOIN t USING (failure_id) LEFT JOIN n USING (failure_id)),
+    r AS (SELECT *, ({first_of_case("others")})[1:5] AS related FROM j)
+    SELECT failure_id, concat_ws(chr(10), 'Diagnosis summary:', '- Failing test: ' || CASE WHEN test = '' THEN '<unknown>' ELSE string_split(test, '::')[-1] END,
+        '- Failure signal: ' || CASE WHEN error <> '' AND said <> '' THEN error || ', ' || said WHEN error <> '' THEN error WHEN said <> '' THEN said ELSE '<none>' END,
+        '- Most relevant source chunk: ' || coalesce(top_name || ' in ' || top_path, '<none>'), '- Related context: ' || CASE WHEN len(related) > 0 THEN array_to_string(related, ', ') ELSE '<none>' END,
+        '- Why: ' || CASE WHEN top_name IS NULL THEN 'no retrieved chunks were available to explain.' WHEN list_has_any(words, names) THEN 'failure/query symbols overlap with retrieved source/context chunks.' WHEN list_has_any(top_deps, names) THEN 'the top source chunk depends on retrieved related context.'
+            WHEN any_deps THEN 'retrieved chunks share dependency names that provide nearby context.' ELSE 'semantic retrieval ranked these chunks closest to the failure details.' END) AS summary FROM r
+"""
+
+HYPOTHESES = f"""
+    WITH {_KEPT}, t AS (SELECT failure_id, name, coalesce(code_snippet, '') AS src FROM k WHERE NOT is_test AND place = 1),
+    r AS (SELECT f.failure_id, t.name, list_filter([
+        CASE WHEN (contains(lower(message), 'assert true is false') OR contains(lower(message), 'assert false is true')) AND regexp_matches(name, '(?i)^(validate|check|is_|has_|authorize)') THEN name || ' may contain boolean validation logic returning the opposite truth value from what the test expects.' END,
+        CASE WHEN regexp_matches(message, '(?i)\\breturned\\s+.+?\\s+instead\\s+of\\s+.+') THEN name || ' may compute an incorrect value.' END,
+        CASE WHEN regexp_matches(lower(concat_ws(' ', test_name, message, traceback)), 'expired|boundary|limit|threshold|edge') AND regexp_matches(src, '(?:^|[^=!<>])(?:<=|>=|<|>)(?:[^=]|$)') THEN 'The retrieved source includes comparison logic and the failing test appears boundary-related.' END
+    ], lambda s: s IS NOT NULL) AS rules FROM f LEFT JOIN t USING (failure_id))
+    SELECT failure_id, CASE WHEN name IS NOT NULL AND len(rules) > 0 THEN concat_ws(chr(10), 'Possible issue:', array_to_string(list_transform(rules, lambda s: '- ' || s), chr(10)), '- This is a hypothesis based on the failure signal and retrieved code, not a proven root cause.') END AS hypothesis FROM r
+"""
