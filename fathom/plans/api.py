@@ -50,9 +50,14 @@ def _with_related(corpus: Corpus, likely: DataFrame, queries: DataFrame, key: st
 def search(corpus: Corpus, queries: DataFrame, k: int = 5) -> DataFrame:
     """Answers to queries(query_id, query): the k most similar chunks and up to five that they depend on."""
     q = queries.select("query_id", one_line(F.col("query")).alias("query")).where("query <> ''")
-    hits = block_top_k(corpus.chunks, embed_queries(q, "query"), k)
+    return answers(corpus, embed_queries(q, "query"), k)
+
+
+def answers(corpus: Corpus, questions: DataFrame, k: int = 5) -> DataFrame:
+    """As search, for questions(query_id, query, embedding) that have their vectors; cosines count to six digits."""
+    hits = block_top_k(corpus.chunks, questions, k, digits=6)
     likely = hits.withColumn("reasons", F.array(F.lit("semantic match")))
-    return _show(corpus, _with_related(corpus, likely, q, "query_id"), "query_id")
+    return _show(corpus, _with_related(corpus, likely, questions, "query_id"), "query_id")
 
 
 def investigate(corpus: Corpus, queries: DataFrame, k: int = 5, repo: str | None = None) -> DataFrame:
@@ -62,7 +67,12 @@ def investigate(corpus: Corpus, queries: DataFrame, k: int = 5, repo: str | None
     """
     q = queries.select("query_id", one_line(F.col("query")).alias("query"), *([repo] if repo else [])).where("query <> ''")
     text = F.concat(F.lit("Bug description:\n"), F.col("query"), F.lit(f"\n\nInvestigation intent:\n{INVESTIGATION_INTENT}\n"))
-    pool = block_top_k(corpus.chunks, embed_queries(q.withColumn("text", text), "text"), max(8 * k, 30) if k > 0 else 0, same=repo)
+    return ranked_answers(corpus, embed_queries(q.withColumn("text", text), "text"), k, repo)
+
+
+def ranked_answers(corpus: Corpus, q: DataFrame, k: int = 5, repo: str | None = None) -> DataFrame:
+    """As investigate, for questions(query_id, query, embedding) that have their vectors."""
+    pool = block_top_k(corpus.chunks, q, max(8 * k, 30) if k > 0 else 0, same=repo, digits=6)
     pairs = pool.select("query_id", "chunk_id", F.col("score").alias("base_score")).join(q.select("query_id", F.col("query").alias("description")), "query_id").join(corpus.chunks, "chunk_id")
     scored = scoring.ranked(scoring.investigation_score(pairs), "query_id", ties=("is_test", "path_key", "start_line", "chunk_id", "name"))
     likely = scored.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", "reasons")

@@ -513,6 +513,32 @@ def failure_reasons(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("failure_id", "chunk_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, vec_id, embedding): the given vector of every chunk, the one of the smallest id."""
+    usable = (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    return graph.best_per_key(table(spark, d, "chunk_vectors").where(usable & c("chunk_id").isNotNull()), ("chunk_id",), c("vec_id")).select("chunk_id", "vec_id", "embedding")
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[api.Corpus, DataFrame]:
+    """A corpus with the given vectors, and questions: every twentieth vector asks with its chunk's name, all are asked."""
+    given = settle(_vectors(spark, d), "vectors")
+    corpus = api.Corpus(_chunks(spark, d).join(given.select(c("chunk_id").alias("id"), "embedding"), "id", "left"))
+    asked = given.where("vec_id % 20 = 0").join(corpus.named("name"), "chunk_id")  # the stated query set, against all rows
+    return corpus, asked.select(c("vec_id").alias("query_id"), c("name").alias("query"), "embedding")
+
+
+@query(sql.ANSWERS)
+def search_by_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Search with the given vectors."""
+    return _shown(api.answers(*_asked(spark, d)))
+
+
+@query(sql.RANKED_ANSWERS)
+def investigate_by_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Investigation with the given vectors."""
+    return _shown(api.ranked_answers(*_asked(spark, d))).withColumn("score", F.round("score", 6))
+
+
 @query()
 def search_code(spark: SparkSession, d: str) -> DataFrame:
     return _shown(api.search(_corpus(spark, d), _questions(spark, d)))

@@ -426,3 +426,29 @@ HYPOTHESES = f"""
     ], lambda s: s IS NOT NULL) AS rules FROM f LEFT JOIN t USING (failure_id))
     SELECT failure_id, CASE WHEN name IS NOT NULL AND len(rules) > 0 THEN concat_ws(chr(10), 'Possible issue:', array_to_string(list_transform(rules, lambda s: '- ' || s), chr(10)), '- This is a hypothesis based on the failure signal and retrieved code, not a proven root cause.') END AS hypothesis FROM r
 """
+
+
+# answers
+
+_QUESTIONS = "SELECT v.vec_id AS query_id, v.name AS query, v.e, v.n FROM vectors v WHERE v.vec_id % 20 = 0"
+_VECTORS = "SELECT *, sqrt(list_inner_product(e, e)) AS n FROM (SELECT DISTINCT ON (v.chunk_id) v.vec_id, v.chunk_id, k.name, v.embedding::DOUBLE[] AS e FROM chunk_vectors v JOIN (SELECT DISTINCT id, name FROM code_chunks WHERE name IS NOT NULL AND file_path IS NOT NULL) k ON k.id = v.chunk_id WHERE len(v.embedding) = 64 AND len(list_filter(v.embedding, lambda x: x IS NULL OR isnan(x))) = 0 ORDER BY v.chunk_id, v.vec_id)"
+_HITS = f"""WITH vectors AS ({_VECTORS}), questions AS ({_QUESTIONS}), s AS (SELECT q.query_id, v.chunk_id, round(CASE WHEN q.n * v.n = 0 THEN 0 ELSE list_inner_product(q.e, v.e) / (q.n * v.n) END, 6) AS score FROM vectors v, questions q)
+    SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5"""
+
+
+def _shown(likely: str, queries: str, related_to: str) -> str:
+    """Likely rows (query_id, chunk_id, rank, score, reasons) and what they lead to, as answers show them."""
+    return f"""
+    WITH likely AS ({likely}), found AS ({related(related_to, queries)}),
+    both_ AS (SELECT query_id, 'semantic' AS kind, rank, chunk_id, score, reasons FROM likely UNION ALL SELECT query_id, 'related', rank, chunk_id, NULL, 'dependency context' FROM found),
+    c AS (SELECT DISTINCT ON (id) id, name, parent, chunk_type, replace(file_path, chr(92), '/') AS file_path, start_line, end_line FROM code_chunks)
+    SELECT b.query_id, b.kind, b.rank, b.chunk_id, CASE WHEN c.chunk_type = 'method' AND c.parent <> '' THEN c.parent || '.' || c.name ELSE c.name END AS name, c.chunk_type, c.file_path, c.start_line, c.end_line, b.score, b.reasons FROM both_ b JOIN c ON c.id = b.chunk_id
+"""
+
+
+_ASKED = f"WITH vectors AS ({_VECTORS}) SELECT query_id, query FROM ({_QUESTIONS})"
+_RANKED = INVESTIGATION.replace("FROM (SELECT query_id, min(query) AS query FROM investigation_results WHERE query IS NOT NULL GROUP BY query_id)", f"FROM ({_ASKED})").replace("SELECT query_id, chunk_id, max(score) AS base FROM investigation_results WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id", f"SELECT query_id, chunk_id, score AS base FROM ({_HITS.replace('rank <= 5', 'rank <= 40')})")
+_RANKED = _RANKED.replace("SELECT query_id, chunk_id, round(base", "SELECT query_id, chunk_id, is_test, path_key, start_line, name, (base").replace(", 6)::DOUBLE AS score", ")::DOUBLE AS score")
+_FIRST = f"SELECT query_id, chunk_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, is_test, path_key, start_line, chunk_id, name)::INT AS rank FROM ({_RANKED})) WHERE rank <= 5"
+ANSWERS = _shown(f"SELECT *, 'semantic match' AS reasons FROM ({_HITS})", _ASKED, "SELECT * FROM likely")
+RANKED_ANSWERS = _shown(f"SELECT query_id, chunk_id, round(score, 6) AS score, reasons, rank FROM ({_FIRST})", _ASKED, "SELECT * FROM likely")
