@@ -440,7 +440,7 @@ def parsed_failures(spark: SparkSession, d: str) -> DataFrame:
     return failures.parse_logs(_logs(spark, d)).drop("message")
 
 
-@query()
+@query(sql.LOG_MESSAGES)
 def parse_failure_logs(spark: SparkSession, d: str) -> DataFrame:
     return failures.parse_logs(_logs(spark, d))
 

@@ -452,3 +452,24 @@ _RANKED = _RANKED.replace("SELECT query_id, chunk_id, round(base", "SELECT query
 _FIRST = f"SELECT query_id, chunk_id, score, reasons, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, is_test, path_key, start_line, chunk_id, name)::INT AS rank FROM ({_RANKED})) WHERE rank <= 5"
 ANSWERS = _shown(f"SELECT *, 'semantic match' AS reasons FROM ({_HITS})", _ASKED, "SELECT * FROM likely")
 RANKED_ANSWERS = _shown(f"SELECT query_id, chunk_id, round(score, 6) AS score, reasons, rank FROM ({_FIRST})", _ASKED, "SELECT * FROM likely")
+
+
+# messages of parsed logs
+
+_WHERE = "^\\+\\s*where\\s+(.+?)\\s*=\\s*(.+)$"
+_EQUALS = "^assert\\s+(.+?)\\s*==\\s*(.+)$"
+_REST = strip("CASE WHEN strpos(rest, ' - ') > 0 THEN rest[strpos(rest, ' - ') + 3:] ELSE '' END")
+_SUMMARY = PARSED.replace("AS nodeid FROM b)", f"AS nodeid, {_REST} AS message FROM b)", 1).replace("e.nodeid, e.file_path, e.shown", "e.nodeid, e.message, e.file_path, e.shown", 1).replace("SELECT w.log_id, w.line_no, w.nodeid AS test_name,", "SELECT w.log_id, w.line_no, w.nodeid AS test_name, w.message,", 1)
+LOG_MESSAGES = f"""
+    WITH p AS ({_SUMMARY}),
+    r AS (SELECT *, list_filter(list_transform(regexp_split_to_array(traceback, '\\r\\n|\\r|\\n'), lambda x: {strip("x")}), lambda x: NOT (length(x) >= 9 AND regexp_matches(x, '^_.*[^_\\s].*_$')) AND NOT regexp_matches(x, '^=.{{8,}}=$')) AS rows FROM p),
+    t AS (SELECT *, list_filter(list_transform(list_filter(rows, lambda x: starts_with(x, 'E')), lambda x: {strip("x[2:]")}), lambda x: x <> '') AS told, list_transform(list_filter(rows, lambda x: starts_with(x, '>') AND contains(x, 'assert ')), lambda x: 'assert ' || {strip("x[strpos(x, 'assert ') + 7:]")})[1] AS asserted FROM r),
+    k AS (SELECT *, list_filter(told, lambda x: NOT regexp_matches(x, '{_WHERE}') AND x NOT IN ('+', '-', '?', '|')) AS plain, list_filter(told, lambda x: regexp_matches(x, '{_WHERE}')) AS wheres FROM t),
+    b AS (SELECT *, coalesce(list_filter(plain, lambda x: starts_with(x, 'AssertionError:') AND contains(x, 'assert '))[1], list_filter(plain, lambda x: starts_with(x, 'assert '))[1], list_filter(plain, lambda x: starts_with(x, 'AssertionError:'))[1], plain[1], asserted, '') AS best FROM k),
+    c AS (SELECT *, coalesce(nullif({strip("regexp_replace(best, '^AssertionError:', '')")}, ''), best) AS bare FROM b),
+    d AS (SELECT *, {strip(f"regexp_extract(bare, '{_EQUALS}', 1)")} AS left_, {strip(f"regexp_extract(bare, '{_EQUALS}', 2)")} AS right_ FROM c),
+    e AS (SELECT *, list_transform(list_filter(wheres, lambda x: {strip(f"regexp_extract(x, '{_WHERE}', 1)")} = left_), lambda x: {strip(f"regexp_extract(x, '{_WHERE}', 2)")})[-1] AS value FROM d),
+    f AS (SELECT *, CASE WHEN error_type = 'AssertionError' THEN CASE WHEN best = '' THEN coalesce(told[1], '') WHEN left_ <> '' AND contains(coalesce(value, ''), '(') THEN value || ' returned ' || left_ || ' instead of ' || right_ ELSE bare END ELSE coalesce(told[1], '') END AS said FROM e),
+    g AS (SELECT *, {short(_ONE_LINE("said"), 220)} AS extracted FROM f)
+    SELECT log_id, line_no, test_name, file_path, line_number, error_type, CASE WHEN error_type = 'AssertionError' THEN CASE WHEN extracted <> '' THEN extracted ELSE message END WHEN message = '' THEN extracted ELSE message END AS message, traceback FROM g
+"""
