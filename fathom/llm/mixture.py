@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEED, BUCKETS = 42, 64
+SEED, BUCKETS, BUCKET_ROWS = 42, 64, 1_000_000
 
 
 def source_budget(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens", share: str = "target_share", repeats: str = "max_repeats") -> DataFrame:
@@ -43,15 +43,18 @@ def systematic_copies(sizes: DataFrame, budget: DataFrame, key: str = "doc_id",
     mixture. A document occurs floor(copies) or ceil(copies) times, never more than max_repeats. Null keys, sources and
     sizes take no part; equal keys in a source are documents of their own.
     """
-    plan = budget.where("copies > 0").select(F.col(source).alias("s"), "copies")
+    plan = budget.where("copies > 0").select(F.col(source).alias("s"), "copies", F.greatest(F.lit(BUCKETS), F.col("documents") / BUCKET_ROWS).cast("int").alias("buckets"))
     docs = sizes.where(F.col(key).isNotNull() & F.col(source).isNotNull() & F.col(size).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(size).alias("n"))
-    docs = docs.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(BUCKETS)))
+    # documents of one size are spread over more buckets the more documents the source has
+    docs = docs.join(plan, "s").withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "k"), F.col("buckets")))
     counts = docs.groupBy("s", "n", "b").agg(F.count("*").alias("c"))
-    # sizes x buckets rows per source: bounded by the longest text, not by the number of documents
-    before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("s").orderBy("n", "b").rowsBetween(Window.unboundedPreceding, -1))).drop("c")
+    upto = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # smaller sizes of the source, a row for each size; then smaller buckets of the size, a row for each bucket
+    smaller = counts.groupBy("s", "n").agg(F.sum("c").alias("c")).select("s", "n", upto(Window.partitionBy("s").orderBy("n")).alias("smaller"))
+    before = counts.select("s", "n", "b", upto(Window.partitionBy("s", "n").orderBy("b")).alias("within")).join(smaller, ["s", "n"]).select("s", "n", "b", (F.col("within") + F.col("smaller")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("s", "n", "b").orderBy("k"))
-    ranked = docs.withColumn("r", rank).join(before, ["s", "n", "b"]).join(plan, "s")
-    at = F.coalesce("before", F.lit(0)) + F.col("r")
+    ranked = docs.withColumn("r", rank).join(before, ["s", "n", "b"])
+    at = F.col("before") + F.col("r")
     u = _offset(F.col("s"), seed)
     uses = F.floor(at * F.col("copies") + u) - F.floor((at - 1) * F.col("copies") + u)
     used = ranked.withColumn("uses", uses.cast("int")).where("uses > 0")
