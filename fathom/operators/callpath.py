@@ -152,7 +152,7 @@ def _reverse(seeds: DataFrame, edges: DataFrame, failures: DataFrame, chunks: Da
     return first_per_group(best, ("failure_id",), REVERSE_LIMIT, *_order()).select("failure_id", "chunk_id", "score", "reasons")
 
 
-def _counterparts(seeds: DataFrame, seen: DataFrame, edges: DataFrame, failures: DataFrame, chunks: DataFrame) -> DataFrame:
+def counterpart_context(seeds: DataFrame, seen: DataFrame, edges: DataFrame, failures: DataFrame, chunks: DataFrame) -> DataFrame:
     """Functions that undo what a seed calls, in the class or file, of one repository, of what it calls."""
     c = F.col
     df = _pairs(seeds.select("failure_id", "chunk_id", c("score").alias("seed_score")), failures, chunks)
@@ -189,7 +189,7 @@ def call_path_context(ranked: DataFrame, edges: DataFrame, failures: DataFrame,
     back = back.select("failure_id", c("chunk_id").alias("seed"), c("chunk_id").alias("target"), c("score").alias("t_score"), c("guard_name").alias("t_guard"), c("x_raises").alias("t_raises"), c("x_evidence").alias("t_evidence"), c("x_strong").alias("t_strong"), F.lit(1).alias("place"))
     found = settle(_forward(fwd, edges, failures, chunks).unionByName(_reverse(back, edges, failures, chunks)), "paths")
     seen = found.select("failure_id", "chunk_id").unionByName(fwd.select("failure_id", "chunk_id")).distinct()
-    every = found.unionByName(_counterparts(fwd, seen, edges, failures, chunks))
+    every = found.unionByName(counterpart_context(fwd, seen, edges, failures, chunks))
     best = best_per_key(every, ("failure_id", "chunk_id"), c("score").desc(), c("reasons"))
     best = best.join(chunks.select("chunk_id", "path_key", "start_line"), "chunk_id")
     return first_per_group(best, ("failure_id",), limit, *_order()).select("failure_id", "chunk_id", "score", "reasons")
