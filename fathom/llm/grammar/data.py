@@ -1,8 +1,9 @@
-"""JSON and TOML 1.0 by recursive descent; the first fault ends a file, for there is nothing to recover at."""
+"""JSON and TOML 1.0 by recursive descent; after a fault JSON goes on at the next comma or bracket, TOML at the next key or header."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from fathom.llm.grammar import unbounded
 
@@ -13,65 +14,118 @@ class Fault(Exception):
     """A message and a position."""
 
 
-def _json_value(source: str, at: int, depth: int = 0) -> int:
-    """Reads one value; the place after it."""
+# what is passed over after a fault: strings, closed or not, what tells of nesting, and the rest
+JSON_PIECE = re.compile(r'"(?:[^"\\\n]|\\.)*"?|[\[\]{},]|[^"\[\]{},]+')
+BLANK = re.compile(r"[ \t\n\r]*")
+CLOSES = {"{": "}", "[": "]"}
 
-    def token() -> str:
-        nonlocal at
-        m = JSON_TOKEN.match(source, at)
+
+class Json:
+    """One fault a place; what is open is known, so that a bracket too few or too many ends no more than its own level."""
+
+    def __init__(self, source: str):
+        self.s, self.at, self.start = source, 0, 0
+        self.open: list[str] = []
+        self.faults: list[Fault] = []
+
+    def token(self) -> str:
+        m = JSON_TOKEN.match(self.s, self.at)
         if not m:
-            raise Fault("unexpected character", at)
-        at = m.end()
+            self.start = self.at = BLANK.match(self.s, self.at).end()
+            raise Fault("unexpected character", self.at)
+        self.start, self.at = m.start(1), m.end()
         return m[1]
 
-    stack: list[str] = []  # an explicit stack, as files nest deeper than Python may
-    expect = "value"
-    while True:
-        t = token()
-        if expect in ("value", "value or ]"):
-            if t == "{":
-                stack.append("}")
-                expect = "key or }"
-                continue
-            if t == "[":
-                stack.append("]")
-                expect = "value or ]"
-                continue
-            if t == "]" and expect == "value or ]":
-                stack.pop()
-            elif not t or t in "]},:":
-                raise Fault("expected a value", at)
-        elif expect in ("key", "key or }"):
-            if t == "}" and expect == "key or }":
-                stack.pop()
-            else:
-                if t[:1] != '"':
-                    raise Fault("expected a key in double quotes", at)
-                if token() != ":":
-                    raise Fault("expected ':'", at)
-                expect = "value"
-                continue
-        elif t == ",":
-            expect = "key" if stack[-1] == "}" else "value"
-            continue
-        elif t == stack[-1]:
-            stack.pop()
-        else:
-            raise Fault(f"expected ',' or '{stack[-1]}'", at)
-        if not stack:
-            return at
-        expect = ", or end"
+    def fail(self, what: str) -> None:
+        at, self.at = self.at, self.start  # recovery sees the token again
+        raise Fault(what, at)
+
+    def note(self, fault: Fault) -> None:
+        if not self.faults or self.faults[-1].args[1] < fault.args[1]:
+            self.faults.append(fault)
+
+    def value(self) -> None:
+        t = self.token()
+        if t in CLOSES:
+            self.listed(CLOSES[t], self.member if t == "{" else self.value)
+        elif not t or t in "]},:":
+            self.fail("expected a value")
+
+    def member(self) -> None:
+        if self.token()[:1] != '"':
+            self.fail("expected a key in double quotes")
+        if self.token() != ":":
+            self.fail("expected ':'")
+        self.value()
+
+    def listed(self, close: str, one: Callable[[], None]) -> None:
+        """What stands between brackets, the first of which is read."""
+        m = JSON_TOKEN.match(self.s, self.at)
+        if m and m[1] == close:
+            self.at = m.end()
+            return
+        self.open.append(close)
+        more = True
+        while more:
+            try:
+                one()
+                t = self.token()
+                if t not in (",", close):
+                    self.fail(f"expected ',' or '{close}'")
+                more = t == ","
+            except Fault as f:
+                self.note(f)
+                more = self.recovered(close)
+        self.open.pop()
+
+    def recovered(self, close: str) -> bool:
+        """Goes on to the comma or bracket that ends the faulty part; whether more follows on this level."""
+        inner: list[str] = []
+        while m := JSON_PIECE.match(self.s, self.at):
+            t = m[0]
+            if t in CLOSES:
+                inner.append(CLOSES[t])
+            elif t in ("]", "}"):
+                if t in inner:
+                    while inner.pop() != t:
+                        pass
+                elif t == close or t in self.open:
+                    self.at = m.end() if t == close else self.at  # an outer level's bracket is left to it
+                    return False
+            elif t == "," and not inner:
+                self.at = m.end()
+                return True
+            self.at = m.end()
+        return False
+
+    def whole(self) -> list[Fault]:
+        while True:
+            try:
+                self.value()
+                self.at = BLANK.match(self.s, self.at).end()
+                if self.at == len(self.s):
+                    return self.faults
+                raise Fault("extra data", self.at)
+            except Fault as f:
+                self.note(f)
+            while (m := JSON_PIECE.match(self.s, self.at)) and m[0] not in CLOSES:
+                self.at = m.end()
+            if not m:
+                return self.faults
 
 
 def json_faults(source: str) -> list[tuple[int, str]]:
-    """(line, message) of the first thing wrong with a JSON text; an empty text is wrong."""
-    try:
-        at = _json_value(source, 0)
-        if source[at:].strip(" \t\n\r"):
-            raise Fault("extra data", at)
-        return []
-    except Fault as f:
-        return [(source.count("\n", 0, f.args[1]) + 1, f.args[0])]
+    """(line, message) of everything wrong with a JSON text; an empty text is wrong."""
+    return _lines(source, unbounded(lambda s: Json(s).whole(), source))
+
+
+def _lines(source: str, faults: list[Fault]) -> list[tuple[int, str]]:
+    """Faults, in order of their positions, with their lines."""
+    out, line, at = [], 1, 0
+    for f in faults:
+        line, at = line + source.count("\n", at, f.args[1]), f.args[1]
+        out.append((line, f.args[0]))
+    return out
 
 
 SPACE = re.compile(r"[ \t]*")
@@ -98,6 +152,9 @@ def days(year: int, month: int) -> int:
     return 30 if month in (4, 6, 9, 11) else 31
 
 
+STATEMENT = re.compile(r"""^[ \t]*(?:\[|(?:[A-Za-z0-9_-]+|"[^"\n]*"|'[^'\n]*')[ \t]*[=.])""", re.MULTILINE)  # how a line looks that begins anew
+
+
 class Toml:
     """Tables as dictionaries; closed ones (inline, or defined by a header) may not be opened again."""
 
@@ -222,26 +279,31 @@ class Toml:
         there["\0header"] = True
         return there
 
-    def whole(self) -> None:
-        table = self.root
+    def whole(self) -> list[Fault]:
+        table, faults = self.root, []
         while True:
-            self.skip(LINES)
-            if self.at >= len(self.s):
-                return
-            if self.s[self.at] == "[":
-                table = self.header()
-            else:
-                self.pair(table)
-            m = END.match(self.s, self.at)
-            if not m:
-                self.fail("expected the end of the line")
-            self.at = m.end()
+            try:
+                self.skip(LINES)
+                if self.at >= len(self.s):
+                    return faults
+                if self.s[self.at] == "[":
+                    table = {}  # of what follows a faulty header
+                    table = self.header()
+                else:
+                    self.pair(table)
+                m = END.match(self.s, self.at)
+                if not m:
+                    self.fail("expected the end of the line")
+                self.at = m.end()
+            except Fault as f:
+                faults.append(f)
+                end = self.s.find("\n", self.at)
+                m = STATEMENT.search(self.s, end + 1) if end >= 0 else None
+                if not m:
+                    return faults
+                self.at = m.start()
 
 
 def toml_faults(source: str) -> list[tuple[int, str]]:
-    """(line, message) of the first thing wrong with a TOML 1.0 text."""
-    try:
-        unbounded(lambda s: Toml(s).whole(), source)
-        return []
-    except Fault as f:
-        return [(source.count("\n", 0, f.args[1]) + 1, f.args[0])]
+    """(line, message) of everything wrong with a TOML 1.0 text."""
+    return _lines(source, unbounded(lambda s: Toml(s).whole(), source))

@@ -1,8 +1,7 @@
 """Problem 3: source files that are not valid for the language of their extension.
 
 Each task parses its files with the recognisers of fathom.llm.grammar, which alone decide. They recover and go on to the end
-of a Python or JavaScript file, however many faults it has; of JSON and TOML the first fault is known. Rates are plain
-grouped counts over the verdicts.
+of a file, however many faults it has. Rates are plain grouped counts over the verdicts.
 """
 
 from __future__ import annotations

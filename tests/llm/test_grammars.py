@@ -130,6 +130,15 @@ def test_toml_agrees(source):
     assert (not data.toml_faults(source)) == fine
 
 
+def test_json_and_toml_go_on_after_a_fault():
+    assert [n for n, _ in data.json_faults('{\n"a": 01,\n"b": [1 2, {"c" 3}, 4],\nd: 5,\n"e": 6,\n}\n')] == [2, 3, 3, 4, 6]
+    assert [n for n, _ in data.json_faults("[" + "nul,\n" * 300 + "1]")] == list(range(1, 301))
+    assert data.json_faults('[{"a": [1, 2}, 3,\n4,\n]') == [(1, "expected ',' or ']'"), (3, "expected a value")]
+    assert len(data.json_faults('{"a": [1, {"b": 2\n')) == 1 and len(data.json_faults("[" * 5000)) == 1
+    assert [n for n, _ in data.json_faults('// c\n{"a": "\\x",\n"b": tru}\n{}')] == [1, 2, 3, 4]
+    assert [n for n, _ in data.toml_faults("a = \nb = 1\n[c\nb = 2\nb = [1,\n2\nd = 01\n[e]\nf = 1\nf = 2\n")] == [1, 3, 5, 7, 10]
+
+
 def test_many_indentations_and_deep_brackets():
     rows = "x = [\n" + "".join(" " * (i % 90) + "\t" * (i // 90) + "1,\n" for i in range(7000)) + "]\n"
     assert python.faults(rows) == [] and python.faults("if a:\n    b\n") == []
