@@ -1,5 +1,6 @@
 """Text, path and vector expressions on small values."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,24 @@ def test_block_search_agrees_with_the_join(spark, monkeypatch):
     repo = {r[0]: r[1] for r in rows}
     assert all(repo[r.query_id] == repo[r.chunk_id] for r in vectors.block_top_k(items.where("size(embedding) = 8"), queries, 3, same="repo").collect())
     assert vectors.block_top_k(items, queries, 0).count() == 0
+
+
+def test_block_search_holds_tiles_and_not_all_products(spark):
+    """4,000 questions against 20,000 items: a matrix of all cosines alone would be 640 MB."""
+    import resource
+
+    def most() -> int:
+        def peak(batches):
+            for _ in batches:
+                yield pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]})
+
+        return max(r.mb for r in spark.range(0, 16, 1, 16).mapInArrow(peak, "mb bigint").collect())
+
+    before = most()
+    vector = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.sin(F.col("id") * 8 + j))
+    items = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("chunk_id"), vector.alias("embedding"))
+    for same in (None, "repo"):
+        rows = items.withColumn("repo", F.lit("r"))
+        found = vectors.block_top_k(rows, rows.where("chunk_id < 4000").withColumnRenamed("chunk_id", "query_id"), 40, same=same, digits=6)
+        assert found.count() == 160_000
+    assert most() < max(before, 500)
