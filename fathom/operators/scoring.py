@@ -194,22 +194,35 @@ def investigation_features(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("terms", meaningful_terms(text)).withColumn("shown_terms", display_terms(text))
 
 
+def description_terms(questions: DataFrame) -> DataFrame:
+    """Questions (description) with the terms that their pairs are scored by."""
+    return questions.withColumn("q_terms", meaningful_terms(F.col("description"))).withColumn("q_shown", display_terms(F.col("description")))
+
+
+def investigation_evidence(chunks: DataFrame) -> DataFrame:
+    """Chunks with investigation features and what of their scores depends on the chunk alone."""
+    c = F.col
+    parts = lambda d: F.filter(F.split(d, r"\."), lambda p: p != "")
+    domain_call = F.exists("dependencies", lambda d: (F.size(parts(d)) > 0) & F.arrays_overlap(identifier_tokens(F.try_element_at(parts(d), F.lit(-1))), c("called_pairs")) & ((F.size(parts(d)) == 1) | ~has_any(identifier_tokens(F.try_element_at(parts(d), F.lit(1))), V.IGNORED_CALL_HEADS)))
+    df = chunks.withColumn("compares", c("source_code").rlike(COMPARES)).withColumn("changes", c("source_code").rlike(ATTRIBUTE_CHANGED))
+    return df.withColumn("role", has_any(F.concat("parent_terms", "stem_terms"), V.INVESTIGATION_ROLES)).withColumn("domain_call", domain_call)
+
+
 def investigation_score(pairs: DataFrame, base: str = "base_score") -> DataFrame:
-    """Pairs (description, chunk with investigation features) with score and reasons."""
+    """Pairs (description, chunk with investigation features) with score and reasons. What depends on one side alone is made
+    here only if description_terms and investigation_evidence have not made it."""
     c = F.col
-    q = pairs.withColumn("q_terms", meaningful_terms(c("description"))).withColumn("q_shown", display_terms(c("description")))
+    q = pairs if "q_terms" in pairs.columns else description_terms(pairs)
+    q = q if "domain_call" in q.columns else investigation_evidence(q)
     q = q.withColumn("matched", F.array_intersect("q_terms", "terms")).withColumn("shown", F.slice(display_match(c("q_shown"), c("shown_terms")), 1, 4))
     works = c("is_function") & ~is_dunder(c("name")) & ~c("is_test")
-    compares, changes = c("source_code").rlike(COMPARES), c("source_code").rlike(ATTRIBUTE_CHANGED)
-    role = has_any(F.concat("parent_terms", "stem_terms"), V.INVESTIGATION_ROLES)
+    compares, changes, role, domain_call = c("compares"), c("changes"), c("role"), c("domain_call")
     business = works & role & ((F.size("matched") > 0) | compares)
     filtering = works & has_any(c("q_terms"), V.INVESTIGATION_FILTERING) & has_any(c("terms"), V.INVESTIGATION_FILTERING) & compares
     own_state = F.array_intersect("name_terms", literal_array(V.INVESTIGATION_STATE))
     calls = F.arrays_overlap("q_terms", F.concat("called_pairs", own_state))
     state = works & has_any(c("q_terms"), V.INVESTIGATION_STATE) & has_any(c("terms"), V.INVESTIGATION_STATE) & (changes | ((F.size("called_pairs") > 0) & calls))
     validation = ~c("is_test") & (c("guard_name") | c("calls_guard") | bare_name(c("name")).rlike(rf"^(?:{'|'.join(V.INVESTIGATION_VALIDATION_PREFIXES)})"))
-    parts = lambda d: F.filter(F.split(d, r"\."), lambda p: p != "")
-    domain_call = F.exists("dependencies", lambda d: (F.size(parts(d)) > 0) & F.arrays_overlap(identifier_tokens(F.try_element_at(parts(d), F.lit(-1))), c("called_pairs")) & ((F.size(parts(d)) == 1) | ~has_any(identifier_tokens(F.try_element_at(parts(d), F.lit(1))), V.IGNORED_CALL_HEADS)))
     missing = (F.size("called_pairs") > 0) & (F.arrays_overlap("q_terms", F.concat(c("called_pairs"), counterparts(c("called_pairs")))) | (domain_call & calls))
     pair_state = c("defines_pair") & changes & F.arrays_overlap("q_terms", F.concat("name_terms", "terms"))
     paired = F.when(works & missing, F.lit("possible missing counterpart operation")).when(works & pair_state, F.lit("paired state operation"))
@@ -223,4 +236,4 @@ def investigation_score(pairs: DataFrame, base: str = "base_score") -> DataFrame
             F.when(state, F.lit("state update logic")), F.when(validation, F.lit("validation logic")), paired, F.when(access, F.lit("data-access context")),
         )
     )
-    return q.withColumn("score", score).withColumn("reasons", F.array_distinct(reasons)).drop("q_terms", "q_shown", "matched", "shown")
+    return q.withColumn("score", score).withColumn("reasons", F.array_distinct(reasons)).drop("q_terms", "q_shown", "matched", "shown", "compares", "changes", "role", "domain_call")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.paths import is_test_path
 from fathom.functions.predicates import chunk_features
 from fathom.functions.text import display_name, one_line
 from fathom.functions.vectors import block_top_k, hashing_embedding
@@ -16,17 +19,23 @@ SHOWN = ("chunk_id", "name", "chunk_type", "parent", "file_path", "start_line",
 
 
 class Corpus:
-    """Chunks(id, repo, ...CHUNK_SCHEMA, embedding) with the features and edges that every question needs, made once."""
+    """Chunks(id, repo, ...CHUNK_SCHEMA, embedding) and their edges, made once; plain has what every question needs, chunks
+    the features of a diagnosis too, which are made when they are asked for."""
 
     def __init__(self, chunks: DataFrame, infrastructure: tuple[str, ...] = ()):
         self.infrastructure = infrastructure
         chunks = chunks.where(F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("file_path").isNotNull()).dropDuplicates(["id"])
-        self.edges = settle(resolve.edges(chunks), "edges")
-        feats = scoring.investigation_features(callpath.call_features(chunk_features(chunks)))
-        self.chunks = settle(feats.withColumnRenamed("id", "chunk_id").drop("imports", "decorators"), "features")
+        self._whole = settle(chunks, "chunks")
+        self.edges = settle(resolve.edges(self._whole), "edges")
+        self.plain = self._whole.withColumnRenamed("id", "chunk_id").withColumn("is_test", is_test_path(F.col("file_path")))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        feats = scoring.investigation_features(callpath.call_features(chunk_features(self._whole)))
+        return settle(feats.withColumnRenamed("id", "chunk_id").drop("imports", "decorators"), "features")
 
     def named(self, *columns: str) -> DataFrame:
-        return self.chunks.select("chunk_id", *columns)
+        return self.plain.select("chunk_id", *columns)
 
 
 def embed_queries(df: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
@@ -35,14 +44,14 @@ def embed_queries(df: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
 
 def _show(corpus: Corpus, rows: DataFrame, key: str) -> DataFrame:
     c = F.col
-    shown = rows.join(corpus.chunks.select(*SHOWN), "chunk_id")
+    shown = rows.join(corpus.plain.select(*SHOWN), "chunk_id")
     return shown.select(key, "kind", "rank", "chunk_id", display_name(c("name"), c("parent"), c("chunk_type")).alias("name"), c("chunk_type"), F.translate("file_path", "\\", "/").alias("file_path"), "start_line", "end_line", "score", "reasons")
 
 
 def _with_related(corpus: Corpus, likely: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """Likely rows (key, chunk_id, rank, score, reasons) and the related ones that they lead to."""
     likely = settle(likely, "likely")
-    rel = graph.related_context(likely.select(F.col(key).alias("query_id"), "chunk_id", "rank"), queries.select(F.col(key).alias("query_id"), "query"), corpus.edges, corpus.chunks.withColumnRenamed("chunk_id", "id"), infrastructure=corpus.infrastructure)
+    rel = graph.related_context(likely.select(F.col(key).alias("query_id"), "chunk_id", "rank"), queries.select(F.col(key).alias("query_id"), "query"), corpus.edges, corpus.plain.withColumnRenamed("chunk_id", "id"), infrastructure=corpus.infrastructure)
     rel = rel.select(F.col("query_id").alias(key), "chunk_id", "rank", F.lit(None).cast("double").alias("score"), F.array(F.lit("dependency context")).alias("reasons"), F.lit("related").alias("kind"))
     return likely.select(key, "chunk_id", "rank", "score", "reasons", F.lit("semantic").alias("kind")).unionByName(rel)
 
@@ -55,7 +64,7 @@ def search(corpus: Corpus, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def answers(corpus: Corpus, questions: DataFrame, k: int = 5) -> DataFrame:
     """As search, for questions(query_id, query, embedding) that have their vectors; cosines count to six digits."""
-    hits = block_top_k(corpus.chunks, questions, k, digits=6)
+    hits = block_top_k(corpus.plain, questions, k, digits=6)
     likely = hits.withColumn("reasons", F.array(F.lit("semantic match")))
     return _show(corpus, _with_related(corpus, likely, questions, "query_id"), "query_id")
 
@@ -72,8 +81,10 @@ def investigate(corpus: Corpus, queries: DataFrame, k: int = 5, repo: str | None
 
 def ranked_answers(corpus: Corpus, q: DataFrame, k: int = 5, repo: str | None = None) -> DataFrame:
     """As investigate, for questions(query_id, query, embedding) that have their vectors."""
-    pool = block_top_k(corpus.chunks, q, max(8 * k, 30) if k > 0 else 0, same=repo, digits=6)
-    pairs = pool.select("query_id", "chunk_id", F.col("score").alias("base_score")).join(q.select("query_id", F.col("query").alias("description")), "query_id").join(corpus.chunks, "chunk_id")
+    pool = settle(block_top_k(corpus.plain, q, max(8 * k, 30) if k > 0 else 0, same=repo, digits=6).select("query_id", "chunk_id", F.col("score").alias("base_score")), "pool")
+    features = scoring.investigation_evidence(scoring.investigation_features(chunk_features(corpus.plain.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"))))
+    asked = scoring.description_terms(q.select("query_id", F.col("query").alias("description")))
+    pairs = pool.join(asked, "query_id").join(features, "chunk_id")
     scored = scoring.ranked(scoring.investigation_score(pairs), "query_id", ties=("is_test", "path_key", "start_line", "chunk_id", "name"))
     likely = scored.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", "reasons")
     return _show(corpus, _with_related(corpus, likely, q, "query_id"), "query_id")
@@ -88,7 +99,7 @@ def diagnose(corpus: Corpus, failures: DataFrame, k: int = 5, repo: str | None =
     c = F.col
     f = fail.with_signals(failures.where(c("failure_id").isNotNull()).dropDuplicates(["failure_id"]))
     f = settle(f.withColumn("query", fail.failure_query(f)), "failures")
-    pool = block_top_k(corpus.chunks, embed_queries(f.select("failure_id", "query", *([repo] if repo else [])), "query"), max(k, 8 * k, 40) if k > 0 else 0, query_key="failure_id", same=repo)
+    pool = block_top_k(corpus.plain, embed_queries(f.select("failure_id", "query", *([repo] if repo else [])), "query"), max(k, 8 * k, 40) if k > 0 else 0, query_key="failure_id", same=repo)
     facts = f.drop("repo", "file_path", "query")
     chunks = corpus.chunks.drop("embedding", "shown_terms", "terms")
     join = lambda rows: scoring.pair_evidence(rows.join(facts, "failure_id").join(chunks, "chunk_id"))
